@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.operators import funnel as FU
+from wayfare.operators import paths as PA
 from wayfare.operators import sessions as S
 from wayfare.plans import params as P
 from wayfare.sources import driver as D
@@ -42,9 +44,27 @@ def first_visit_to_action(spark, sf_dir):
     return S.first_visit_to_action(ev, S.conversions(ev, since=P.ACTION_SINCE)).orderBy("action_type")
 
 
+# -- P3 / P4 / P17 -----------------------------------------------------------
+
+def page_path_backward(spark, sf_dir):
+    return PA.page_path_backward(_events(spark, sf_dir), depth=P.PAGE_PATH_DEPTH,
+                                 since=P.ACTION_SINCE, page_period=P.PERIOD)
+
+
+def suite_funnel(spark, sf_dir):
+    return FU.suite_funnel(_events(spark, sf_dir), n=P.FUNNEL_TOUCHPOINTS, period=P.PERIOD)
+
+
+def journey_pages(spark, sf_dir):
+    return PA.journey_pages(_events(spark, sf_dir), n=10, period=P.PERIOD)
+
+
 QUERIES: dict[str, Query] = {
     "sessions_before_conversion": sessions_before_conversion,
     "sessions_before_hist": sessions_before_hist,
     "days_before_conversion": days_before_conversion,
     "first_visit_to_action": first_visit_to_action,
+    "page_path_backward": page_path_backward,
+    "suite_funnel": suite_funnel,
+    "journey_pages": journey_pages,
 }
