@@ -17,7 +17,7 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 def parse_multi_date(col: Column, formats: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_date(col, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(col, f) for f in formats])
 
 
 def yyyymmdd_to_date(col: Column) -> Column:

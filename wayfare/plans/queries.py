@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.operators import departure as DP
+from wayfare.operators import experiment as X
 from wayfare.operators import funnel as FU
 from wayfare.operators import paths as PA
 from wayfare.operators import sessions as S
@@ -59,6 +61,47 @@ def journey_pages(spark, sf_dir):
     return PA.journey_pages(_events(spark, sf_dir), n=10, period=P.PERIOD)
 
 
+# -- P5-P8 --------------------------------------------------------------------
+
+def _views(spark, sf_dir):
+    return DP.classified_views(_events(spark, sf_dir), period=P.PERIOD)
+
+
+def departure_global(spark, sf_dir):
+    return DP.departure_summary(_views(spark, sf_dir))
+
+
+def departure_by_dest(spark, sf_dir):
+    return DP.departure_summary(_views(spark, sf_dir), by_destination=True)
+
+
+def departure_hist(spark, sf_dir):
+    return DP.departure_hist(_views(spark, sf_dir))
+
+
+def departure_hist_by_dest(spark, sf_dir):
+    return DP.departure_hist(_views(spark, sf_dir), by_destination=True)
+
+
+# -- P9 / P9b / P10 / P28 -----------------------------------------------------
+
+def ab_report(spark, sf_dir):
+    return X.experiment_report(_events(spark, sf_dir), P.EXPERIMENT_ID, period=P.PERIOD)
+
+
+def ab_sample(spark, sf_dir):
+    expo = X.exposures(_events(spark, sf_dir), P.EXPERIMENT_ID, P.PERIOD)
+    return X.deterministic_sample(X.clean_assignments(expo), P.SAMPLE_PER_VARIANT)
+
+
+def ab_clean_users(spark, sf_dir):
+    return X.clean_users_per_variant(X.exposures(_events(spark, sf_dir), P.EXPERIMENT_ID, P.PERIOD))
+
+
+def component_variant(spark, sf_dir):
+    return X.component_variant(_events(spark, sf_dir), "payment-loading-progress", "b", period=P.PERIOD)
+
+
 QUERIES: dict[str, Query] = {
     "sessions_before_conversion": sessions_before_conversion,
     "sessions_before_hist": sessions_before_hist,
@@ -67,4 +110,12 @@ QUERIES: dict[str, Query] = {
     "page_path_backward": page_path_backward,
     "suite_funnel": suite_funnel,
     "journey_pages": journey_pages,
+    "departure_global": departure_global,
+    "departure_by_dest": departure_by_dest,
+    "departure_hist": departure_hist,
+    "departure_hist_by_dest": departure_hist_by_dest,
+    "ab_report": ab_report,
+    "ab_sample": ab_sample,
+    "ab_clean_users": ab_clean_users,
+    "component_variant": component_variant,
 }
