@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.operators import departure as DP
 from wayfare.operators import experiment as X
 from wayfare.operators import funnel as FU
+from wayfare.operators import identity as I
+from wayfare.operators import segments as SG
 from wayfare.operators import paths as PA
 from wayfare.operators import sessions as S
 from wayfare.plans import params as P
@@ -17,6 +21,19 @@ from wayfare.sources import driver as D
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _present(fn: Query) -> Query:
+    """Report presentation: calendar days leave as midnight TIMESTAMP_NTZ so that
+    every consumer (pandas, Arrow, other engines) sees one datetime type."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        cols = [F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.DateType)
+                else F.col(f.name) for f in df.schema.fields]
+        return df.select(*cols)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read_events(spark, sf_dir)
 
@@ -102,7 +119,42 @@ def component_variant(spark, sf_dir):
     return X.component_variant(_events(spark, sf_dir), "payment-loading-progress", "b", period=P.PERIOD)
 
 
-QUERIES: dict[str, Query] = {
+# -- P11-P16 ------------------------------------------------------------------
+
+def lead_funnel_by_step(spark, sf_dir):
+    return I.lead_funnel_by_step(_events(spark, sf_dir), D.super_ids(spark, sf_dir),
+                                 D.latest_individual(spark, sf_dir), D.booking_role(spark, sf_dir),
+                                 D.booking_header(spark, sf_dir), period=P.PERIOD)
+
+
+def lead_step_labels(spark, sf_dir):
+    return I.lead_step_labels(_events(spark, sf_dir), period=P.PERIOD)
+
+
+def identity_coverage(spark, sf_dir):
+    return I.identity_coverage(_events(spark, sf_dir), D.super_ids(spark, sf_dir),
+                               D.latest_individual(spark, sf_dir), period=P.PERIOD)
+
+
+def key_match(spark, sf_dir):
+    return I.key_match(_events(spark, sf_dir), D.web_request(spark, sf_dir), period=P.PERIOD)
+
+
+def id_from_url(spark, sf_dir):
+    return I.id_from_url(_events(spark, sf_dir), period=P.PERIOD)
+
+
+def source_date_ranges(spark, sf_dir):
+    return I.source_date_ranges(_events(spark, sf_dir), D.web_request(spark, sf_dir),
+                                D.booking_header(spark, sf_dir), period=P.PERIOD)
+
+
+def prospect_segments(spark, sf_dir):
+    bookings = I.confirmed_bookings(D.booking_role(spark, sf_dir), D.booking_header(spark, sf_dir))
+    return SG.prospect_segments(_events(spark, sf_dir), bookings, period=P.PERIOD)
+
+
+_RAW_QUERIES: dict[str, Query] = {
     "sessions_before_conversion": sessions_before_conversion,
     "sessions_before_hist": sessions_before_hist,
     "days_before_conversion": days_before_conversion,
@@ -118,4 +170,13 @@ QUERIES: dict[str, Query] = {
     "ab_sample": ab_sample,
     "ab_clean_users": ab_clean_users,
     "component_variant": component_variant,
+    "lead_funnel_by_step": lead_funnel_by_step,
+    "lead_step_labels": lead_step_labels,
+    "identity_coverage": identity_coverage,
+    "key_match": key_match,
+    "id_from_url": id_from_url,
+    "source_date_ranges": source_date_ranges,
+    "prospect_segments": prospect_segments,
 }
+
+QUERIES: dict[str, Query] = {k: _present(v) for k, v in _RAW_QUERIES.items()}
