@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.operators import audience as AU
 from wayfare.operators import departure as DP
 from wayfare.operators import experiment as X
 from wayfare.operators import funnel as FU
@@ -154,6 +155,29 @@ def prospect_segments(spark, sf_dir):
     return SG.prospect_segments(_events(spark, sf_dir), bookings, period=P.PERIOD)
 
 
+# -- P18 / P18b / P19 ---------------------------------------------------------
+
+def _audience_report(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    seg = D.visitor_segments(ev)
+    common = F.col("market").isNotNull() & F.col("date").between(
+        F.to_date(F.lit(P.PERIOD[0]), "yyyyMMdd"), F.to_date(F.lit(P.PERIOD[1]), "yyyyMMdd"))
+    return AU.compare_audiences(seg, D.visit_leads(ev), left=F.col("segment") == "seg_A",
+                                right=F.col("segment") == "seg_B", common=common)
+
+
+def audience_compare(spark, sf_dir):
+    return _audience_report(spark, sf_dir)
+
+
+def audience_side_by_side(spark, sf_dir):
+    return AU.side_by_side(_audience_report(spark, sf_dir), "ALL")
+
+
+def visits_rollup(spark, sf_dir):
+    return AU.visits_rollup(D.curated_visits(_events(spark, sf_dir)))
+
+
 _RAW_QUERIES: dict[str, Query] = {
     "sessions_before_conversion": sessions_before_conversion,
     "sessions_before_hist": sessions_before_hist,
@@ -177,6 +201,9 @@ _RAW_QUERIES: dict[str, Query] = {
     "id_from_url": id_from_url,
     "source_date_ranges": source_date_ranges,
     "prospect_segments": prospect_segments,
+    "audience_compare": audience_compare,
+    "audience_side_by_side": audience_side_by_side,
+    "visits_rollup": visits_rollup,
 }
 
 QUERIES: dict[str, Query] = {k: _present(v) for k, v in _RAW_QUERIES.items()}
