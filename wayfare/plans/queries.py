@@ -15,6 +15,8 @@ from wayfare.operators import funnel as FU
 from wayfare.operators import identity as I
 from wayfare.operators import segments as SG
 from wayfare.operators import paths as PA
+from wayfare.operators import propensity as PR
+from wayfare.operators import quality as Q
 from wayfare.operators import sessions as S
 from wayfare.plans import params as P
 from wayfare.sources import driver as D
@@ -178,6 +180,63 @@ def visits_rollup(spark, sf_dir):
     return AU.visits_rollup(D.curated_visits(_events(spark, sf_dir)))
 
 
+# -- P20-P27 ------------------------------------------------------------------
+
+def propensity_features(spark, sf_dir):
+    a0, a1, step = P.TRAIN_ANCHORS
+    return PR.build_features(_events(spark, sf_dir), a0, a1, step, P.LOOKBACK_DAYS, P.HORIZON_DAYS)
+
+
+def propensity_scoring(spark, sf_dir):
+    a0, a1, step = P.SCORE_ANCHORS
+    return PR.build_features(_events(spark, sf_dir), a0, a1, step, P.LOOKBACK_DAYS, P.HORIZON_DAYS)
+
+
+def propensity_split(spark, sf_dir):
+    return PR.split_by_user(propensity_features(spark, sf_dir), P.TEST_SHARE, P.SPLIT_SEED)
+
+
+def propensity_lift(spark, sf_dir):
+    test = propensity_split(spark, sf_dir).filter("dataset_split")
+    return PR.lift_by_band(PR.rule_score(test))
+
+
+def propensity_segments(spark, sf_dir):
+    return PR.segment_crosstab(PR.rule_score(propensity_scoring(spark, sf_dir)))
+
+
+def _trained(spark, sf_dir):
+    from wayfare.session import cut_lineage
+    split = cut_lineage(propensity_split(spark, sf_dir))
+    model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED)
+    return model, split
+
+
+def propensity_train_predict(spark, sf_dir):
+    """Train on the training users, score the scoring-period table."""
+    model, _ = _trained(spark, sf_dir)
+    scored = PR.score(model, propensity_scoring(spark, sf_dir))
+    return scored.select("anchor_date", "user_pseudo_id", "target_conversion", "propensity_score")
+
+
+def propensity_evaluate(spark, sf_dir):
+    """Held-out (test users) and out-of-time (scoring period) metrics."""
+    model, split = _trained(spark, sf_dir)
+    a = PR.evaluate(PR.score(model, split.filter("dataset_split"))).withColumn("dataset", F.lit("test_split"))
+    b = PR.evaluate(PR.score(model, propensity_scoring(spark, sf_dir))).withColumn("dataset", F.lit("out_of_time"))
+    return a.unionByName(b)
+
+
+PARAM_COLUMNS = ["ga_session_id", "page_location", "lead_name", "payment_type", "booking_status",
+                 "p_journey_is_destex", "p_journey_code", "p_departure_date", "p_sub_category",
+                 "experiment_id", "variation_id", "cta_name", "cta_type", "voyage_funnel_step_name",
+                 "uwrid", "market", "ab_component_tests"]
+
+
+def param_coverage(spark, sf_dir):
+    return Q.param_coverage(_events(spark, sf_dir), PARAM_COLUMNS, by=["event_name"])
+
+
 _RAW_QUERIES: dict[str, Query] = {
     "sessions_before_conversion": sessions_before_conversion,
     "sessions_before_hist": sessions_before_hist,
@@ -204,6 +263,14 @@ _RAW_QUERIES: dict[str, Query] = {
     "audience_compare": audience_compare,
     "audience_side_by_side": audience_side_by_side,
     "visits_rollup": visits_rollup,
+    "propensity_features": propensity_features,
+    "propensity_scoring": propensity_scoring,
+    "propensity_split": propensity_split,
+    "propensity_lift": propensity_lift,
+    "propensity_segments": propensity_segments,
+    "propensity_train_predict": propensity_train_predict,
+    "propensity_evaluate": propensity_evaluate,
+    "param_coverage": param_coverage,
 }
 
 QUERIES: dict[str, Query] = {k: _present(v) for k, v in _RAW_QUERIES.items()}
