@@ -32,46 +32,56 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def running_aggregate(df: DataFrame, keys: list[str], ts: str, value: str | Column,
-                      out: str, agg: str = "sum", frame: str = "le",
+                      out: str | list[str], agg: str = "sum", frame: str | list[str] = "le",
                       tiebreak: list[str] | None = None,
                       bucket_micros: int = DEFAULT_BUCKET_MICROS) -> DataFrame:
-    """Add column ``out`` = agg(value) over rows of the same key ordered by ``ts``.
+    """Add column(s) ``out`` = agg(value) over rows of the same key ordered by ``ts``.
 
-    frame:
+    frame (one per output):
       ``le``      rows with ts <= current ts (peers with equal ts included)
       ``lt``      rows with ts <  current ts
       ``rows_lt`` rows strictly before the current row in (ts, *tiebreak) order
     For ``sum`` the result is 0 when nothing precedes; for ``max``/``min`` NULL.
+
+    Bucket totals are aggregated from the windowed rows themselves, so the
+    plan shuffles the input once (by key and bucket) and the totals branch
+    reuses that exchange instead of recomputing the input.
     """
     if agg not in _AGG:
         raise ValueError(f"agg must be one of {list(_AGG)}")
+    outs = [out] if isinstance(out, str) else list(out)
+    frames = [frame] * len(outs) if isinstance(frame, str) else list(frame)
     fn = _AGG[agg]
     val = F.col(value) if isinstance(value, str) else value
-    b = "_rb_bucket"
-    v = "_rb_value"
+    b, v = "_rb_bucket", "_rb_value"
     work = df.withColumn(b, F.floor(F.col(ts) / F.lit(bucket_micros)).cast("long")).withColumn(v, val)
 
     part = Window.partitionBy(*keys, b)
-    if frame == "le":
-        w = part.orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    elif frame == "lt":
-        w = part.orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, -1)
-    elif frame == "rows_lt":
-        w = part.orderBy(F.col(ts), *[F.col(c) for c in (tiebreak or [])]) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        raise ValueError("frame must be le, lt or rows_lt")
-    work = work.withColumn("_rb_in", fn(F.col(v)).over(w))
+    ins = []
+    for i, fr in enumerate(frames):
+        if fr == "le":
+            w = part.orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        elif fr == "lt":
+            w = part.orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, -1)
+        elif fr == "rows_lt":
+            w = part.orderBy(F.col(ts), *[F.col(c) for c in (tiebreak or [])]) \
+                .rowsBetween(Window.unboundedPreceding, -1)
+        else:
+            raise ValueError("frame must be le, lt or rows_lt")
+        work = work.withColumn(f"_rb_in{i}", fn(F.col(v)).over(w))
+        ins.append(f"_rb_in{i}")
 
     totals = work.groupBy(*keys, b).agg(fn(F.col(v)).alias("_rb_tot"))
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, b, fn(F.col("_rb_tot")).over(wb).alias("_rb_before"))
 
     joined = work.join(totals, on=[*keys, b], how="inner")
-    if agg == "sum":
-        res = F.coalesce(F.col("_rb_before"), F.lit(0)) + F.coalesce(F.col("_rb_in"), F.lit(0))
-    elif agg == "max":
-        res = F.greatest(F.col("_rb_before"), F.col("_rb_in"))
-    else:
-        res = F.least(F.col("_rb_before"), F.col("_rb_in"))
-    return joined.withColumn(out, res).drop(b, v, "_rb_in", "_rb_before")
+    for o, c in zip(outs, ins):
+        if agg == "sum":
+            res = F.coalesce(F.col("_rb_before"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
+        elif agg == "max":
+            res = F.greatest(F.col("_rb_before"), F.col(c))
+        else:
+            res = F.least(F.col("_rb_before"), F.col(c))
+        joined = joined.withColumn(o, res)
+    return joined.drop(b, v, "_rb_before", *ins)

@@ -77,8 +77,7 @@ def _session_counts(actions: DataFrame, sess: DataFrame, keys: list[str]) -> Dat
     pts_a = actions.select(*[F.col(c) for c in act_cols], F.col("action_ts").alias("_t"),
                            F.lit(0).alias("_is_s"))
     pts = pts_a.unionByName(pts_s, allowMissingColumns=True)
-    pts = running_aggregate(pts, [U], "_t", "_is_s", "n_le", agg="sum", frame="le")
-    pts = running_aggregate(pts, [U], "_t", "_is_s", "n_lt", agg="sum", frame="lt")
+    pts = running_aggregate(pts, [U], "_t", "_is_s", ["n_le", "n_lt"], agg="sum", frame=["le", "lt"])
     acts = pts.filter(F.col("_is_s") == 0).drop("_is_s")
     # N(p) = N at the previous action of the same key; N is non-decreasing in t,
     # so it is the running max over strictly earlier actions.
