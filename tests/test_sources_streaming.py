@@ -52,7 +52,7 @@ def test_streaming_conversions_available_now(spark):
 def test_materialised_pipeline(spark):
     from wayfare.plans.pipeline import run
     out = tempfile.mkdtemp(prefix="wayfare-wh-")
-    paths = run(spark, SF, out)
+    paths = run(spark, "/root/testdata/sf0.01", out)
     preds = spark.read.parquet(paths["predictions"])
     assert preds.count() == spark.read.parquet(paths["scoring"]).count()
     assert preds.filter((F.col("propensity_score") < 0) | (F.col("propensity_score") > 1)).count() == 0

@@ -224,10 +224,12 @@ def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: in
     t = class_weights(train).withColumn("is_validation", user_bucket(seed + 1) < F.lit(int(validation_share * 100)))
     t = t.withColumn("label", F.col("target_conversion").cast("double"))
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    early_stop = {"validationIndicatorCol": "is_validation", "validationTol": 0.001}
+    if not t.filter("is_validation").limit(1).count() or not t.filter(~F.col("is_validation")).limit(1).count():
+        early_stop = {}          # tiny inputs: no user left for one side of the split
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
                         maxIter=max_iter, stepSize=0.1, maxDepth=6, minInstancesPerNode=1,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8",
-                        validationIndicatorCol="is_validation", validationTol=0.001, seed=seed)
+                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **early_stop)
     return Pipeline(stages=[asm, gbt]).fit(t)
 
 
