@@ -60,12 +60,13 @@ def conversions(events: DataFrame, rules: dict[str, Column] | None = None,
     ev = events
     if since is not None:
         ev = ev.filter(F.col("event_date") >= F.lit(since))
-    cols = [F.col(U), F.col(TS).alias("action_ts"), label.alias("action_type")]
+    cols = [F.col(U), F.col(TS).alias("action_ts")]
     if keep_session:
         cols.append(F.col(SID).alias("conversion_session_id"))
-    acts = ev.select(*cols).filter(F.col("action_type").isNotNull())
+    acts = ev.select(*cols, label.alias("action_type")).filter(F.col("action_type").isNotNull())
     if total_label:
-        acts = acts.unionByName(acts.withColumn("action_type", F.lit(total_label)))
+        # replicate each conversion under the merged label in the same scan
+        acts = acts.withColumn("action_type", F.explode(F.array(F.col("action_type"), F.lit(total_label))))
     return acts
 
 

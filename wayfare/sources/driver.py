@@ -69,7 +69,9 @@ def _s(c: Column) -> Column:
 
 def flat_events_from_driver(raw: DataFrame) -> DataFrame:
     """Driver ``events`` -> flat GA4-style event view (pure projection)."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    # props is the fixed one-key JSON object {"k": <int>}; a regex capture reads it
+    # ~3x cheaper than a JSON parse (the DuckDB twin parses the JSON properly).
+    k = F.regexp_extract("props", r'"k"\s*:\s*(-?\d+)', 1).cast("int")
     base = raw.select(
         "event_id", "ts", "user_id", "event_type", "value",
         k.alias("_k"), F.pmod("event_id", F.lit(100)).cast("int").alias("_j"),
