@@ -85,3 +85,21 @@ def test_bucketize_first_rule_wins(spark):
     df = spark.createDataFrame([(-3,), (0,), (5,), (400,), (None,)], "d int")
     got = [r.b for r in df.select(B.bucketize(F.col("d"), B.DEPARTURE_BANDS, B.DEPARTURE_ELSE).alias("b")).collect()]
     assert got[:4] == ["0 - Dopo la partenza", "1 - Giorno di partenza", "2 - 1-7 giorni", "7 - 365+ giorni"]
+
+
+def test_not_in_with_null_vs_anti_join(spark):
+    """Why exclusion is always a left_anti join: NOT IN with one NULL key drops everything."""
+    users = spark.createDataFrame([("a",), ("b",)], "u string")
+    bad = spark.createDataFrame([("a",), (None,)], "u string")
+    users.createOrReplaceTempView("t_users")
+    bad.createOrReplaceTempView("t_bad")
+    assert spark.sql("SELECT u FROM t_users WHERE u NOT IN (SELECT u FROM t_bad)").count() == 0
+    assert [r.u for r in users.join(bad, "u", "left_anti").collect()] == ["b"]
+
+
+def test_median_approx_switch(spark):
+    from wayfare.functions.stats import median_cont, median_disc
+    df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
+    r = df.agg(median_disc("x").alias("d"), median_disc("x", approx=True).alias("a"),
+               median_cont("x").alias("c")).collect()[0]
+    assert r.d == 5.0 and r.a == 5.0 and r.c == 5.5

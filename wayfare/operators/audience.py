@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.functions.stats import median_cont
+
 ECOMMERCE_TYPES = ["WBBK", "WBOF.01", "WBOF.02", "WBOF.03", "WEBQ", "WEBQ (ECommerce)", "WEBQ (PriceConfig)"]
 TYPE_ORDER = ["ALL", "ALL ECOMMERCE", "WBBK", "WBOF.01", "WBOF.02", "WBOF.03", "WEBQ", "RAQ", "RAB", "SFO"]
 
@@ -38,22 +40,25 @@ def booking_values(leads: DataFrame, status: str = "BK") -> DataFrame:
             .agg(F.sum("net_cruise_revenue").alias("total_net_cruise_revenue")))
 
 
-def _stats(df: DataFrame, keys: list[Column]) -> DataFrame:
+def _stats(df: DataFrame, keys: list[Column], approx: bool = False) -> DataFrame:
     v = F.col("total_net_cruise_revenue")
     return df.groupBy(*keys).agg(
         F.count("visitor_id").alias("count"), F.min(v).alias("min_booking_value"),
         F.max(v).alias("max_booking_value"), (F.sum(v) / F.count("visitor_id")).alias("mean_booking_value"),
-        F.sum(v).alias("total_booking_value"), F.percentile(v, 0.5).alias("median_booking_value"))
+        F.sum(v).alias("total_booking_value"),
+        median_cont("total_net_cruise_revenue", approx).alias("median_booking_value"))
 
 
 def compare_audiences(segments: DataFrame, leads: DataFrame, left: Column, right: Column,
-                      common: Column | None = None) -> DataFrame:
+                      common: Column | None = None, approx: bool = False) -> DataFrame:
+    """``approx=True`` swaps the exact median (a count per distinct value per
+    group) for a fixed-size sketch — the choice for audiences of millions."""
     segs = audiences(segments, left, right, common)
     vals = booking_values(leads)
     j = segs.join(vals, ["visitor_id", "date"], "inner")    # left join + IS NOT NULL filter
-    by_type = _stats(j, [F.col("side"), F.col("web_request_type")])
-    all_ = _stats(j, [F.col("side")]).withColumn("web_request_type", F.lit("ALL"))
-    ecom = _stats(j.filter(F.col("web_request_type").isin(ECOMMERCE_TYPES)), [F.col("side")]) \
+    by_type = _stats(j, [F.col("side"), F.col("web_request_type")], approx)
+    all_ = _stats(j, [F.col("side")], approx).withColumn("web_request_type", F.lit("ALL"))
+    ecom = _stats(j.filter(F.col("web_request_type").isin(ECOMMERCE_TYPES)), [F.col("side")], approx) \
         .withColumn("web_request_type", F.lit("ALL ECOMMERCE"))
     out = by_type.unionByName(all_).unionByName(ecom)
     t = F.col("web_request_type")

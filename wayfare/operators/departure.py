@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import buckets as B
 from wayfare.functions import vocab as V
 from wayfare.functions.dates import parse_multi_date, yyyymmdd_to_date
+from wayfare.functions.stats import median_disc
 
 U, SID, TS = "user_pseudo_id", "ga_session_id", "event_timestamp"
 
@@ -39,8 +40,8 @@ def _days(c: DataFrame) -> DataFrame:
     return c.withColumn("days_before", F.datediff("departure_date", "visit_date"))
 
 
-def _median_disc_double(col: str) -> Column:
-    return F.round(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}`)").cast("double"), 1)
+def _median_disc_double(col: str, approx: bool = False) -> Column:
+    return F.round(median_disc(col, approx).cast("double"), 1)
 
 
 def with_destination(c: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def with_destination(c: DataFrame) -> DataFrame:
                         F.coalesce(own, F.col("sub_category_session"), F.col("sub_category_user")))
 
 
-def departure_summary(c: DataFrame, by_destination: bool = False) -> DataFrame:
+def departure_summary(c: DataFrame, by_destination: bool = False, approx: bool = False) -> DataFrame:
     if by_destination:
         d = _days(with_destination(c)).filter(F.col("final_sub_category").isNotNull())
         keys = ["page_group", "final_sub_category"]
@@ -66,7 +67,7 @@ def departure_summary(c: DataFrame, by_destination: bool = False) -> DataFrame:
     out = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_pageviews"),
         F.round(F.avg("days_before"), 1).alias("avg_days_before_departure"),
-        _median_disc_double("days_before").alias("median_days_before_departure"))
+        _median_disc_double("days_before", approx).alias("median_days_before_departure"))
     return out.orderBy(*keys) if not by_destination else out.orderBy("page_group", F.col("total_pageviews").desc())
 
 

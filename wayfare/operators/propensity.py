@@ -193,10 +193,19 @@ def user_bucket(seed: int) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(100))
 
 
-def split_by_user(features: DataFrame, test: float = 0.2, seed: int = 42) -> DataFrame:
+def split_by_user(features: DataFrame, test: float = 0.2, seed: int = 42, method: str = "hash") -> DataFrame:
     """dataset_split = TRUE (test) for ``test`` of the users; all rows of a user
-    land on the same side (no leakage).  Pure projection, no join needed."""
-    return features.withColumn("dataset_split", user_bucket(seed) < F.lit(int(round(test * 100))))
+    land on the same side (no leakage).
+
+    ``hash`` (default): md5 bucket of the user — reproducible, a pure
+    projection.  ``rand``: one ``rand(seed)`` draw per distinct user joined
+    back (the warehouse behaviour; stable only for a fixed partitioning)."""
+    if method == "hash":
+        return features.withColumn("dataset_split", user_bucket(seed) < F.lit(int(round(test * 100))))
+    if method == "rand":
+        users = features.select(U).distinct().withColumn("dataset_split", F.rand(seed) >= F.lit(1 - test))
+        return features.join(users, U)
+    raise ValueError("method must be hash or rand")
 
 
 def class_weights(df: DataFrame, label: str = "target_conversion", out: str = "class_weight") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import buckets as B
 from wayfare.functions import vocab as V
 from wayfare.functions.dates import elapsed_days
+from wayfare.functions.stats import median_disc
 from wayfare.operators.ordered import running_aggregate
 
 U, SID, TS = "user_pseudo_id", "ga_session_id", "event_timestamp"
@@ -105,16 +106,16 @@ def sessions_before_conversion(actions: DataFrame, sess: DataFrame) -> DataFrame
             .filter(F.col("sessions_before_action") >= 1))
 
 
-def _median_disc(col: str) -> Column:
-    # exact lower median (an input element, no interpolation); long like the input
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}`)").cast("long")
+def _median_disc(col: str, approx: bool = False) -> Column:
+    # lower median (an input element, no interpolation); long like the input
+    return median_disc(col, approx).cast("long")
 
 
-def summarize_sessions_before(per_action: DataFrame) -> DataFrame:
+def summarize_sessions_before(per_action: DataFrame, approx: bool = False) -> DataFrame:
     return (per_action.groupBy("action_type")
             .agg(F.count(F.lit(1)).alias("occurrences"),
                  F.round(F.avg("sessions_before_action"), 2).alias("avg_sessions_before"),
-                 _median_disc("sessions_before_action").alias("median_sessions_before")))
+                 _median_disc("sessions_before_action", approx).alias("median_sessions_before")))
 
 
 def sessions_before_hist(per_action: DataFrame, bands=None, else_label=None) -> DataFrame:
@@ -141,14 +142,14 @@ def days_before_conversion(actions: DataFrame, sess: DataFrame) -> DataFrame:
                     elapsed_days("action_ts", "session_start_ts").alias("days"))
 
 
-def summarize_days_before(with_days: DataFrame, bands=None, else_label=None) -> DataFrame:
+def summarize_days_before(with_days: DataFrame, bands=None, else_label=None, approx: bool = False) -> DataFrame:
     """Summary rows and band rows in one long table (row_type)."""
     bands = bands or B.DAYS_BANDS
     else_label = else_label or B.DAYS_ELSE
     summary = (with_days.groupBy("action_type")
                .agg(F.count(F.lit(1)).alias("occurrences"),
                     F.round(F.avg("days"), 2).alias("avg_days"),
-                    _median_disc("days").alias("median_days"))
+                    _median_disc("days", approx).alias("median_days"))
                .select("action_type", F.lit("summary").alias("row_type"),
                        F.lit(None).cast("string").alias("days_bucket"),
                        "occurrences", "avg_days", "median_days"))

@@ -43,7 +43,9 @@ def to_flat(raw: DataFrame, spec: dict | None = None) -> DataFrame:
     """Nested export rows -> the flat event view used by every operator."""
     flat = flatten_events(raw, spec or DEFAULT_SPEC, keep=KEEP)
     cols = flat.columns
-    out = flat.withColumn("event_ts", F.timestamp_micros("event_timestamp").cast("timestamp_ntz"))
+    # epoch micros -> wall-clock UTC timestamp without a session-zone conversion
+    out = flat.withColumn("event_ts", F.expr(
+        "timestampadd(MICROSECOND, event_timestamp, TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
     if "event_id" not in cols:
         # stable tie-break for equal timestamps: hash of the row's identity
         out = out.withColumn("event_id", F.xxhash64("user_pseudo_id", "event_timestamp", "event_name"))
