@@ -37,8 +37,8 @@ def _present(fn: Query) -> Query:
     return run
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.read_events(spark, sf_dir)
+def _events(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None) -> DataFrame:
+    return D.read_events(spark, sf_dir, period=period)
 
 
 # -- P1 / P1b / P2 / P2b -----------------------------------------------------
@@ -74,17 +74,17 @@ def page_path_backward(spark, sf_dir):
 
 
 def suite_funnel(spark, sf_dir):
-    return FU.suite_funnel(_events(spark, sf_dir), n=P.FUNNEL_TOUCHPOINTS, period=P.PERIOD)
+    return FU.suite_funnel(_events(spark, sf_dir, P.PERIOD), n=P.FUNNEL_TOUCHPOINTS, period=P.PERIOD)
 
 
 def journey_pages(spark, sf_dir):
-    return PA.journey_pages(_events(spark, sf_dir), n=10, period=P.PERIOD)
+    return PA.journey_pages(_events(spark, sf_dir, P.PERIOD), n=10, period=P.PERIOD)
 
 
 # -- P5-P8 --------------------------------------------------------------------
 
 def _views(spark, sf_dir):
-    return DP.classified_views(_events(spark, sf_dir), period=P.PERIOD)
+    return DP.classified_views(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD)
 
 
 def departure_global(spark, sf_dir):
@@ -106,20 +106,20 @@ def departure_hist_by_dest(spark, sf_dir):
 # -- P9 / P9b / P10 / P28 -----------------------------------------------------
 
 def ab_report(spark, sf_dir):
-    return X.experiment_report(_events(spark, sf_dir), P.EXPERIMENT_ID, period=P.PERIOD)
+    return X.experiment_report(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, period=P.PERIOD)
 
 
 def ab_sample(spark, sf_dir):
-    expo = X.exposures(_events(spark, sf_dir), P.EXPERIMENT_ID, P.PERIOD)
+    expo = X.exposures(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, P.PERIOD)
     return X.deterministic_sample(X.clean_assignments(expo), P.SAMPLE_PER_VARIANT)
 
 
 def ab_clean_users(spark, sf_dir):
-    return X.clean_users_per_variant(X.exposures(_events(spark, sf_dir), P.EXPERIMENT_ID, P.PERIOD))
+    return X.clean_users_per_variant(X.exposures(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, P.PERIOD))
 
 
 def component_variant(spark, sf_dir):
-    return X.component_variant(_events(spark, sf_dir), "payment-loading-progress", "b", period=P.PERIOD)
+    return X.component_variant(_events(spark, sf_dir, P.PERIOD), "payment-loading-progress", "b", period=P.PERIOD)
 
 
 # -- P11-P16 ------------------------------------------------------------------

@@ -174,8 +174,20 @@ def flat_events_from_driver(raw: DataFrame) -> DataFrame:
     return out
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_events_from_driver(spark.read.parquet(sf_path(sf_dir, "events")))
+def read_events(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None,
+                since: str | None = None) -> DataFrame:
+    """Flat event view; ``period`` (inclusive yyyyMMdd bounds) or ``since`` are
+    applied to the raw timestamp so the Parquet reader receives them as pushed
+    filters (row-group skipping) — a filter on the derived ``event_date``
+    string could not be pushed through the projection."""
+    raw = spark.read.parquet(sf_path(sf_dir, "events"))
+    lo = period[0] if period else since
+    if lo:
+        raw = raw.filter(F.col("ts") >= F.to_timestamp_ntz(F.lit(lo), F.lit("yyyyMMdd")))
+    if period:
+        raw = raw.filter(F.col("ts") < F.date_add(F.to_date(F.lit(period[1]), "yyyyMMdd"), 1)
+                         .cast("timestamp_ntz"))
+    return flat_events_from_driver(raw)
 
 
 # --------------------------------------------------------------------------
