@@ -54,10 +54,11 @@ def running_aggregate(df: DataFrame, keys: list[str], ts: str, value: str | Colu
     fn = _AGG[agg]
     val = F.col(value) if isinstance(value, str) else value
     b, v = "_rb_bucket", "_rb_value"
-    work = df.withColumn(b, F.floor(F.col(ts) / F.lit(bucket_micros)).cast("long")).withColumn(v, val)
+    base_cols = df.columns
+    work = df.select("*", F.floor(F.col(ts) / F.lit(bucket_micros)).cast("long").alias(b), val.alias(v))
 
     part = Window.partitionBy(*keys, b)
-    ins = []
+    ins, in_cols = [], []
     for i, fr in enumerate(frames):
         if fr == "le":
             w = part.orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -68,14 +69,16 @@ def running_aggregate(df: DataFrame, keys: list[str], ts: str, value: str | Colu
                 .rowsBetween(Window.unboundedPreceding, -1)
         else:
             raise ValueError("frame must be le, lt or rows_lt")
-        work = work.withColumn(f"_rb_in{i}", fn(F.col(v)).over(w))
         ins.append(f"_rb_in{i}")
+        in_cols.append(fn(F.col(v)).over(w).alias(ins[-1]))
+    work = work.select("*", *in_cols)          # one Window node, one analysis
 
     totals = work.groupBy(*keys, b).agg(fn(F.col(v)).alias("_rb_tot"))
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, b, fn(F.col("_rb_tot")).over(wb).alias("_rb_before"))
 
     joined = work.join(totals, on=[*keys, b], how="inner")
+    outs_cols = []
     for o, c in zip(outs, ins):
         if agg == "sum":
             res = F.coalesce(F.col("_rb_before"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
@@ -83,5 +86,5 @@ def running_aggregate(df: DataFrame, keys: list[str], ts: str, value: str | Colu
             res = F.greatest(F.col("_rb_before"), F.col(c))
         else:
             res = F.least(F.col("_rb_before"), F.col(c))
-        joined = joined.withColumn(o, res)
-    return joined.drop(b, v, "_rb_before", *ins)
+        outs_cols.append(res.alias(o))
+    return joined.select(*[F.col(c) for c in base_cols if c not in outs], *outs_cols)
