@@ -68,14 +68,14 @@ def suite_funnel(events: DataFrame, n: int = 10, period: tuple[str, str] | None
                                     F.col("p_journey_code").alias("ss_journey_code")),
                            F.struct(F.col(TS), F.col("event_id"))).alias("fs"))
              .select(U, "fs.*"))
-    same_session = [F.col("b." + U) == F.col("f." + U), F.col("b." + SID) == F.col("f.ss_session")]
-    excluded = (base.filter(exclude_before).alias("b").join(first.alias("f"), same_session)
-                .filter(F.col("b." + TS) < F.col("f.ss_ts")).select(F.col("b." + U).alias(U)).distinct())
+    # one same-session join serves both the exclusion (before the step) and
+    # the touchpoints / flags (after it); excluded users are dropped at the end
+    same = (base.alias("b").join(first.alias("f"), [F.col("b." + U) == F.col("f." + U),
+                                                    F.col("b." + SID) == F.col("f.ss_session")])
+            .select("b.*", F.col("f.ss_ts"), F.col("f.ss_journey_code")))
+    excluded = same.filter((F.col(TS) < F.col("ss_ts")) & exclude_before).select(U).distinct()
     first = first.join(excluded, U, "left_anti")
-
-    after = (base.alias("b").join(first.alias("f"), same_session)
-             .filter(F.col("b." + TS) > F.col("f.ss_ts"))
-             .select("b.*", "f.ss_journey_code"))
+    after = same.filter(F.col(TS) > F.col("ss_ts"))
     w = Window.partitionBy(U).orderBy(TS, "event_id")
     touches = (after.filter(touch_filter)
                .withColumn("pv_rank", F.row_number().over(w)).filter(F.col("pv_rank") <= n)
