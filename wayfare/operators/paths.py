@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import vocab as V
 from wayfare.operators import sessions as S
+from wayfare.operators.ordered import running_aggregate
 
 U, SID, TS = "user_pseudo_id", "ga_session_id", "event_timestamp"
 
@@ -83,10 +84,13 @@ def journey_pages(events: DataFrame, n: int = 10, vocab: V.Vocab = V.DEFAULT_VOC
     keys = [U, SID]
     pv = ev.filter((F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull()) \
         .select(*keys, TS, "event_id", "page_location")
+    # previous page of the session = max (ts, event_id, url) over earlier rows,
+    # from the bucketed prefix scan: no window holds a whole session
+    prev = F.struct(F.col(TS), F.col("event_id"), F.col("page_location").alias("url"))
+    pv = running_aggregate(pv, keys, TS, prev, "_prev", agg="max", frame="rows_lt", tiebreak=["event_id"])
     w = Window.partitionBy(*keys).orderBy(TS, "event_id")
-    pv = (pv.withColumn("_prev", F.lag("page_location").over(w))
-          .filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("page_location")))
-          .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n))
+    pv = (pv.filter(F.col("_prev").isNull() | (F.col("_prev.url") != F.col("page_location")))
+          .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n))   # WindowGroupLimit
     pages = pv.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_rn") == i, F.col("page_location"))).alias(f"page_{i}") for i in range(1, n + 1)])
     flag_aggs = [F.max(F.when(F.col("page_location").contains(vocab.quote_host), 1).otherwise(0)).alias("has_FE")]
