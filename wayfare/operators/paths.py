@@ -34,7 +34,7 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
     actions = ev_a.filter(action_rule).select(
         U, F.col(TS).alias("action_ts"), F.col(SID).alias("conversion_session_id"))
     sess = S.sessions(events)
-    acts = S._session_counts(actions, sess, [U])          # n_lt, n_prev per action
+    acts, idx = S._counted_points(actions, sess, [U])     # n_lt, n_prev per action; session index
 
     # candidate session indexes: most recent first, one extra in case the
     # conversion session itself is among them and has to be skipped
@@ -43,7 +43,7 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
                     F.explode(F.sequence(F.col("n_lt"),
                                          F.greatest(F.col("n_prev") + 1, F.col("n_lt") - depth),
                                          F.lit(-1).cast("long"))).alias("session_idx")))
-    idx = S.session_index(sess).select(U, "session_idx", "session_id")
+    idx = idx.select(U, "session_idx", "session_id")
     prev = (cand.join(idx, [U, "session_idx"])
             .filter(F.col("session_id") != F.col("conversion_session_id")))
     w = Window.partitionBy(U, "action_ts").orderBy(F.col("session_idx").desc())

@@ -71,20 +71,32 @@ def conversions(events: DataFrame, rules: dict[str, Column] | None = None,
     return acts
 
 
-def _session_counts(actions: DataFrame, sess: DataFrame, keys: list[str]) -> DataFrame:
-    """Add n_le (= N(t)), n_lt (sessions started strictly before t) and
-    n_prev (= N(p), 0 when no previous action of the same key)."""
-    pts_s = sess.select(U, F.col("session_start_ts").alias("_t"), F.lit(1).alias("_is_s"))
-    act_cols = [c for c in actions.columns]
-    pts_a = actions.select(*[F.col(c) for c in act_cols], F.col("action_ts").alias("_t"),
-                           F.lit(0).alias("_is_s"))
+def _counted_points(actions: DataFrame, sess: DataFrame, keys: list[str]):
+    """One prefix scan over the merged (sessions + actions) stream of each user.
+
+    Returns (actions with n_le / n_lt / n_prev, sessions with session_idx):
+    n_le = sessions started at or before the action (N(t)), n_lt = strictly
+    before, n_prev = N at the previous action of the same key (0 if none),
+    session_idx = 1-based rank of the session in (start, session_id) order.
+    """
+    pts_s = sess.select(U, F.col("session_start_ts").alias("_t"), F.lit(1).alias("_is_s"),
+                        "session_id", "session_start_ts")
+    pts_a = actions.select(*actions.columns, F.col("action_ts").alias("_t"), F.lit(0).alias("_is_s"))
     pts = pts_a.unionByName(pts_s, allowMissingColumns=True)
-    pts = running_aggregate(pts, [U], "_t", "_is_s", ["n_le", "n_lt"], agg="sum", frame=["le", "lt"])
-    acts = pts.filter(F.col("_is_s") == 0).drop("_is_s")
+    pts = running_aggregate(pts, [U], "_t", "_is_s", ["n_le", "n_lt", "_n_rows"], agg="sum",
+                            frame=["le", "lt", "rows_lt"], tiebreak=["session_id"])
+    idx = pts.filter(F.col("_is_s") == 1).select(
+        U, (F.col("_n_rows") + 1).alias("session_idx"), "session_id", "session_start_ts")
+    acts = pts.filter(F.col("_is_s") == 0).select(*actions.columns, "_t", "n_le", "n_lt")
     # N(p) = N at the previous action of the same key; N is non-decreasing in t,
     # so it is the running max over strictly earlier actions.
     acts = running_aggregate(acts, keys, "_t", "n_le", "n_prev", agg="max", frame="lt")
-    return acts.withColumn("n_prev", F.coalesce("n_prev", F.lit(0))).drop("_t")
+    acts = acts.withColumn("n_prev", F.coalesce("n_prev", F.lit(0))).drop("_t")
+    return acts, idx
+
+
+def _session_counts(actions: DataFrame, sess: DataFrame, keys: list[str]) -> DataFrame:
+    return _counted_points(actions, sess, keys)[0]
 
 
 def session_index(sess: DataFrame) -> DataFrame:
@@ -132,10 +144,10 @@ def sessions_before_hist(per_action: DataFrame, bands=None, else_label=None) ->
 
 def days_before_conversion(actions: DataFrame, sess: DataFrame) -> DataFrame:
     """Per conversion: whole days from the first session of its reset window."""
-    acts = _session_counts(actions, sess, [U, "action_type"])
+    acts, idx = _counted_points(actions, sess, [U, "action_type"])
     acts = acts.filter(F.col("n_le") > F.col("n_prev")) \
         .withColumn("session_idx", F.col("n_prev") + 1)
-    idx = session_index(sess).select(U, "session_idx", "session_start_ts")
+    idx = idx.select(U, "session_idx", "session_start_ts")
     j = acts.join(idx, [U, "session_idx"], "inner")
     return j.select(U, "action_type", "action_ts",
                     F.col("session_start_ts").alias("window_start_ts"),
