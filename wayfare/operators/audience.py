@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.stats import median_cont
+from wayfare.operators.stats import _join, group_median
 
 ECOMMERCE_TYPES = ["WBBK", "WBOF.01", "WBOF.02", "WBOF.03", "WEBQ", "WEBQ (ECommerce)", "WEBQ (PriceConfig)"]
 TYPE_ORDER = ["ALL", "ALL ECOMMERCE", "WBBK", "WBOF.01", "WBOF.02", "WBOF.03", "WEBQ", "RAQ", "RAB", "SFO"]
@@ -40,27 +41,45 @@ def booking_values(leads: DataFrame, status: str = "BK") -> DataFrame:
             .agg(F.sum("net_cruise_revenue").alias("total_net_cruise_revenue")))
 
 
-def _stats(df: DataFrame, keys: list[Column], approx: bool = False) -> DataFrame:
-    v = F.col("total_net_cruise_revenue")
-    return df.groupBy(*keys).agg(
-        F.count("visitor_id").alias("count"), F.min(v).alias("min_booking_value"),
-        F.max(v).alias("max_booking_value"), (F.sum(v) / F.count("visitor_id")).alias("mean_booking_value"),
-        F.sum(v).alias("total_booking_value"),
-        median_cont("total_net_cruise_revenue", approx).alias("median_booking_value"))
+def _report_groups(j: DataFrame) -> DataFrame:
+    """Each booking row feeds up to three report groups: its own type, 'ALL'
+    and, for e-commerce types, 'ALL ECOMMERCE' — a bounded explode, so one
+    aggregation produces all three blocks."""
+    t = F.col("web_request_type")
+    groups = F.array(
+        F.struct(F.lit(0).alias("kind"), t.alias("label"), F.lit(True).alias("keep")),
+        F.struct(F.lit(1).alias("kind"), F.lit("ALL").alias("label"), F.lit(True).alias("keep")),
+        F.struct(F.lit(2).alias("kind"), F.lit("ALL ECOMMERCE").alias("label"),
+                 F.coalesce(t.isin(ECOMMERCE_TYPES), F.lit(False)).alias("keep")))
+    return (j.select("side", "visitor_id", "total_net_cruise_revenue",
+                     F.explode(F.filter(groups, lambda g: g["keep"])).alias("g"))
+            .select("side", F.col("g.kind").alias("_kind"), F.col("g.label").alias("web_request_type"),
+                    "visitor_id", "total_net_cruise_revenue"))
 
 
 def compare_audiences(segments: DataFrame, leads: DataFrame, left: Column, right: Column,
-                      common: Column | None = None, approx: bool = False) -> DataFrame:
-    """``approx=True`` swaps the exact median (a count per distinct value per
-    group) for a fixed-size sketch — the choice for audiences of millions."""
+                      common: Column | None = None, median: str = "exact") -> DataFrame:
+    """Per side and request type (plus 'ALL' and 'ALL ECOMMERCE'): count, min,
+    max, mean, total and median booking value.
+
+    median: ``exact`` (bounded exact selection, ``operators.stats``),
+    ``percentile`` (one exact aggregate, a count per distinct value per
+    group) or ``approx`` (fixed-size sketch)."""
     segs = audiences(segments, left, right, common)
     vals = booking_values(leads)
     j = segs.join(vals, ["visitor_id", "date"], "inner")    # left join + IS NOT NULL filter
-    by_type = _stats(j, [F.col("side"), F.col("web_request_type")], approx)
-    all_ = _stats(j, [F.col("side")], approx).withColumn("web_request_type", F.lit("ALL"))
-    ecom = _stats(j.filter(F.col("web_request_type").isin(ECOMMERCE_TYPES)), [F.col("side")], approx) \
-        .withColumn("web_request_type", F.lit("ALL ECOMMERCE"))
-    out = by_type.unionByName(all_).unionByName(ecom)
+    g = _report_groups(j)
+    keys = ["side", "_kind", "web_request_type"]
+    v = F.col("total_net_cruise_revenue")
+    aggs = [F.count("visitor_id").alias("count"), F.min(v).alias("min_booking_value"),
+            F.max(v).alias("max_booking_value"), (F.sum(v) / F.count("visitor_id")).alias("mean_booking_value"),
+            F.sum(v).alias("total_booking_value")]
+    if median == "exact":
+        out = _join(g.groupBy(*keys).agg(*aggs),
+                    group_median(g, keys, "total_net_cruise_revenue", "median_booking_value"), keys)
+    else:
+        out = g.groupBy(*keys).agg(*aggs, median_cont("total_net_cruise_revenue", median == "approx")
+                                   .alias("median_booking_value"))
     t = F.col("web_request_type")
     order = None
     for i, name in enumerate(TYPE_ORDER):
