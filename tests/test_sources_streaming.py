@@ -49,8 +49,8 @@ def test_streaming_conversions_available_now(spark):
     assert out.select("action_type").distinct().count() == 2
 
 
-def test_materialised_pipeline(spark):
-    from wayfare.plans.pipeline import run
+def test_materialised_tables(spark):
+    from wayfare.plans.materialize import run
     out = tempfile.mkdtemp(prefix="wayfare-wh-")
     paths = run(spark, "/root/testdata/sf0.01", out)
     preds = spark.read.parquet(paths["predictions"])

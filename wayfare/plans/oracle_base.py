@@ -94,7 +94,7 @@ super_id AS (
 ),
 latest_individual AS (
   SELECT 'S' || CAST(c_custkey AS VARCHAR) AS super_id, c_custkey AS latest_individual_id
-  FROM customer WHERE c_custkey % 13 <> 3
+  FROM customer WHERE c_acctbal >= 0
 ),
 booking_role AS (
   SELECT o_custkey AS IndividualId, 'B' || CAST(o_orderkey AS VARCHAR) AS BkgCod FROM orders

@@ -73,7 +73,14 @@ def cut_lineage(df, eager: bool = True):
     the executor that held them.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    from pyspark import StorageLevel
+    # persist first: otherwise the checkpoint write recomputes the whole plan
+    # a second time after the job that materialises it
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist()
+    return out
 
 
 def sf_path(sf_dir: str, table: str) -> str:
