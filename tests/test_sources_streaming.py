@@ -57,3 +57,21 @@ def test_materialised_tables(spark):
     assert preds.count() == spark.read.parquet(paths["scoring"]).count()
     assert preds.filter((F.col("propensity_score") < 0) | (F.col("propensity_score") > 1)).count() == 0
     assert spark.read.parquet(paths["importance"]).count() == 23
+
+
+def test_crm_tables_conform_to_declared_schemas(spark):
+    from wayfare.sources import crm
+    from wayfare.sources import driver as D
+    ev = D.read_events(spark, SF)
+    built = {
+        "booking_role": D.booking_role(spark, SF), "booking_header": D.booking_header(spark, SF),
+        "web_request": D.web_request(spark, SF), "super_id": D.super_ids(spark, SF),
+        "super_id_latest_individual_id": D.latest_individual(spark, SF),
+        "visitor_segments": D.visitor_segments(ev), "visit_leads": D.visit_leads(ev),
+        "visits": D.curated_visits(ev),
+    }
+    for name, df in built.items():
+        assert crm.conforms(df, name), (name, df.schema.simpleString())
+    out = tempfile.mkdtemp(prefix="wayfare-crm-")
+    built["booking_header"].write.mode("overwrite").parquet(out)
+    assert crm.read_table(spark, out, "booking_header").count() == built["booking_header"].count()
