@@ -48,3 +48,22 @@ def test_segment_bands(spark):
     df = spark.createDataFrame(rows)
     got = {r.Propensity: r.cnt for r in PR.segment_crosstab(df).collect()}
     assert got == {"Media": 2, None: 1, "Alta": 1, "Bassa": 1}
+
+
+def test_model_wiring_learns_a_real_signal(spark):
+    """On a feature table whose label depends on two features the GBT must rank well:
+    checks assembler order, class weights, the probability index and the metrics."""
+    n = 3000
+    df = spark.range(n).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_pseudo_id"),
+        *[(F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(20))).cast("long").alias(c)
+          for i, c in enumerate(PR.FEATURES)])
+    df = df.withColumn("target_conversion",
+                       ((F.col("quote_page_visits_30d") + F.col("filtri_fyc_30d")) > 24).cast("int"))
+    split = PR.split_by_user(df, 0.2, 7)
+    model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=7)
+    m = PR.evaluate(PR.score(model, split.filter("dataset_split"))).collect()[0]
+    assert m.roc_auc > 0.9 and m.recall > 0.5
+    imp = {r.feature: r.importance for r in PR.feature_importance(model, spark).collect()}
+    top2 = sorted(imp, key=imp.get, reverse=True)[:2]
+    assert set(top2) == {"quote_page_visits_30d", "filtri_fyc_30d"}
