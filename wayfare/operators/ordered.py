@@ -16,8 +16,8 @@ finishes.
 3. the bucket offset is joined back on (key, bucket).
 
 The largest window partition is therefore one key's rows within one bucket
-(tune ``bucket_micros`` down for extreme keys), and the only full-size
-shuffle is the one by (key, bucket).
+(tune ``bucket_micros`` down for extreme keys); the full-size shuffle is the
+one by (key, bucket), the totals branch shuffles pre-aggregated rows only.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ def running_aggregate(df: DataFrame, keys: list[str], ts: str, value: str | Colu
       ``rows_lt`` rows strictly before the current row in (ts, *tiebreak) order
     For ``sum`` the result is 0 when nothing precedes; for ``max``/``min`` NULL.
 
-    Bucket totals are aggregated from the windowed rows themselves, so the
-    plan shuffles the input once (by key and bucket) and the totals branch
-    reuses that exchange instead of recomputing the input.
+    The bucket totals form a second branch of at most one row per key and
+    bucket.  Column pruning narrows that branch to (key, bucket, value), so
+    it reads its input again instead of reusing the window's shuffle — the
+    price of keeping every window partition bounded.
     """
     if agg not in _AGG:
         raise ValueError(f"agg must be one of {list(_AGG)}")
