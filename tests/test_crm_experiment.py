@@ -47,3 +47,16 @@ def test_cookie_fan_out_and_empty_array(spark):
     users = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "user_pseudo_id string")
     got = sorted((r.user_pseudo_id, r.IndividualId) for r in I.link_individuals(users, sup, latest).collect())
     assert got == [("c1", "10"), ("c1", "20"), ("c2", "20")]
+
+
+def test_report_sample_is_taken_before_the_popup_filter(spark):
+    rows = []
+    for i, u in enumerate(["u1", "u2", "u3", "u4"]):
+        rows.append(ev(10 * i + 1, u, "2024-01-01 10:00:00", "experiment_viewed", 1, experiment_id="e",
+                       variation_id="a"))
+        rows.append(ev(10 * i + 2, u, "2024-01-01 10:01:00", "content_cta", 1, cta_name="popup_funnel",
+                       cta_type="popup_seen"))
+    df = events_df(spark, rows)
+    full = X.experiment_report(df, "e").collect()[0]
+    one = X.experiment_report(df, "e", sample=1).collect()[0]
+    assert full.utenti_popup_visto == 4 and one.utenti_popup_visto == 1

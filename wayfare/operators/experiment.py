@@ -34,10 +34,23 @@ def multi_variant_users(expo: DataFrame) -> DataFrame:
             .filter(F.col("_n") > 1).select(U))
 
 
+def _variant_rows(vars_col: str = "_vars", null_col: str = "_has_null") -> Column:
+    """The user's distinct variants as rows: real variants, plus a NULL row when a
+    NULL-variant exposure exists (COUNT(DISTINCT) ignores NULL, so such a user is
+    single-variant and stays in as two rows)."""
+    return F.when(F.col(null_col) == 1,
+                  F.concat(F.col(vars_col), F.array(F.lit(None).cast("string")))).otherwise(F.col(vars_col))
+
+
 def clean_assignments(expo: DataFrame) -> DataFrame:
-    """Distinct (user, variant) of single-variant users.  A user with one real
-    and one NULL variant stays in as two rows (COUNT(DISTINCT) ignores NULL)."""
-    return expo.join(multi_variant_users(expo), U, "left_anti").distinct()
+    """Distinct (user, variant) of single-variant users, from one aggregation per
+    user: the set of variants (at most a handful, ``collect_set``) and a
+    NULL-variant flag; users with two or more real variants are dropped.  Same
+    rows as excluding multi-variant users with an anti-join, in one shuffle."""
+    prof = expo.groupBy(U).agg(
+        F.collect_set("variation_id").alias("_vars"),
+        F.max(F.col("variation_id").isNull().cast("int")).alias("_has_null"))
+    return prof.filter(F.size("_vars") <= 1).select(U, F.explode(_variant_rows()).alias("variation_id"))
 
 
 def clean_users_per_variant(expo: DataFrame) -> DataFrame:
@@ -61,30 +74,45 @@ def popup_seen_users(events: DataFrame, period=None) -> DataFrame:
 
 def experiment_report(events: DataFrame, experiment_id: str, period=None,
                       vocab: V.Vocab = V.DEFAULT_VOCAB, sample: int | None = None) -> DataFrame:
-    expo = exposures(events, experiment_id, period)
-    assign = clean_assignments(expo)
-    if sample is not None:
-        assign = deterministic_sample(assign, sample)
-    cluster = assign.join(popup_seen_users(events, period), U)
+    """Per variant: users who saw the popup and their general / post-popup flags.
+
+    One scan and one aggregation per user compute everything: the user's
+    variants, the first popup view, and for each action both "any" and the
+    latest timestamp — an action happened after the first popup exactly when
+    its latest occurrence is after it.  The per-variant totals are a second,
+    tiny aggregation."""
     ev = events if period is None else events.filter(F.col("event_date").between(*period))
-    ue = ev.join(cluster.select(U).distinct(), U, "left_semi") \
-        .select(U, TS, "event_name", F.col("raw_url"), "lead_name", "payment_type",
-                "p_journey_is_destex", "cta_name")
-    after = F.col(TS) > F.col("popup_seen_timestamp")
-    hold = (F.col("event_name") == V.GENERATE_LEAD) & (F.col("lead_name") == V.LEAD_NAME_BOOKING)
+    ev = ev.filter(F.col(U).isNotNull())
+    name = F.col("event_name")
+    expo = (name == V.EXPERIMENT_VIEWED) & (F.col("experiment_id") == experiment_id)
+    popup = (name == V.CONTENT_CTA) & (F.col("cta_name") == V.CTA_POPUP) & (F.col("cta_type") == V.CTA_POPUP_SEEN)
+    hold = (name == V.GENERATE_LEAD) & (F.col("lead_name") == V.LEAD_NAME_BOOKING)
     buy = V.purchase("C")
-    click = (F.col("event_name") == V.CONTENT_CTA) & (F.col("cta_name") == V.CTA_RETURN_TO_FUNNEL)
+    click = (name == V.CONTENT_CTA) & (F.col("cta_name") == V.CTA_RETURN_TO_FUNNEL)
 
-    def flag(c):
+    def any_(c):
         return F.max(F.when(c, 1).otherwise(0))
-
-    flags = (cluster.join(ue, U, "left").groupBy(U, "variation_id").agg(
-        flag(F.col("raw_url").like(f"%{vocab.funnel_host}/%")).alias("has_funnel_entry"),
-        flag(hold).alias("has_booking_hold"), flag(buy).alias("has_purchase"),
-        flag(click).alias("has_click_popup"),
-        flag(hold & after).alias("has_booking_hold_post_popup"),
-        flag(buy & after).alias("has_purchase_post_popup"),
-        flag(click & after).alias("has_click_popup_post_popup")))
+    per_user = ev.groupBy(U).agg(
+        F.collect_set(F.when(expo, F.col("variation_id"))).alias("_vars"),
+        F.max(F.when(expo & F.col("variation_id").isNull(), 1).otherwise(0)).alias("_has_null"),
+        F.max(expo.cast("int")).alias("_exposed"),
+        F.min(F.when(popup, F.col(TS))).alias("_popup"),
+        any_(F.col("raw_url").like(f"%{vocab.funnel_host}/%")).alias("has_funnel_entry"),
+        any_(hold).alias("has_booking_hold"), F.max(F.when(hold, F.col(TS))).alias("_hold_last"),
+        any_(buy).alias("has_purchase"), F.max(F.when(buy, F.col(TS))).alias("_buy_last"),
+        any_(click).alias("has_click_popup"), F.max(F.when(click, F.col(TS))).alias("_click_last"))
+    rows = (per_user.filter((F.col("_exposed") == 1) & (F.size("_vars") <= 1))
+            .select("*", F.explode(_variant_rows()).alias("variation_id")))
+    if sample is not None:
+        rows = deterministic_sample(rows, sample)       # sampled among all clean exposed users
+    rows = rows.filter(F.col("_popup").isNotNull())
+
+    def after(last):
+        return F.when(F.col(last) > F.col("_popup"), 1).otherwise(0)
+    flags = rows.select(U, "variation_id", "has_funnel_entry", "has_booking_hold", "has_purchase",
+                        "has_click_popup", after("_hold_last").alias("has_booking_hold_post_popup"),
+                        after("_buy_last").alias("has_purchase_post_popup"),
+                        after("_click_last").alias("has_click_popup_post_popup"))
 
     def both(a, b):
         return F.sum(F.when((F.col(a) == 1) & (F.col(b) == 1), 1).otherwise(0)).cast("long")
