@@ -94,51 +94,60 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
         regex_extract_or_null(url, V.DESTINATION_ID_REGEX).alias("destination_id"),
     )
 
-    # (1) per session: distinct-session features
-    sess = (ewp.filter(F.col("ga_session_id").isNotNull())
-            .groupBy(*KEY, "ga_session_id")
-            .agg(F.max(F.col("is_vs").cast("int")).alias("_vs"),
-                 F.max((~F.col("is_vs")).cast("int")).alias("_novs"),
-                 F.max("_day").alias("_last")))
-    visits = sess.groupBy(*KEY).agg(
-        F.count_if(F.col("_vs") == 1).alias("visits_vs_count"),
-        F.count_if(F.col("_novs") == 1).alias("visits_no_vs_count"),
-        F.count_if(F.col("_last") >= F.date_sub("anchor_date", 7)).alias("visits_7d"),
-        F.count_if(F.col("_last") >= F.date_sub("anchor_date", 14)).alias("visits_14d"),
-        F.count(F.lit(1)).alias("visits_30d"))
-
-    # (2) per (anchor, user): counts, last values
+    # One multi-grain aggregation instead of three branches: every (event,
+    # anchor) row feeds its session grain and, when present, its itinerary
+    # and destination grains (fan-out <= 3).  Level 1 aggregates per
+    # (anchor, user, grain, key); level 2 folds the grains per (anchor, user).
+    grains = F.array(
+        F.struct(F.lit("sess").alias("grain"), F.col("ga_session_id").cast("string").alias("key")),
+        F.struct(F.lit("itin").alias("grain"), F.col("itinerary_id").alias("key")),
+        F.struct(F.lit("dest").alias("grain"), F.col("destination_id").alias("key")))
     name = F.col("event_name")
-    content = ewp.groupBy(*KEY).agg(
-        F.count_if(name == V.PAGE_VIEW).alias("page_views_30d"),
-        F.max("_day").alias("last_visit_date"),
-        F.count_if("is_itinerary_page").alias("itinerary_page_visits_30d"),
-        F.count_if("is_destination_page").alias("destination_page_visits_30d"),
-        F.count_if("is_quote_page").alias("quote_page_visits_30d"),
-        F.count_if("is_fyc_filter").alias("filtri_fyc_30d"),
-        F.count_if(name == V.LEAD_RAB).alias("lead_rab_30d"),
-        F.count_if(name == V.LEAD_RAQ).alias("lead_raq_30d"),
-        F.count_if(name == V.LEAD_SFO).alias("lead_sfo_30d"),
-        F.count_if(name == V.LEAD_WEBQ).alias("lead_webq_30d"),
-        F.max(F.when(F.col("is_guests_info"), 1).otherwise(0)).alias("has_seen_guests_info_30d"),
-        F.max_by("market", F.when(F.col("market").isNotNull(),
-                                  F.struct("event_timestamp", "event_id"))).alias("market"))
-
-    # (3) per (anchor, user, kind, id): repeated interest and mode
-    ids = ewp.select(*KEY, F.explode(F.array(
-        F.struct(F.lit("itin").alias("kind"), F.col("itinerary_id").alias("id")),
-        F.struct(F.lit("dest").alias("kind"), F.col("destination_id").alias("id")))).alias("x")) \
-        .select(*KEY, "x.kind", "x.id").filter(F.col("id").isNotNull())
-    per_id = ids.groupBy(*KEY, "kind", "id").agg(F.count(F.lit(1)).alias("cnt"))
-    mode_order = F.struct(-F.col("cnt"), F.col("id"))       # most events, then lowest id
+    x = ewp.select("*", F.explode(F.filter(grains, lambda g: (g["grain"] == "sess") | g["key"].isNotNull()))
+                   .alias("_g")).select("*", F.col("_g.grain").alias("grain"), F.col("_g.key").alias("key"))
+    order = F.when(F.col("market").isNotNull(), F.struct("event_timestamp", "event_id"))
+    lvl1 = x.groupBy(*KEY, "grain", "key").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.max(F.col("is_vs").cast("int")).alias("_vs"), F.max((~F.col("is_vs")).cast("int")).alias("_novs"),
+        F.max("_day").alias("_last"),
+        F.count_if(name == V.PAGE_VIEW).alias("_pv"),
+        F.count_if("is_itinerary_page").alias("_itin"), F.count_if("is_destination_page").alias("_dest"),
+        F.count_if("is_quote_page").alias("_quote"), F.count_if("is_fyc_filter").alias("_fyc"),
+        F.count_if(name == V.LEAD_RAB).alias("_rab"), F.count_if(name == V.LEAD_RAQ).alias("_raq"),
+        F.count_if(name == V.LEAD_SFO).alias("_sfo"), F.count_if(name == V.LEAD_WEBQ).alias("_webq"),
+        F.max(F.col("is_guests_info").cast("int")).alias("_guests"),
+        F.max_by("market", order).alias("_market"), F.max(order).alias("_market_order"))
+
+    g = F.col("grain")
+    sess = g == "sess"
+    visit = sess & F.col("key").isNotNull()        # NULL session ids are not visits
+
+    def on_sess(c):
+        return F.sum(F.when(sess, F.col(c))).cast("long")
 
     def _k(kind, c):
-        return F.when(F.col("kind") == kind, c)
-    interest = per_id.groupBy(*KEY).agg(
+        return F.when(g == kind, c)
+    mode_order = F.struct(-F.col("cnt"), F.col("key"))      # most events, then lowest id
+    feats = lvl1.groupBy(*KEY).agg(
+        F.count_if(visit & (F.col("_vs") == 1)).alias("visits_vs_count"),
+        F.count_if(visit & (F.col("_novs") == 1)).alias("visits_no_vs_count"),
+        F.count_if(visit & (F.col("_last") >= F.date_sub("anchor_date", 7))).alias("visits_7d"),
+        F.count_if(visit & (F.col("_last") >= F.date_sub("anchor_date", 14))).alias("visits_14d"),
+        F.count_if(visit).alias("visits_30d"),
+        on_sess("_pv").alias("page_views_30d"),
+        F.max(F.when(sess, F.col("_last"))).alias("last_visit_date"),
+        on_sess("_itin").alias("itinerary_page_visits_30d"),
+        on_sess("_dest").alias("destination_page_visits_30d"),
+        on_sess("_quote").alias("quote_page_visits_30d"),
+        on_sess("_fyc").alias("filtri_fyc_30d"),
+        on_sess("_rab").alias("lead_rab_30d"), on_sess("_raq").alias("lead_raq_30d"),
+        on_sess("_sfo").alias("lead_sfo_30d"), on_sess("_webq").alias("lead_webq_30d"),
+        F.max(F.when(sess, F.col("_guests"))).alias("has_seen_guests_info_30d"),
+        F.max_by(F.when(sess, F.col("_market")), F.when(sess, F.col("_market_order"))).alias("market"),
         F.max(_k("itin", F.col("cnt"))).alias("max_same_itinerary_30d"),
         F.max(_k("dest", F.col("cnt"))).alias("max_same_destination_30d"),
-        F.min_by(_k("itin", F.col("id")), _k("itin", mode_order)).alias("most_viewed_itinerary"),
-        F.min_by(_k("dest", F.col("id")), _k("dest", mode_order)).alias("most_viewed_destination"),
+        F.min_by(_k("itin", F.col("key")), _k("itin", mode_order)).alias("most_viewed_itinerary"),
+        F.min_by(_k("dest", F.col("key")), _k("dest", mode_order)).alias("most_viewed_destination"),
         F.when(F.count(_k("itin", F.lit(1))) > 1, 1).otherwise(0).alias("multi_itinerary_interest"),
         F.when(F.count(_k("dest", F.lit(1))) > 1, 1).otherwise(0).alias("multi_destination_interest"))
 
@@ -146,7 +155,7 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
     tgt = _explode_anchors(ev.filter(name.isin(target_events)).select(U, "_day"), a0, a1, step, 0, horizon) \
         .select(*KEY).distinct().withColumn("target_conversion", F.lit(1))
 
-    f = content.join(visits, KEY, "left").join(interest, KEY, "left").join(tgt, KEY, "left")
+    f = feats.join(tgt, KEY, "left")
 
     def z(c):
         return F.coalesce(F.col(c), F.lit(0))
