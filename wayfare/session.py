@@ -71,11 +71,21 @@ def build_session(master: str | None = None, app: str = "wayfare",
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a Spark Connect session (no driver-side context)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect raises a dedicated "not supported" error
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when unset.
 
@@ -83,7 +93,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     and is always respected.  Only when nothing is configured (unit tests,
     a laptop) do we fall back to a fresh local scratch folder.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:      # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
