@@ -95,3 +95,24 @@ def test_days_before_uses_24h_periods(spark):
     d = S.days_before_conversion(S.conversions(df, total_label=None), S.sessions(df))
     got = {r.user_pseudo_id: r.days for r in d.collect()}
     assert got == {"a": 0, "b": 1}
+
+
+def test_with_previous_and_session_index_match_plain_windows(spark):
+    rnd = random.Random(9)
+    acts = spark.createDataFrame(
+        [(f"u{rnd.randint(0, 2)}", rnd.choice(["A", "B"]), rnd.randint(0, 3 * 86_400_000_000)) for _ in range(200)],
+        "user_pseudo_id string, action_type string, action_ts long").dropDuplicates(["user_pseudo_id", "action_ts"])
+    mine = {(r.user_pseudo_id, r.action_type, r.action_ts): r.prev_action_ts for r in
+            S.with_previous(acts, ["user_pseudo_id", "action_type"]).collect()}
+    w = Window.partitionBy("user_pseudo_id", "action_type").orderBy("action_ts")
+    ref = {(r.user_pseudo_id, r.action_type, r.action_ts): r.p for r in
+           acts.select("*", F.lag("action_ts").over(w).alias("p")).collect()}
+    assert mine == ref
+
+    sess = spark.createDataFrame(
+        [(f"u{rnd.randint(0, 2)}", i, rnd.randint(0, 3 * 86_400_000_000) // 1000 * 1000) for i in range(150)],
+        "user_pseudo_id string, session_id long, session_start_ts long")
+    got = {(r.user_pseudo_id, r.session_id): r.session_idx for r in S.session_index(sess).collect()}
+    w2 = Window.partitionBy("user_pseudo_id").orderBy("session_start_ts", "session_id")
+    exp = {(r.user_pseudo_id, r.session_id): r.i for r in sess.select("*", F.row_number().over(w2).alias("i")).collect()}
+    assert got == exp
