@@ -75,3 +75,26 @@ def test_crm_tables_conform_to_declared_schemas(spark):
     out = tempfile.mkdtemp(prefix="wayfare-crm-")
     built["booking_header"].write.mode("overwrite").parquet(out)
     assert crm.read_table(spark, out, "booking_header").count() == built["booking_header"].count()
+
+
+def test_flat_event_table_stream_and_partition_pruning(spark):
+    from wayfare.operators import sessions as S
+    from wayfare.sources import driver as D
+    from wayfare.sources.tables import read_flat_events
+    from wayfare.streaming.events import start_flat_event_sink
+    src = tempfile.mkdtemp(prefix="wayfare-src-")
+    shutil.copy(os.path.join(SF, "events.parquet"), os.path.join(src, "part-0.parquet"))
+    sink, ckpt = tempfile.mkdtemp(prefix="wayfare-flat-"), tempfile.mkdtemp(prefix="wayfare-ckpt-")
+    start_flat_event_sink(spark, src, sink, ckpt).awaitTermination(120)
+    flat = read_flat_events(spark, sink)
+    direct = D.read_events(spark, SF)
+    assert dict(flat.dtypes)["event_date"] == "string"
+
+    def summary(ev):
+        per = S.sessions_before_conversion(S.conversions(ev), S.sessions(ev))
+        return sorted(tuple(r) for r in S.summarize_sessions_before(per).collect())
+    assert summary(flat) == summary(direct)
+    part = read_flat_events(spark, sink, period=("20240110", "20240112"))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_date" in plan
+    assert part.count() == direct.filter(F.col("event_date").between("20240110", "20240112")).count()

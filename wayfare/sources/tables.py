@@ -35,3 +35,24 @@ def save_model(model, path: str) -> None:
 def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def write_flat_events(events: DataFrame, path: str) -> DataFrame:
+    """Batch twin of the streaming flat-event sink: one table partitioned by date."""
+    return write_table(events, path, partition_by=["event_date"])
+
+
+def read_flat_events(spark: SparkSession, path: str, period: tuple[str, str] | None = None,
+                     since: str | None = None) -> DataFrame:
+    """Flat event table with the date bounds applied to the partition column, so
+    whole date directories are skipped before any file is opened."""
+    from pyspark.sql import functions as F
+    df = spark.read.option("basePath", path).parquet(path)
+    # partition discovery types yyyyMMdd as an integer; the event view keeps a string
+    df = df.withColumn("event_date", F.col("event_date").cast("string"))
+    lo = period[0] if period else since
+    if lo:
+        df = df.filter(F.col("event_date") >= lo)
+    if period:
+        df = df.filter(F.col("event_date") <= period[1])
+    return df

@@ -43,3 +43,17 @@ def start_conversion_sink(spark: SparkSession, source: str, sink: str, checkpoin
          .partitionBy("event_date").outputMode("append"))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
+
+
+def start_flat_event_sink(spark: SparkSession, source: str, sink: str, checkpoint: str,
+                          available_now: bool = True):
+    """Append the flat event view to a table partitioned by ``event_date``.
+
+    The adapter then runs once per event instead of once per analysis; batch
+    analyses read the table with partition pruning on the date and column
+    pruning on the parameters they use (``sources.tables.read_flat_events``)."""
+    q = (flat_event_stream(spark, source).writeStream.format("parquet")
+         .option("path", sink).option("checkpointLocation", checkpoint)
+         .partitionBy("event_date").outputMode("append"))
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
+    return q.start()
