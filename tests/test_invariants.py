@@ -49,3 +49,11 @@ def test_label_coverage_flags_truncated_labels(spark):
     ok = PR.label_coverage(ev, "2024-01-16", 14).collect()[0]
     late = PR.label_coverage(ev, "2024-01-20", 14).collect()[0]
     assert ok.covered is True and late.covered is False
+
+
+def test_check_labels_raises_on_truncated_labels(spark):
+    import pytest
+    ev = D.read_events(spark, SF)
+    PR.build_features(ev, "2024-01-04", "2024-01-16", 3, check_labels=True)
+    with pytest.raises(ValueError):
+        PR.build_features(ev, "2024-01-04", "2024-01-20", 3, check_labels=True)

@@ -69,7 +69,11 @@ def _explode_anchors(df: DataFrame, a0: _dt.date, a1: _dt.date, step: int, lo_of
 
 def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step: int,
                    lookback: int = 30, horizon: int = 14, target_events: list[str] | None = None,
-                   vocab: V.Vocab = V.DEFAULT_VOCAB) -> DataFrame:
+                   vocab: V.Vocab = V.DEFAULT_VOCAB, check_labels: bool = False) -> DataFrame:
+    """``check_labels=True`` first verifies that the data covers the last
+    anchor's label window (``require_label_coverage``)."""
+    if check_labels:
+        require_label_coverage(events, anchor_end, horizon)
     a0, a1 = _to_date(anchor_start), _to_date(anchor_end)
     target_events = target_events or [V.LEAD_WBOF_01]
     first_day = (a0 - _dt.timedelta(days=lookback)).strftime("%Y%m%d")
@@ -185,6 +189,16 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
     return out.filter(F.col("visits_30d") > 0).select(*OUTPUT_COLUMNS).orderBy(U, "anchor_date")
 
 
+def require_label_coverage(events: DataFrame, anchor_end: str, horizon: int = 14) -> None:
+    """Raise when the events end before the last anchor's label window does
+    (labels of the last anchors would be silently truncated).  Reads one
+    single-row aggregate."""
+    row = label_coverage(events, anchor_end, horizon).first()
+    if row is None or not row.covered:
+        raise ValueError(f"events end {row.data_end if row else None}, labels need {row.label_end if row else '?'}"
+                         f" (anchor {anchor_end} + {horizon} days)")
+
+
 def label_coverage(events: DataFrame, anchor_end: str, horizon: int = 14) -> DataFrame:
     """One row: last event day, last day the labels need, and whether the data covers it."""
     need = _to_date(anchor_end) + _dt.timedelta(days=horizon)
