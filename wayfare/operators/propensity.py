@@ -67,6 +67,14 @@ def _explode_anchors(df: DataFrame, a0: _dt.date, a1: _dt.date, step: int, lo_of
             .drop("_lo", "_hi", "_i"))
 
 
+def feature_period(anchor_start: str, anchor_end: str, lookback: int = 30, horizon: int = 14) -> tuple[str, str]:
+    """yyyyMMdd bounds of the events a feature table reads (observation + label windows);
+    hand them to the event reader so the scan skips everything else."""
+    a0, a1 = _to_date(anchor_start), _to_date(anchor_end)
+    return ((a0 - _dt.timedelta(days=lookback)).strftime("%Y%m%d"),
+            (a1 + _dt.timedelta(days=horizon)).strftime("%Y%m%d"))
+
+
 def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step: int,
                    lookback: int = 30, horizon: int = 14, target_events: list[str] | None = None,
                    vocab: V.Vocab = V.DEFAULT_VOCAB, check_labels: bool = False) -> DataFrame:
@@ -76,8 +84,7 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
         require_label_coverage(events, anchor_end, horizon)
     a0, a1 = _to_date(anchor_start), _to_date(anchor_end)
     target_events = target_events or [V.LEAD_WBOF_01]
-    first_day = (a0 - _dt.timedelta(days=lookback)).strftime("%Y%m%d")
-    last_day = (a1 + _dt.timedelta(days=horizon)).strftime("%Y%m%d")
+    first_day, last_day = feature_period(anchor_start, anchor_end, lookback, horizon)
     ev = (events.filter(F.col("event_date").between(first_day, last_day) & F.col(U).isNotNull())
           .withColumn("_day", F.to_date("event_date", "yyyyMMdd")))
 

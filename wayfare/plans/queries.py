@@ -182,14 +182,18 @@ def visits_rollup(spark, sf_dir):
 
 # -- P20-P27 ------------------------------------------------------------------
 
+def _features(spark, sf_dir, anchors):
+    a0, a1, step = anchors
+    period = PR.feature_period(a0, a1, P.LOOKBACK_DAYS, P.HORIZON_DAYS)
+    return PR.build_features(_events(spark, sf_dir, period), a0, a1, step, P.LOOKBACK_DAYS, P.HORIZON_DAYS)
+
+
 def propensity_features(spark, sf_dir):
-    a0, a1, step = P.TRAIN_ANCHORS
-    return PR.build_features(_events(spark, sf_dir), a0, a1, step, P.LOOKBACK_DAYS, P.HORIZON_DAYS)
+    return _features(spark, sf_dir, P.TRAIN_ANCHORS)
 
 
 def propensity_scoring(spark, sf_dir):
-    a0, a1, step = P.SCORE_ANCHORS
-    return PR.build_features(_events(spark, sf_dir), a0, a1, step, P.LOOKBACK_DAYS, P.HORIZON_DAYS)
+    return _features(spark, sf_dir, P.SCORE_ANCHORS)
 
 
 def propensity_split(spark, sf_dir):
