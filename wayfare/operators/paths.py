@@ -26,11 +26,17 @@ U, SID, TS = "user_pseudo_id", "ga_session_id", "event_timestamp"
 
 
 def page_path_backward(events: DataFrame, action_rule: Column | None = None, depth: int = 10,
-                       since: str | None = None,
-                       page_period: tuple[str, str] | None = None) -> DataFrame:
+                       since: str | None = None, page_period: tuple[str, str] | None = None,
+                       action_events: DataFrame | None = None,
+                       page_events: DataFrame | None = None) -> DataFrame:
+    """``events`` feeds the sessions (whole history).  ``action_events`` /
+    ``page_events`` optionally supply the conversion and page-view branches from
+    reads already bounded to their periods (each branch is its own scan, so a
+    pruned read costs nothing extra)."""
     if action_rule is None:
         action_rule = V.booking_hold(False) | V.purchase("A")
-    ev_a = events if since is None else events.filter(F.col("event_date") >= since)
+    ev_a = events if action_events is None else action_events
+    ev_a = ev_a if since is None else ev_a.filter(F.col("event_date") >= since)
     actions = ev_a.filter(action_rule).select(
         U, F.col(TS).alias("action_ts"), F.col(SID).alias("conversion_session_id"))
     sess = S.sessions(events)
@@ -53,7 +59,8 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
                        F.lit(0).alias("session_position"))
     all_sessions = prev.unionByName(conv)
 
-    pv = events.filter((F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull())
+    pv = (events if page_events is None else page_events).filter(
+        (F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull())
     if page_period is not None:
         pv = pv.filter(F.col("event_date").between(*page_period))
     pv = pv.select(U, F.col(SID).alias("session_id"), F.col(TS).alias("pv_ts"),

@@ -73,7 +73,9 @@ def first_visit_to_action(spark, sf_dir):
 
 def page_path_backward(spark, sf_dir):
     return PA.page_path_backward(_events(spark, sf_dir), depth=P.PAGE_PATH_DEPTH,
-                                 since=P.ACTION_SINCE, page_period=P.PERIOD)
+                                 since=P.ACTION_SINCE, page_period=P.PERIOD,
+                                 action_events=_events(spark, sf_dir, since=P.ACTION_SINCE),
+                                 page_events=_events(spark, sf_dir, period=P.PERIOD))
 
 
 def suite_funnel(spark, sf_dir):
