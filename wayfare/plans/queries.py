@@ -130,36 +130,36 @@ def component_variant(spark, sf_dir):
 # -- P11-P16 ------------------------------------------------------------------
 
 def lead_funnel_by_step(spark, sf_dir):
-    return I.lead_funnel_by_step(_events(spark, sf_dir), D.super_ids(spark, sf_dir),
+    return I.lead_funnel_by_step(_events(spark, sf_dir, P.PERIOD), D.super_ids(spark, sf_dir),
                                  D.latest_individual(spark, sf_dir), D.booking_role(spark, sf_dir),
                                  D.booking_header(spark, sf_dir), period=P.PERIOD)
 
 
 def lead_step_labels(spark, sf_dir):
-    return I.lead_step_labels(_events(spark, sf_dir), period=P.PERIOD)
+    return I.lead_step_labels(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD)
 
 
 def identity_coverage(spark, sf_dir):
-    return I.identity_coverage(_events(spark, sf_dir), D.super_ids(spark, sf_dir),
+    return I.identity_coverage(_events(spark, sf_dir, P.PERIOD), D.super_ids(spark, sf_dir),
                                D.latest_individual(spark, sf_dir), period=P.PERIOD)
 
 
 def key_match(spark, sf_dir):
-    return I.key_match(_events(spark, sf_dir), D.web_request(spark, sf_dir), period=P.PERIOD)
+    return I.key_match(_events(spark, sf_dir, P.PERIOD), D.web_request(spark, sf_dir), period=P.PERIOD)
 
 
 def id_from_url(spark, sf_dir):
-    return I.id_from_url(_events(spark, sf_dir), period=P.PERIOD)
+    return I.id_from_url(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD)
 
 
 def source_date_ranges(spark, sf_dir):
-    return I.source_date_ranges(_events(spark, sf_dir), D.web_request(spark, sf_dir),
+    return I.source_date_ranges(_events(spark, sf_dir, P.PERIOD), D.web_request(spark, sf_dir),
                                 D.booking_header(spark, sf_dir), period=P.PERIOD)
 
 
 def prospect_segments(spark, sf_dir):
     bookings = I.confirmed_bookings(D.booking_role(spark, sf_dir), D.booking_header(spark, sf_dir))
-    return SG.prospect_segments(_events(spark, sf_dir), bookings, period=P.PERIOD)
+    return SG.prospect_segments(_events(spark, sf_dir, P.PERIOD), bookings, period=P.PERIOD)
 
 
 # -- P18 / P18b / P19 ---------------------------------------------------------
