@@ -165,8 +165,8 @@ def prospect_segments(spark, sf_dir):
 # -- P18 / P18b / P19 ---------------------------------------------------------
 
 def _audience_report(spark, sf_dir):
-    ev = _events(spark, sf_dir)
-    seg = D.visitor_segments(ev)
+    ev = _events(spark, sf_dir)                              # leads: no period in the report
+    seg = D.visitor_segments(_events(spark, sf_dir, P.PERIOD))  # audiences: bounded period
     common = F.col("market").isNotNull() & F.col("date").between(
         F.to_date(F.lit(P.PERIOD[0]), "yyyyMMdd"), F.to_date(F.lit(P.PERIOD[1]), "yyyyMMdd"))
     return AU.compare_audiences(seg, D.visit_leads(ev), left=F.col("segment") == "seg_A",
