@@ -40,3 +40,19 @@ def test_every_query_has_oracle_or_is_ml():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "avg_sessions_before" in df.columns
+
+
+TZ_SENSITIVE = ["suite_funnel", "source_date_ranges", "propensity_features", "days_before_conversion",
+                "visits_rollup", "component_variant"]
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
+def test_results_do_not_depend_on_the_session_time_zone(spark, con):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        for key in TZ_SENSITIVE:
+            sp = E.queries()[key](spark, SF).toPandas()
+            assert rows_of(sp) == rows_of(con.execute(E.oracle_sql()[key]).df()), key
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
