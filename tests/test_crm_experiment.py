@@ -60,3 +60,15 @@ def test_report_sample_is_taken_before_the_popup_filter(spark):
     full = X.experiment_report(df, "e").collect()[0]
     one = X.experiment_report(df, "e", sample=1).collect()[0]
     assert full.utenti_popup_visto == 4 and one.utenti_popup_visto == 1
+
+
+def test_two_level_sample_equals_plain_rank(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_pseudo_id"),
+                                  F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("variation_id"))
+    got = {(r.user_pseudo_id, r.variation_id) for r in X.deterministic_sample(df, 150, salt_buckets=8).collect()}
+    w = Window.partitionBy("variation_id").orderBy(F.md5("user_pseudo_id"), "user_pseudo_id")
+    ref = {(r.user_pseudo_id, r.variation_id) for r in
+           df.withColumn("rn", F.row_number().over(w)).filter("rn <= 150").collect()}
+    assert got == ref and len(got) == 300

@@ -58,11 +58,23 @@ def clean_users_per_variant(expo: DataFrame) -> DataFrame:
             .agg(F.count_distinct(U).alias("utenti")).orderBy("variation_id"))
 
 
-def deterministic_sample(assign: DataFrame, n: int, key: Column | None = None) -> DataFrame:
-    """At most ``n`` users per variant, the ``n`` smallest by a hash of the user id."""
+def deterministic_sample(assign: DataFrame, n: int, key: Column | None = None,
+                         salt_buckets: int = 256) -> DataFrame:
+    """At most ``n`` users per variant, the ``n`` smallest by a hash of the user id.
+
+    A variant can hold half of all exposed users, and for n above Spark's
+    window-group-limit threshold (1000) a plain rank filter would sort a whole
+    variant in one task.  Two levels keep it exact and bounded: the n smallest
+    within each (variant, salt bucket), then the n smallest of those survivors
+    per variant (at most n x ``salt_buckets`` rows).  Every member of the global
+    top n is also in the top n of its own bucket, so nothing is lost."""
     key = F.md5(F.col(U)) if key is None else key
-    w = Window.partitionBy("variation_id").orderBy(key, F.col(U))
-    return assign.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    x = assign.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64(F.col(U)), F.lit(salt_buckets)))
+    w1 = Window.partitionBy("variation_id", "_salt").orderBy("_key", U)
+    x = x.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n)
+    w2 = Window.partitionBy("variation_id").orderBy("_key", U)
+    x = x.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n)
+    return x.drop("_rn", "_key", "_salt")
 
 
 def popup_seen_users(events: DataFrame, period=None) -> DataFrame:
