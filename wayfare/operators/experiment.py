@@ -1,14 +1,15 @@
 """A/B experiment read-outs.
 
 * ``multi_variant_users`` / ``clean_assignments``: users exposed to more
-  than one variant are removed with an anti-join (never ``NOT IN``, which
-  returns nothing as soon as one key is NULL).
+  than one variant are removed (one aggregation per user over the set of
+  variants; never ``NOT IN``, which returns nothing as soon as one key is
+  NULL).
 * ``experiment_report``: per variant, users who saw the popup, general
   conversion flags and post-exposure flags (strictly after the first
-  popup view).
+  popup view) — one scan, one aggregation per user.
 * ``deterministic_sample``: at most N users per variant ordered by a hash
-  of the user id — a rank filter, executed as a per-partition top-N
-  (``WindowGroupLimit``) before the shuffle.
+  of the user id — an exact two-level top-N (per variant and salt bucket,
+  then per variant), so no task sorts a whole variant.
 * ``component_variant``: users in a component-level test variant read from
   a JSON-as-text parameter.
 """
