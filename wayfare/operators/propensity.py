@@ -280,29 +280,35 @@ def score(model, df: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, label: str = "target_conversion", threshold: float = 0.5) -> DataFrame:
-    """One-row metrics: precision, recall, accuracy, f1, log loss, ROC AUC (distributed)."""
+    """One-row metrics: precision, recall, accuracy, f1, log loss, ROC AUC.
+
+    Both passes (confusion counts and the distributed ROC computation) read a
+    persisted two-column projection, so the features and the model transform
+    run once; the result is a single row built from the aggregated counts."""
+    from pyspark import StorageLevel
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    y = F.col(label)
-    p = F.col("propensity_score")
-    pred = (p >= threshold).cast("int")
-    eps = 1e-15
-    pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    m = scored.agg(
-        F.sum(((pred == 1) & (y == 1)).cast("long")).alias("tp"),
-        F.sum(((pred == 1) & (y == 0)).cast("long")).alias("fp"),
-        F.sum(((pred == 0) & (y == 1)).cast("long")).alias("fn"),
-        F.sum(((pred == 0) & (y == 0)).cast("long")).alias("tn"),
-        F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss"))
-    auc = BinaryClassificationEvaluator(rawPredictionCol="propensity_score", labelCol=label,
-                                        metricName="areaUnderROC").evaluate(
-        scored.withColumn(label, y.cast("double")))
-    prec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
-    rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    return m.select(prec.alias("precision"), rec.alias("recall"),
-                    ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
-                    .alias("accuracy"),
-                    F.try_divide(2 * prec * rec, prec + rec).alias("f1_score"), "log_loss",
-                    F.lit(auc).alias("roc_auc"))
+    s = scored.select(F.col(label).cast("double").alias("_y"), F.col("propensity_score").alias("_p")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        y, p = F.col("_y"), F.col("_p")
+        pred = (p >= threshold).cast("double")
+        eps = 1e-15
+        pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+        r = s.agg(F.sum(pred * y).alias("tp"), F.sum(pred * (1 - y)).alias("fp"),
+                  F.sum((1 - pred) * y).alias("fn"), F.sum((1 - pred) * (1 - y)).alias("tn"),
+                  F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss")).first()
+        auc = BinaryClassificationEvaluator(rawPredictionCol="_p", labelCol="_y",
+                                            metricName="areaUnderROC").evaluate(s)
+    finally:
+        s.unpersist()
+    tp, fp, fn, tn = (r.tp or 0.0), (r.fp or 0.0), (r.fn or 0.0), (r.tn or 0.0)
+    prec = tp / (tp + fp) if tp + fp else None
+    rec = tp / (tp + fn) if tp + fn else None
+    f1 = 2 * prec * rec / (prec + rec) if prec and rec else None
+    acc = (tp + tn) / (tp + tn + fp + fn) if tp + tn + fp + fn else None
+    return scored.sparkSession.createDataFrame(
+        [(prec, rec, acc, f1, r.log_loss, float(auc))],
+        "precision double, recall double, accuracy double, f1_score double, log_loss double, roc_auc double")
 
 
 def feature_importance(model, spark, features: list[str] | None = None) -> DataFrame:
