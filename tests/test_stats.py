@@ -34,3 +34,19 @@ def test_running_aggregate_independent_of_bucket_width(spark):
         r = running_aggregate(df, ["k"], "t", "v", ["le", "lt"], agg="sum", frame=["le", "lt"], bucket_micros=width)
         outs.append({x.id: (x.le, x.lt) for x in r.collect()})
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_audience_median_modes_agree(spark):
+    from wayfare.operators import audience as AU
+    from wayfare.sources import driver as D
+    ev = D.read_events(spark, "/root/testdata/sf0.01")
+    seg, leads = D.visitor_segments(ev), D.visit_leads(ev)
+    left, right = F.col("segment") == "seg_A", F.col("segment") == "seg_B"
+
+    def run(mode):
+        df = AU.compare_audiences(seg, leads, left, right, median=mode)
+        return {(r.side, r.web_request_type): (r.median_booking_value, r.min_booking_value, r.max_booking_value)
+                for r in df.collect()}
+    exact, pct, approx = run("exact"), run("percentile"), run("approx")
+    assert exact == pct and set(approx) == set(exact)
+    assert all(lo <= m <= hi for m, lo, hi in approx.values())
