@@ -51,21 +51,26 @@ def confirmed_bookings(role: DataFrame, header: DataFrame, status: str = "BK") -
 def first_booking_after(leads: DataFrame, bookings: DataFrame, lead_date: str,
                         key: str = "IndividualId", out: str = "first_booking_after") -> DataFrame:
     """For each lead row, the earliest booking date of the same individual strictly
-    after ``lead_date`` (NULL when none).  Rows without a key get NULL."""
+    after ``lead_date`` (NULL when none or when the lead has no individual).
+
+    Leads without an individual get a per-row surrogate key that no booking
+    carries: they stay in the same single stream (no separate branch) and are
+    spread over many keys instead of forming one NULL group."""
     day = F.datediff(F.col("_d"), F.lit("1970-01-01").cast("date")).cast("long")
-    b = bookings.select(key, F.col("confirmation_date").alias("_d")).distinct() \
-        .withColumn("_is_b", F.lit(True))
     lcols = leads.columns
-    lk = leads.withColumn("_d", F.col(lead_date)).withColumn("_is_b", F.lit(False))
+    lk = (leads.withColumn("_d", F.col(lead_date)).withColumn("_is_b", F.lit(False))
+          .withColumn("_k", F.coalesce(F.col(key).cast("string"),
+                                       F.concat(F.lit("\u0001unlinked-"),
+                                                F.xxhash64(*[F.col(c) for c in lcols]).cast("string")))))
+    b = (bookings.filter(F.col(key).isNotNull())
+         .select(key, F.col("confirmation_date").alias("_d")).distinct()
+         .withColumn("_is_b", F.lit(True)).withColumn("_k", F.col(key).cast("string")))
     pts = lk.unionByName(b, allowMissingColumns=True)
     # reversed time: "strictly later date" becomes "strictly smaller key"
-    pts = pts.withColumn("_t", -day * DAY_MICROS) \
-        .withColumn("_v", F.when(F.col("_is_b"), -day))
-    pts = running_aggregate(pts.filter(F.col(key).isNotNull()), [key], "_t", "_v", "_best", agg="max", frame="lt")
-    res = pts.filter(~F.col("_is_b")).withColumn(
-        out, F.date_add(F.lit("1970-01-01").cast("date"), (-F.col("_best")).cast("int")))
-    no_key = lk.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast("date"))
-    return res.select(*lcols, out).unionByName(no_key.select(*lcols, out))
+    pts = pts.withColumn("_t", -day * DAY_MICROS).withColumn("_v", F.when(F.col("_is_b"), -day))
+    pts = running_aggregate(pts, ["_k"], "_t", "_v", "_best", agg="max", frame="lt")
+    return pts.filter(~F.col("_is_b")).select(
+        *lcols, F.date_add(F.lit("1970-01-01").cast("date"), (-F.col("_best")).cast("int")).alias(out))
 
 
 def webq_events(events: DataFrame, period=None, steps=None) -> DataFrame:
