@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions.dates import micros_of_ntz  # noqa: F401  (re-exported helper)
 from wayfare.functions.params import DEFAULT_SPEC, flatten_events
 
 KEEP = ("user_pseudo_id", "event_timestamp", "event_date", "event_name", "event_value_in_usd")
