@@ -72,3 +72,12 @@ def test_two_level_sample_equals_plain_rank(spark):
     ref = {(r.user_pseudo_id, r.variation_id) for r in
            df.withColumn("rn", F.row_number().over(w)).filter("rn <= 150").collect()}
     assert got == ref and len(got) == 300
+
+
+def test_component_variant_text_and_json_modes_agree(spark):
+    from wayfare.sources import driver as D
+    ev = D.read_events(spark, "/root/testdata/sf0.01")
+    loose = {(r.user_pseudo_id, r.events) for r in X.component_variant(ev, "payment-loading-progress", "b").collect()}
+    strict = {(r.user_pseudo_id, r.events) for r in
+              X.component_variant(ev, "payment-loading-progress", "b", strict=True).collect()}
+    assert loose == strict and len(loose) > 0
