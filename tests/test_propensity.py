@@ -67,3 +67,19 @@ def test_model_wiring_learns_a_real_signal(spark):
     imp = {r.feature: r.importance for r in PR.feature_importance(model, spark).collect()}
     top2 = sorted(imp, key=imp.get, reverse=True)[:2]
     assert set(top2) == {"quote_page_visits_30d", "filtri_fyc_30d"}
+
+
+def test_market_opt_in(spark):
+    n = 600
+    df = spark.range(n).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_pseudo_id"),
+        *[(F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(5))).cast("long").alias(c)
+          for i, c in enumerate(PR.FEATURES)],
+        F.when(F.col("id") % 7 == 0, None).otherwise(F.element_at(F.array(F.lit("US"), F.lit("UK"), F.lit("IT")),
+                                                                   (F.col("id") % 3 + 1).cast("int"))).alias("market"))
+    df = df.withColumn("target_conversion", (F.col("market") == "US").cast("int")).fillna({"target_conversion": 0})
+    model = PR.fit_propensity(df, seed=3, include_market=True, max_iter=10)
+    imp = {r.feature: r.importance for r in PR.feature_importance(model, spark).collect()}
+    assert len(imp) == 24 and max(imp, key=imp.get) == "market_idx"
+    scored = PR.score(model, df.limit(50))
+    assert scored.filter(F.col("propensity_score").isNull()).count() == 0

@@ -246,8 +246,13 @@ def class_weights(df: DataFrame, label: str = "target_conversion", out: str = "c
     return df.join(F.broadcast(w), label)    # at most one row per class
 
 
+def model_features(include_market: bool = False) -> list[str]:
+    """Assembler inputs: the 23 trained features, plus the indexed market when opted in."""
+    return FEATURES + (["market_idx"] if include_market else [])
+
+
 def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: int = 42,
-                   validation_share: float = 0.2, max_iter: int = 100):
+                   validation_share: float = 0.2, max_iter: int = 100, include_market: bool = False):
     """Boosted trees with the reference options mapped to Spark ML.
 
     learn rate 0.1, depth 6, min child weight 1 (-> minInstancesPerNode),
@@ -257,9 +262,9 @@ def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: in
     L1/L2 leaf penalties."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    features = features or FEATURES
+    features = features or model_features(include_market)
     t = class_weights(train).withColumn("is_validation", user_bucket(seed + 1) < F.lit(int(validation_share * 100)))
     t = t.withColumn("label", F.col("target_conversion").cast("double"))
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
@@ -269,7 +274,11 @@ def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: in
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
                         maxIter=max_iter, stepSize=0.1, maxDepth=6, minInstancesPerNode=1,
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **early_stop)
-    return Pipeline(stages=[asm, gbt]).fit(t)
+    stages = [asm, gbt]
+    if include_market:
+        # market is categorical text: index it (unseen / NULL markets get their own index)
+        stages.insert(0, StringIndexer(inputCol="market", outputCol="market_idx", handleInvalid="keep"))
+    return Pipeline(stages=stages).fit(t)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -312,7 +321,9 @@ def evaluate(scored: DataFrame, label: str = "target_conversion", threshold: flo
 
 
 def feature_importance(model, spark, features: list[str] | None = None) -> DataFrame:
-    features = features or FEATURES
+    if features is None:
+        features = model_features(any(getattr(st, "getOutputCol", lambda: "")() == "market_idx"
+                                      for st in model.stages))
     imp = model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double") \
         .orderBy(F.col("importance").desc())
