@@ -28,7 +28,8 @@ U, SID, TS = "user_pseudo_id", "ga_session_id", "event_timestamp"
 def page_path_backward(events: DataFrame, action_rule: Column | None = None, depth: int = 10,
                        since: str | None = None, page_period: tuple[str, str] | None = None,
                        action_events: DataFrame | None = None,
-                       page_events: DataFrame | None = None) -> DataFrame:
+                       page_events: DataFrame | None = None,
+                       pivot_columns: int | None = None) -> DataFrame:
     """``events`` feeds the sessions (whole history).  ``action_events`` /
     ``page_events`` optionally supply the conversion and page-view branches from
     reads already bounded to their periods (each branch is its own scan, so a
@@ -68,7 +69,8 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
     sp = (all_sessions.join(pv, [U, "session_id"])
           .filter((F.col("session_position") != 0) | (F.col("pv_ts") < F.col("action_ts")))
           .select(U, "action_ts", "session_position", "page_url").distinct())
-    aggs = [F.count_if(F.col("session_position") == -i).alias(f"session_minus_{i}") for i in range(depth + 1)]
+    width = max(depth, pivot_columns or depth)      # e.g. depth 7 in a 0..10 report layout
+    aggs = [F.count_if(F.col("session_position") == -i).alias(f"session_minus_{i}") for i in range(width + 1)]
     return (sp.groupBy("page_url").agg(*aggs, F.count(F.lit(1)).alias("total_appearances"))
             .orderBy(F.col("total_appearances").desc(), "page_url"))
 

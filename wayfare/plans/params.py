@@ -6,7 +6,8 @@ The original analyses carry placeholder periods; on the driver tables
 
 ACTION_SINCE = "20240101"          # open-ended action period (>=)
 PERIOD = ("20240101", "20240131")  # bounded shard period (BETWEEN)
-PAGE_PATH_DEPTH = 10
+PAGE_PATH_DEPTH = 10          # Purchase run, and the report width
+PAGE_PATH_DEPTH_HOLD = 7      # Booking Hold run
 FUNNEL_TOUCHPOINTS = 10
 EXPERIMENT_ID = "exp_popup"
 SAMPLE_PER_VARIANT = 4000

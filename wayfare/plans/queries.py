@@ -18,6 +18,7 @@ from wayfare.operators import paths as PA
 from wayfare.operators import propensity as PR
 from wayfare.operators import quality as Q
 from wayfare.operators import sessions as S
+from wayfare.functions import vocab as V
 from wayfare.plans import params as P
 from wayfare.sources import driver as D
 
@@ -71,6 +72,24 @@ def first_visit_to_action(spark, sf_dir):
 
 # -- P3 / P4 / P17 -----------------------------------------------------------
 
+def _page_path_per_type(spark, sf_dir, rule, depth):
+    """One run per conversion type, as the analysis is meant to be used
+    (depth 7 for Booking Hold, 10 for Purchase; columns up to 10 either way)."""
+    return PA.page_path_backward(_events(spark, sf_dir), action_rule=rule, depth=depth,
+                                 since=P.ACTION_SINCE, page_period=P.PERIOD,
+                                 action_events=_events(spark, sf_dir, since=P.ACTION_SINCE),
+                                 page_events=_events(spark, sf_dir, period=P.PERIOD),
+                                 pivot_columns=P.PAGE_PATH_DEPTH)
+
+
+def page_path_backward_hold(spark, sf_dir):
+    return _page_path_per_type(spark, sf_dir, V.booking_hold(False), P.PAGE_PATH_DEPTH_HOLD)
+
+
+def page_path_backward_purchase(spark, sf_dir):
+    return _page_path_per_type(spark, sf_dir, V.purchase("A"), P.PAGE_PATH_DEPTH)
+
+
 def page_path_backward(spark, sf_dir):
     return PA.page_path_backward(_events(spark, sf_dir), depth=P.PAGE_PATH_DEPTH,
                                  since=P.ACTION_SINCE, page_period=P.PERIOD,
@@ -252,6 +271,8 @@ _RAW_QUERIES: dict[str, Query] = {
     "days_before_conversion": days_before_conversion,
     "first_visit_to_action": first_visit_to_action,
     "page_path_backward": page_path_backward,
+    "page_path_backward_hold": page_path_backward_hold,
+    "page_path_backward_purchase": page_path_backward_purchase,
     "suite_funnel": suite_funnel,
     "journey_pages": journey_pages,
     "departure_global": departure_global,
