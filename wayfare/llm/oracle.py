@@ -22,4 +22,32 @@ SELECT page_id, host, path,
 FROM parts
 """
 
-ORACLE = {"op10_url_filter": OP10}
+OP7 = r"""
+WITH weights(source, weight) AS (
+    SELECT 'src' || i, CASE WHEN i = 0 THEN 3.0 ELSE 1.0 END FROM range(20) t(i)),
+grouped AS (
+    SELECT d.*, w.source AS g, coalesce(w.weight, 1.0) AS weight
+    FROM documents d LEFT JOIN weights w ON d.source = w.source),
+sizes AS (SELECT g, any_value(weight) AS weight, sum(coalesce(length(text), 0)) AS size FROM grouped GROUP BY g),
+rates AS (
+    SELECT g, weight / (SELECT sum(weight) FROM sizes WHERE size > 0)
+              * (SELECT sum(size) FROM sizes) / size AS rate
+    FROM sizes WHERE size > 0),
+steps AS (
+    SELECT g, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS at_most
+    FROM rates, range(200) t(k)),
+drawn AS (
+    SELECT d.*, CAST('0x' || substr(md5('20:' || CAST(doc_id AS VARCHAR) || ':0'), 1, 13) AS BIGINT)
+                / 4503599627370496.0 AS u
+    FROM grouped d),
+counted AS (
+    SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
+           any_value(d.n_chars) AS n_chars, count(*) AS copies
+    FROM drawn d JOIN steps s ON d.g IS NOT DISTINCT FROM s.g AND s.at_most <= d.u
+    GROUP BY d.doc_id)
+SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy,
+       md5('20 place:' || CAST(doc_id AS VARCHAR) || ':' || CAST(c AS VARCHAR)) AS shuffle_key
+FROM counted, range(copies) t(c)
+"""
+
+ORACLE = {"op7_poisson_mixing": OP7, "op10_url_filter": OP10}

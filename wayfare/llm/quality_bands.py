@@ -24,8 +24,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfare.llm.common import by_row
 
@@ -139,9 +141,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text passes ``quality`` (narrow, no join)."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     def passes(texts: pd.Series) -> pd.Series:
         compressor = zstandard.ZstdCompressor(level=LEVEL)
 
@@ -154,4 +153,4 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return pd.Series([one(t) for t in texts], dtype=bool)
 
-    return docs.filter(F.pandas_udf(lambda t: passes(t), "boolean", 200)(F.col(f"`{text_col}`")))
+    return docs.filter(F.pandas_udf(passes, "boolean")(F.col(f"`{text_col}`")))

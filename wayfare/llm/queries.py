@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm import quality_bands, url_filter
+from wayfare.llm import language_id, mixing, quality_bands, token_counts, url_filter
 from wayfare.llm.common import table
 
 
@@ -10,8 +10,21 @@ def op2_quality_bands(spark, sf_dir):
     return quality_bands.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_poisson_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_bands, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_bands, op7_poisson_mixing, op8_language_id, op9_token_counts,
+                                   op10_url_filter)}

@@ -92,6 +92,15 @@ def _shards(rules: list[Rule], limit: int) -> list[list[Rule]]:
     return _shards(rules[:half], limit) + _shards(rules[half:], limit)
 
 
+def _matcher(trie):
+    def match(host: pd.Series, path: pd.Series) -> pd.DataFrame:
+        found = [longest_match(trie.value, h, p) for h, p in zip(host, path)]
+        return pd.DataFrame([(*x[0], x[1], x[2]) if x else (-1, 0, False, None, None) for x in found],
+                            columns=["size", "labels", "block", "rule", "verdict"])
+
+    return F.pandas_udf(match, "struct<size:int,labels:int,block:boolean,rule:string,verdict:string>")
+
+
 def url_parts(url: str = "url") -> tuple:
     """Host (A-Z lower-cased) and path of a URL column, both empty where there is no ``://``."""
     c = F.coalesce(F.col(url), F.lit(""))
@@ -108,18 +117,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] = RULES, default: str = "
     wins, so the result does not depend on the split.
     """
     spark = pages.sparkSession
-    found = "struct<size:int,labels:int,block:boolean,rule:string,verdict:string>"
-    answers = []
-    for part in _shards(list(rules), limit):
-        trie = bounded_broadcast(spark, build_trie(part), 2 * limit)
-
-        def match(host: pd.Series, path: pd.Series, trie=trie) -> pd.DataFrame:
-            rows = [longest_match(trie.value, h, p) for h, p in zip(host, path)]
-            return pd.DataFrame([((*r[0], r[1], r[2]) if r else (-1, 0, False, None, None)) for r in rows],
-                                columns=["size", "labels", "block", "rule", "verdict"])
-
-        match.__annotations__ = {"host": pd.Series, "path": pd.Series, "trie": object, "return": pd.DataFrame}
-        answers.append(F.pandas_udf(lambda h, p, m=match: m(h, p), found, 200)("host", "path"))
+    answers = [_matcher(bounded_broadcast(spark, build_trie(part), 2 * limit))("host", "path")
+               for part in _shards(list(rules), limit)]
     best = F.greatest(*answers) if len(answers) > 1 else answers[0]
     host, path = url_parts(f"`{url_col}`")
     return (pages.select(F.col(f"`{id_col}`").alias(id_col), host, path)
