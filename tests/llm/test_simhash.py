@@ -1,0 +1,119 @@
+"""SimHash near-duplicates against a plain-Python fingerprint and all pairs."""
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from tests.llm.helpers import awkward, docs_df, rows, with_clashes
+from wayfare.llm import simhash as S
+
+
+def _fingerprint(text, size=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)] if len(words) >= size else [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _components(ids, fps, distance):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    distinct = sorted(set(fps))
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1:]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(b)] = find(a)
+    least = {}
+    for i, f in zip(ids, fps):
+        if i is not None:
+            least[find(f)] = min(least.get(find(f), i), i)
+    return [least.get(find(f)) for f in fps]
+
+
+def test_fingerprint_equals_the_definition():
+    rng = random.Random(1)
+    for n in list(range(12)) + [300]:
+        text = "".join(rng.choice(["Ab", "É", "x", " ", " ", "\t", "\n", "É b"]) for _ in range(n * 3))
+        for size in (1, 3, 4):
+            assert S.fingerprint(text, size) % 2 ** 64 == _fingerprint(text, size)
+    assert S.fingerprint(None) == S.fingerprint(" \n") == 0
+
+
+def test_fingerprint_of_a_text_hashed_in_parts(monkeypatch):
+    text = " ".join(f"w{i * i % 71}" for i in range(500))
+    whole = S.fingerprint(text)
+    monkeypatch.setattr(S, "HASHED_AT_ONCE", 37)
+    assert S.fingerprint(text) == whole
+
+
+def test_manhattan_distance_is_a_lower_bound():
+    rng = np.random.default_rng(0)
+    a = rng.integers(-2 ** 63, 2 ** 63, 500)
+    b = a.copy()
+    for _ in range(6):
+        b ^= np.left_shift(np.int64(1), rng.integers(0, 63, 500))
+    assert (np.abs(S.embedding(a) - S.embedding(b)).sum(axis=1) <= np.bitwise_count((a ^ b).view(np.uint64))).all()
+
+
+@pytest.mark.parametrize("distance,most", [(4, 32_768), (4, 20), (0, 32_768), (3, 20), (6, 40)])
+def test_components_equal_all_pairs(spark, distance, most):
+    rng = random.Random(distance)
+    fps = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 1, 2, 8, 30])):
+            f = base
+            for _ in range(rng.randint(0, 4)):
+                f ^= 1 << rng.randrange(64)
+            fps.append(f)
+            base = f if rng.random() < 0.3 else base
+    fps += [0, 1, 3, 2 ** 63, 2 ** 64 - 1] + [(2 ** 64 - 1) ^ (1 << i) for i in range(64)]
+    signed = sorted({f - 2 ** 64 if f >= 2 ** 63 else f for f in fps})
+    found = S.components(S.links(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3), distance, most)).collect()
+    assert len(found) == len({r.node for r in found})
+    root = {f: f for f in signed} | {r.node: r.root for r in found}
+    want = _components([f % 2 ** 64 for f in signed], [f % 2 ** 64 for f in signed], distance)
+    least = {}
+    for f in signed:
+        least[root[f]] = min(least.get(root[f], 2 ** 64), f % 2 ** 64)
+    assert [least[root[f]] for f in signed] == want
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
+    random.Random(0).shuffle(edges)
+    got = {r.node: r.root for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    data = docs.select("doc_id", "text").collect()
+    fps = [_fingerprint(r.text) for r in data]
+    want = sorted(zip([r.doc_id for r in data], [f"{f:016x}" for f in fps], _components([r.doc_id for r in data], fps, 4)))
+    assert sorted(tuple(r) for r in S.near_duplicates(docs).collect()) == want
+    kept = sorted(r.doc_id for r in S.one_of_each(docs).collect())
+    assert kept == sorted({c for *_, c in want})
+
+
+def test_awkward_rows(spark):
+    df = awkward(spark)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.near_duplicates(df).collect()}
+    assert got[1] == got[2] == got[3] == ("0" * 16, 1) and got[None][1] is None and got[5][1] == 5
+    assert S.near_duplicates(df).count() == 8
+    assert rows(S.near_duplicates(with_clashes(df))) == rows(S.near_duplicates(df))
+    assert S.near_duplicates(df.limit(0)).count() == 0 and S.one_of_each(df.limit(0)).count() == 0
+    kept = S.one_of_each(with_clashes(df))
+    assert kept.columns == with_clashes(df).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
+    texts = ["one two three four five six"] * 3
+    assert [r.component_id for r in S.near_duplicates(docs_df(spark, texts, first_id=7)).collect()] == [7, 7, 7]

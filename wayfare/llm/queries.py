@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from wayfare.llm import language_id, mixing, quality_bands, token_counts, url_filter
+from wayfare.llm import decontamination, language_id, mixing, quality_bands, simhash, token_counts, url_filter
 from wayfare.llm.common import table
 
 
+def op1_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_bands(spark, sf_dir):
     return quality_bands.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_poisson_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,5 +34,6 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_bands, op7_poisson_mixing, op8_language_id, op9_token_counts,
-                                   op10_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op7_poisson_mixing, op8_language_id, op9_token_counts,
+    op10_url_filter)}
