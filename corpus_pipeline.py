@@ -1,4 +1,9 @@
-"""Training-corpus pipeline: each stage maps documents to documents."""
+"""Training-corpus pipeline: each stage maps documents to documents.
+
+Every stage works on all rows that its predecessor kept, and all but the last
+return exactly the columns of ``documents``.  ``run`` checkpoints between
+stages, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import quality_bands
+from wayfare.llm import decontamination, mixing, pii, quality_bands, simhash
 from wayfare.llm.common import checkpointed, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the word rules or the compression bands reject go."""
     return quality_bands.kept_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality_stage)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of SimHash near-duplicates the document with the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates, mail names and credentials become pseudonyms; every document stays."""
+    return pii.pseudonymised_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated to the target weights of their sources and shuffled."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pseudonymise", pseudonymise),
+    ("mix", mix),
+]
 
-#: No SQL engine here has zstandard, XXH64 or keyed permutations; tests hold run() against brute force.
+#: zstandard, XXH64 and keyed permutations have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontamination, language_id, mixing, quality_bands, simhash, token_counts, url_filter
+from wayfare.llm import decontamination, language_id, mixing, pii, quality_bands, simhash, token_counts, url_filter
 from wayfare.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op7_poisson_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op7_poisson_mixing, op8_language_id, op9_token_counts,
+    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op5_pii_pseudonyms, op7_poisson_mixing, op8_language_id, op9_token_counts,
     op10_url_filter)}
