@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontamination, language_id, mixing, pii, quality_bands, simhash, token_counts, url_filter
+from wayfare.llm import (decontamination, html_extraction, language_id, mixing, pii, quality_bands, simhash,
+                         token_counts, url_filter)
 from wayfare.llm.common import table
 
 
@@ -22,6 +23,10 @@ def op5_pii_pseudonyms(spark, sf_dir):
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_poisson_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,5 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op5_pii_pseudonyms, op7_poisson_mixing, op8_language_id, op9_token_counts,
-    op10_url_filter)}
+    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op5_pii_pseudonyms, op6_html_extraction,
+    op7_poisson_mixing, op8_language_id, op9_token_counts, op10_url_filter)}
