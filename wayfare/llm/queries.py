@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wayfare.llm import (decontamination, html_extraction, language_id, mixing, pii, quality_bands, simhash,
-                         token_counts, url_filter)
+                         suffix_repeats, token_counts, url_filter)
 from wayfare.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op3_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffix_repeats.removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_pii_pseudonyms(spark, sf_dir):
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
@@ -44,5 +49,5 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op5_pii_pseudonyms, op6_html_extraction,
-    op7_poisson_mixing, op8_language_id, op9_token_counts, op10_url_filter)}
+    op1_simhash_dedup, op2_quality_bands, op3_decontamination, op4_suffix_dedup, op5_pii_pseudonyms,
+    op6_html_extraction, op7_poisson_mixing, op8_language_id, op9_token_counts, op10_url_filter)}
