@@ -310,6 +310,8 @@ def _shared_anchors(texts: DataFrame, copied: DataFrame, hot, parts: int) -> Dat
 
         for b in batches:
             for key, tag, z, spans in zip(*[c.to_pylist() for c in b.columns]):
+                if key is None:
+                    continue
                 raw = zstandard.ZstdDecompressor().decompress(z)
                 at, hashes = anchors(raw)
                 if spans:
@@ -346,7 +348,7 @@ def _shared_anchors(texts: DataFrame, copied: DataFrame, hot, parts: int) -> Dat
             ids.append(i[many]), tags.append(t[many]), places.append(p[many])
         return pa.table({"id": np.concatenate(ids), "tag": np.concatenate(tags), "place": np.concatenate(places)})
 
-    known = texts.filter("id IS NOT NULL").join(skipped, ["id", "tag"], "left").select("id", "tag", "z", "copied")
+    known = texts.join(skipped, ["id", "tag"], "left").select("id", "tag", "z", "copied")   # one exchange of texts serves all joins
     return (known.mapInArrow(packed, "part int, kind int, blob binary").groupBy("part")
             .applyInArrow(shared, "id long, tag long, place long"))
 
@@ -404,6 +406,8 @@ def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFram
 
         for b in batches:
             for key, tag, z, places in zip(*[c.to_pylist() for c in b.columns]):
+                if not places:
+                    continue
                 raw = zstandard.ZstdDecompressor().decompress(z)
                 for place in places:
                     for bucket, at, left, right in _contexts(raw, place):
@@ -435,7 +439,7 @@ def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFram
         out.append(np.array(found, np.int64).reshape(-1, 4).T)
         return pa.table(dict(zip(("id", "tag", "start", "end"), np.concatenate(out, axis=1))))
 
-    known = texts.join(listed, ["id", "tag"]).select("id", "tag", "z", "places")
+    known = texts.join(listed, ["id", "tag"], "left").select("id", "tag", "z", "places")
     return (known.mapInArrow(packed, "part int, kind int, blob binary").groupBy("part")
             .applyInArrow(spans, "id long, tag long, start long, end long"))
 
