@@ -10,7 +10,8 @@ conversion derives its candidate session indexes arithmetically from two
 running counts — sessions started before the action (``n_lt``) and
 sessions started at or before the previous action (``n_prev``) — and
 explodes at most ``depth + 1`` of them.  The fan-out is bounded by the
-depth, never by the user's history.
+depth, never by the user's history.  Page views are reduced to the first view
+of a URL in a session, and conversions to counts, before the two are joined.
 """
 
 from __future__ import annotations
@@ -38,8 +39,13 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
         action_rule = V.booking_hold(False) | V.purchase("A")
     ev_a = events if action_events is None else action_events
     ev_a = ev_a if since is None else ev_a.filter(F.col("event_date") >= since)
-    actions = ev_a.filter(action_rule).select(
+    raw = ev_a.filter(action_rule).select(
         U, F.col(TS).alias("action_ts"), F.col(SID).alias("conversion_session_id"))
+    # conversions of one instant are one occurrence; its lowest session id is the
+    # one skipped among the earlier sessions, all of them stand at position 0
+    actions = raw.groupBy(U, "action_ts").agg(
+        F.min("conversion_session_id").alias("conversion_session_id"),
+        F.sort_array(F.collect_set("conversion_session_id")).alias("own_sessions"))
     sess = S.sessions(events)
     acts, idx = S._counted_points(actions, sess, [U])     # n_lt, n_prev per action; session index
 
@@ -54,27 +60,49 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
     prev = (cand.join(idx, [U, "session_idx"])
             .filter(F.col("session_id") != F.col("conversion_session_id")))
     w = Window.partitionBy(U, "action_ts").orderBy(F.col("session_idx").desc())
-    prev = (prev.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth)
-            .select(U, "action_ts", "session_id", (-F.col("_rn")).alias("session_position")))
-    conv = acts.select(U, "action_ts", F.col("conversion_session_id").alias("session_id"),
-                       F.lit(0).alias("session_position"))
-    all_sessions = prev.unionByName(conv)
+    # conversions that share (session, position) are counted before they meet the pages
+    before = (prev.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth)
+              .groupBy(U, "session_id", (-F.col("_rn")).alias("session_position"))
+              .agg(F.count(F.lit(1)).alias("n")))
 
     pv = (events if page_events is None else page_events).filter(
-        (F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull())
+        (F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull() & F.col(SID).isNotNull())
     if page_period is not None:
         pv = pv.filter(F.col("event_date").between(*page_period))
-    pv = pv.select(U, F.col(SID).alias("session_id"), F.col(TS).alias("pv_ts"),
-                   F.col("page_location").alias("page_url"))
-    sp = (all_sessions.join(pv, [U, "session_id"])
-          .filter((F.col("session_position") != 0) | (F.col("pv_ts") < F.col("action_ts")))
-          .select(U, "action_ts", "session_position", "page_url").distinct())
+    pages = (pv.groupBy(U, F.col(SID).alias("session_id"), F.col("page_location").alias("page_url"))
+             .agg(F.min(TS).alias("first_view")))
+    counted = (before.join(pages, [U, "session_id"]).select("session_position", "page_url", "n")
+               .unionByName(_own_session_pages(actions, pages)))
     width = max(depth, pivot_columns or depth)      # e.g. depth 7 in a 0..10 report layout
-    aggs = [F.count_if(F.col("session_position") == -i).alias(f"session_minus_{i}") for i in range(width + 1)]
-    return (sp.groupBy("page_url").agg(*aggs, F.count(F.lit(1)).alias("total_appearances"))
+    aggs = [F.sum(F.when(F.col("session_position") == -i, F.col("n")).otherwise(0)).alias(f"session_minus_{i}")
+            for i in range(width + 1)]
+    return (counted.groupBy("page_url").agg(*aggs, F.sum("n").alias("total_appearances"))
             .orderBy(F.col("total_appearances").desc(), "page_url"))
 
 
+def _own_session_pages(actions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Position 0: per URL the conversions of the own session(s) later than its first view.
+
+    A URL was seen before a conversion iff its first view was, so a session's
+    URLs and conversions are merged into one stream by time and the conversions
+    up to each first view are subtracted from all: linear in rows, no
+    (conversion, page) pair.
+    """
+    own = actions.filter(F.size("own_sessions") > 0).select(
+        U, F.concat_ws(",", F.col("own_sessions").cast("array<string>")).alias("unit"), "own_sessions", "action_ts")
+    sessions_of = own.select(U, "unit", "own_sessions").distinct().select(
+        U, "unit", F.explode("own_sessions").alias("session_id"))
+    seen = sessions_of.join(pages, [U, "session_id"]).groupBy(U, "unit", "page_url").agg(F.min("first_view").alias("_t"))
+    stream = (seen.withColumn("_n", F.lit(0))
+              .unionByName(own.select(U, "unit", F.lit(None).cast("string").alias("page_url"),
+                                      F.col("action_ts").alias("_t"), F.lit(1).alias("_n"))))
+    stream = running_aggregate(stream, [U, "unit"], "_t", "_n", "_upto", agg="sum", frame="le")
+    totals = own.groupBy(U, "unit").agg(F.count(F.lit(1)).alias("_all"))
+    return (stream.filter(F.col("page_url").isNotNull()).join(totals, [U, "unit"])
+            .select(F.lit(0).alias("session_position"), "page_url", (F.col("_all") - F.col("_upto")).alias("n"))
+            .filter("n > 0"))
+
+
 LEAD_FLAGS = {  # output column -> event name (fixed values)
     "has_WBBK": "generate_lead_WBBK", "has_WBOF_01": "generate_lead_WBOF_01",
     "has_WBOF_02": "generate_lead_WBOF_02", "has_WBOF_03": "generate_lead_WBOF_03",

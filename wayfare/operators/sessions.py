@@ -4,8 +4,8 @@ Reset logic: for a conversion at ``t`` whose previous conversion of the same
 type (same user) was at ``p``, the window is ``(p, t]``; with no previous
 conversion it is ``(-inf, t]``.
 
-The warehouse version joins every conversion with every session of the user
-and filters on the range — a per-user cross product.  Here the same numbers
+Joining every conversion with every session of the user and filtering on the
+range would be a per-user cross product.  Here the same numbers
 come from running counts: with ``N(x)`` = number of the user's sessions that
 started at or before ``x``, the count of sessions in ``(p, t]`` is
 ``N(t) - N(p)`` and the first session in the window is the session with
@@ -70,6 +70,12 @@ def conversions(events: DataFrame, rules: dict[str, Column] | None = None,
     return acts
 
 
+def occurrences(actions: DataFrame) -> DataFrame:
+    """One row per (user, type, instant): exports repeat a timestamp within a batch,
+    and a repeated conversion must not open a window of its own."""
+    return actions.select(U, "action_type", "action_ts").distinct()
+
+
 def _counted_points(actions: DataFrame, sess: DataFrame, keys: list[str]):
     """One prefix scan over the merged (sessions + actions) stream of each user.
 
@@ -108,10 +114,11 @@ def session_index(sess: DataFrame) -> DataFrame:
 def sessions_before_conversion(actions: DataFrame, sess: DataFrame) -> DataFrame:
     """Per conversion (user, type, ts): distinct sessions started in (prev, ts].
 
-    Conversions with no session in their window are dropped (inner-join
-    semantics of the reference: a second conversion in the same session).
+    Conversions of one type at one instant are one occurrence.  Those with no
+    session in their window are dropped (a second conversion in the same
+    session).
     """
-    acts = _session_counts(actions, sess, [U, "action_type"])
+    acts = _session_counts(occurrences(actions), sess, [U, "action_type"])
     return (acts.select(U, "action_type", "action_ts",
                         (F.col("n_le") - F.col("n_prev")).alias("sessions_before_action"))
             .filter(F.col("sessions_before_action") >= 1))
@@ -142,8 +149,9 @@ def sessions_before_hist(per_action: DataFrame, bands=None, else_label=None) ->
 
 
 def days_before_conversion(actions: DataFrame, sess: DataFrame) -> DataFrame:
-    """Per conversion: whole days from the first session of its reset window."""
-    acts, idx = _counted_points(actions, sess, [U, "action_type"])
+    """Per conversion: whole days from the first session of its reset window
+    (conversions of one type at one instant are one occurrence)."""
+    acts, idx = _counted_points(occurrences(actions), sess, [U, "action_type"])
     acts = acts.filter(F.col("n_le") > F.col("n_prev")) \
         .withColumn("session_idx", F.col("n_prev") + 1)
     idx = idx.select(U, "session_idx", "session_start_ts")
@@ -184,5 +192,6 @@ def first_visit_to_action(events: DataFrame, actions: DataFrame) -> DataFrame:
 
 def with_previous(actions: DataFrame, keys: list[str], ts: str = "action_ts",
                   out: str = "prev_action_ts") -> DataFrame:
-    """LAG(ts) per key, computed as the running max of strictly earlier ts (skew-safe)."""
-    return running_aggregate(actions, keys, ts, ts, out, agg="max", frame="lt")
+    """LAG(ts) per key, computed as the running max over the rows before (skew-safe);
+    of rows with equal ts all but one see that ts."""
+    return running_aggregate(actions, keys, ts, ts, out, agg="max", frame="rows_lt")
