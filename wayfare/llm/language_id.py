@@ -11,7 +11,7 @@ the scores of its words; ``score`` is the winner's share of the likelihood.
 Learning: ``SAMPLE_DOCS`` documents of each language (about that many: those
 whose hash is below the language's cut), for at most ``MAX_LANGUAGES``
 languages, the most frequent; all words of these texts are counted by Spark.
-The tables keep the most frequent words and n-grams up to ``BROADCAST_BYTES``.
+The tables keep the most frequent words and n-grams up to ``TABLE_BYTES``.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 as is everything when there is nothing to learn from; a null id is neither
@@ -25,20 +25,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import BROADCAST_BYTES, bounded_broadcast, by_row
+from wayfare.llm.common import bounded_broadcast, by_row, checkpointed
 
 WORD = re.compile(r"[^\W\d_]+")
-GRAM_SIZES = (5, 4, 3, 2, 1)
-SAMPLE_DOCS = 4000
+GRAM_SIZES = (4, 3, 2, 1)
+SAMPLE_DOCS = 2000
 MAX_LANGUAGES = 256
 SMOOTHING = 0.5
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
+#: Bytes of the learned tables, broadcast to every task.
+TABLE_BYTES = 16 << 20
 FOLDS = 5
 
 
@@ -73,24 +76,32 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_d
     return learn.filter(cut).select("lang", "text")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and n-grams of texts, summed within a batch."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, item, n) of the words of (lang, text), summed within a batch."""
     for b in batches:
         words: Counter = Counter()
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
-                words.update((lang, w) for w in words_of(text))
-        total: Counter = Counter()
-        for (lang, w), n in words.items():
-            total[lang, 0, w] += n
-            for size in GRAM_SIZES:
-                for g in grams_of(w, size):
-                    total[lang, size, g] += n
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys]) for i in range(3)] + [pa.array(list(total.values()), pa.int64())],
-                names=["lang", "size", "item", "n"])
+                words.update(zip(repeat(lang), words_of(text)))
+        if words:
+            langs, items = zip(*words)
+            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(items), pa.array(words.values(), pa.int64())],
+                                             names=["lang", "item", "n"])
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, size, item, n) of the n-grams of counted words, summed within a batch."""
+    for b in batches:
+        for size in GRAM_SIZES:
+            total: Counter = Counter()
+            for lang, word, n in zip(*[c.to_pylist() for c in b.columns]):
+                for g in grams_of(word, size):
+                    total[lang, g] += n
+            if total:
+                langs, items = zip(*total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs), pa.array([size] * len(langs), pa.int64()), pa.array(items), pa.array(total.values(), pa.int64())],
+                    names=["lang", "size", "item", "n"])
 
 
 class Model:
@@ -100,58 +111,64 @@ class Model:
         self.langs, self.prior = langs, prior
         self.rows = {s: {x: i for i, x in enumerate(items)} for s, (items, _) in tables.items()}
         self.logs = {s: logs for s, (_, logs) in tables.items()}
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: dict[str, tuple[int, list[int]]] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        v = self.kept.get(word)
-        if v is None:
-            v = np.zeros(len(self.langs))
+    def fallback(self, word: str) -> tuple[int, list[int]]:
+        """(size, rows) of the longest n-grams of an unknown word that are known; (0, []) if none is."""
+        found = self.kept.get(word)
+        if found is None:
+            found = 0, []
             for size in GRAM_SIZES:
-                rows = self.rows.get(size, {})
-                known = [rows[g] for g in grams_of(word, size) if g in rows]
+                known = [x for x in map(self.rows.get(size, {}).get, grams_of(word, size)) if x is not None]
                 if known:
-                    v = self.logs[size][known].mean(axis=0, dtype=np.float64)
+                    found = size, known
                     break
             if len(word) <= 64:
                 if len(self.kept) >= KEPT_WORDS:
                     self.kept.clear()
-                self.kept[word] = v
-        return v
+                self.kept[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(words_of(text)) if text else None
         if not words or not self.langs:
             return "und", 0.0
-        known, times, total = [], [], self.prior.copy()
+        picked: dict[int, tuple[list[int], list[float]]] = {s: ([], []) for s in (0, *GRAM_SIZES)}
         rows = self.rows.get(0, {})
         for w, n in words.items():
             at = rows.get(w)
-            if at is None:
-                total += n * self.unseen(w)
+            if at is not None:
+                picked[0][0].append(at)
+                picked[0][1].append(n)
             else:
-                known.append(at)
-                times.append(n)
-        if known:
-            total += np.asarray(times, dtype=np.float64) @ self.logs[0][known]
+                size, known = self.fallback(w)
+                if known:
+                    picked[size][0].extend(known)
+                    picked[size][1].extend([n / len(known)] * len(known))
+        total = self.prior.copy()
+        for size, (at, weight) in picked.items():
+            if at:
+                total += np.asarray(weight) @ self.logs[size][at]
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_docs: int = SAMPLE_DOCS, limit: int = BROADCAST_BYTES) -> tuple:
+          sample_docs: int = SAMPLE_DOCS, limit: int = TABLE_BYTES) -> tuple:
     """(langs, prior, tables): the arguments of ``Model``, small enough to broadcast."""
     sample = sampled(docs, id_col, text_col, lang_col, sample_docs)
     lang_type = sample.schema["lang"].dataType.simpleString()
-    counts = (sample.mapInArrow(_counted, f"lang {lang_type}, size long, item string, n long")
-              .groupBy("lang", "size", "item").agg(F.sum("n").alias("n")))
-    from wayfare.llm.common import checkpointed
-    counts = checkpointed(counts)
+    words = checkpointed(sample.mapInArrow(_word_counts, f"lang {lang_type}, item string, n long")
+                         .groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    grams = (words.mapInArrow(_gram_counts, f"lang {lang_type}, size long, item string, n long")
+             .groupBy("lang", "size", "item").agg(F.sum("n").alias("n")))
+    counts = checkpointed(words.select("lang", F.lit(0).cast("long").alias("size"), "item", "n").unionByName(grams))
     totals = {(r["size"], r["lang"]): r["n"] for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
     if not langs:
         return [], np.zeros(0), {}
     at = {lang: i for i, lang in enumerate(langs)}
-    entries = limit // (4 * (len(langs) + 32) * (len(GRAM_SIZES) + 1))
+    entries = limit // (4 * (len(langs) + 6) * (len(GRAM_SIZES) + 1))
     tables = {}
     for size in (0, *GRAM_SIZES):
         top = (counts.filter(F.col("size") == size).groupBy("item")
@@ -174,7 +191,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
              sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row."""
     learned = bounded_broadcast(docs.sparkSession, learn(docs, id_col, text_col, lang_col, sample_docs),
-                                2 * BROADCAST_BYTES)
+                                2 * TABLE_BYTES)
     id_type = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"),
                         F.col(f"`{text_col}`").alias("text"))
