@@ -1,0 +1,103 @@
+"""Narrow period bounds, shard names, dirty properties and the nested export."""
+import duckdb
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tests.helpers import ev, events_df
+from tools.check_oracle import rows_of
+from wayfare.operators import experiment as X
+from wayfare.plans import oracle, params, queries
+from wayfare.sources import driver as D
+from wayfare.sources import ga4 as G
+
+SF = "/root/testdata/sf0.001"
+NARROW = ("20240108", "20240119")
+
+
+@pytest.fixture
+def narrow(monkeypatch):
+    """Queries and freshly written statements under narrower bounds."""
+    import importlib
+    monkeypatch.setattr(params, "PERIOD", NARROW)
+    monkeypatch.setattr(params, "ACTION_SINCE", "20240111")
+    monkeypatch.setattr(params, "TRAIN_ANCHORS", ("2024-01-12", "2024-01-18", 2))
+    monkeypatch.setattr(params, "LOOKBACK_DAYS", 6)
+    monkeypatch.setattr(params, "HORIZON_DAYS", 3)
+    sql = dict(importlib.reload(oracle).ORACLE)
+    yield sql
+    monkeypatch.undo()
+    importlib.reload(oracle)
+
+
+@pytest.mark.parametrize("key", ["sessions_before_conversion", "days_before_conversion", "first_visit_to_action", "page_path_backward",
+                                 "page_path_backward_hold", "suite_funnel", "journey_pages", "departure_by_dest", "ab_report",
+                                 "lead_funnel_by_step", "prospect_segments", "audience_compare", "propensity_features",
+                                 "nested_param_daily"])
+def test_narrow_bounds_match_the_oracles(spark, narrow, key):
+    con = duckdb.connect()
+    for t in ("events", "customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got, want = rows_of(queries.QUERIES[key](spark, SF).toPandas()), rows_of(con.execute(narrow[key]).df())
+    assert got == want
+    assert want[1]
+
+
+def _raw(spark, rows):
+    return spark.createDataFrame(rows, "shard string, event_date string, user_pseudo_id string, event_timestamp long, event_name string, "
+                                       "event_value_in_usd double, event_params array<struct<key:string,value:struct<string_value:string,"
+                                       "int_value:long,float_value:double,double_value:double>>>")
+
+
+def test_only_eight_digit_shards_are_read(spark):
+    rows = [(s, "20260102", "u", 1, "page_view", None, []) for s in ("20260102", "intraday_20260102", "2026010", "99999999x", "20260105")]
+    raw = _raw(spark, rows)
+    assert [r.shard for r in G.scan_shards(raw, "20260101").collect()] == ["20260102", "20260105"]
+    assert [r.shard for r in G.scan_shards(raw, "20260101", "20260103").collect()] == ["20260102"]
+
+
+def test_hits_of_one_instant_get_different_ids(spark):
+    def hit(page):
+        return ("20260102", "20260102", "u", 5, "page_view", None, [("page_location", (page, None, None, None))])
+    raw = _raw(spark, [hit("/a"), hit("/b")])
+    assert G.to_flat(raw).select("event_id").distinct().count() == 2
+    batch = _raw(spark, [hit("/a"), hit("/a")]).coalesce(1).withColumn("batch_event_index", F.monotonically_increasing_id())
+    flat = G.to_flat(batch)
+    assert flat.select("event_id").distinct().count() == 2 and flat.first().page_location == "/a"
+    given = raw.withColumn("event_id", F.lit(7).cast("long"))
+    assert {r.event_id for r in G.to_flat(given).collect()} == {7}
+
+
+def test_nested_export_round_trips_the_flat_view(spark):
+    flat = D.read_events(spark, SF)
+    nested = D.nested_export(flat)
+    assert nested.filter("shard <> event_date").count() > 0
+    back = G.to_flat(nested)
+    columns = [c for c in flat.columns if c != "event_id"]
+    assert flat.select(columns).exceptAll(back.select(columns)).count() == 0 and back.count() == flat.count()
+
+
+def test_dirty_props_give_null_not_an_error(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").limit(4)
+    dirty = rows.withColumn("props", F.element_at(F.array(*[F.lit(x) for x in ('{"k": "x"}', "", '{"a":{"k":5}}', '{"k": 12}')]),
+                                                  (F.row_number().over(Window.orderBy("event_id"))).cast("int")))
+    assert D.flat_events_from_driver(dirty).count() == 4
+    got = D.flat_events_from_driver(dirty.withColumn("event_type", F.lit("click"))).orderBy("event_id").collect()
+    assert [r.event_name for r in got] == ["page_view", "page_view", "page_view", "content_cta"]
+
+
+def test_funnel_entry_reads_the_page_not_the_raw_url(spark):
+    rows = [ev(1, "u", "2024-01-01 10:00:00", "experiment_viewed", 1, experiment_id="e", variation_id="a"),
+            ev(2, "u", "2024-01-01 10:01:00", "content_cta", 1, cta_name="popup_funnel", cta_type="popup_seen"),
+            ev(3, "u", "2024-01-01 10:02:00", "page_view", 1, page_location="https://booking.cruise-line.test/touchb2c/x", raw_url=None)]
+    got = X.experiment_report(events_df(spark, rows), "e").collect()
+    assert [(r.variation_id, r.funnel_entry) for r in got] == [("a", 1)]
+
+
+def test_experiment_variants_of_a_user(spark):
+    def seen(user, variant, n):
+        return [ev(n, user, "2024-01-01 10:00:00", "experiment_viewed", 1, experiment_id="e", variation_id=variant),
+                ev(n + 1, user, "2024-01-01 10:01:00", "content_cta", 1, cta_name="popup_funnel", cta_type="popup_seen")]
+    rows = seen("one", "a", 1) + seen("two", "a", 3) + seen("two", "b", 5) + seen("some", "b", 7) + seen("some", None, 9) + seen("none", None, 11)
+    got = {r.variation_id: r.utenti_popup_visto for r in X.experiment_report(events_df(spark, rows), "e").collect()}
+    assert got == {"a": 1, "b": 1, None: 2}

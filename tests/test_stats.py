@@ -18,11 +18,16 @@ def test_group_median_exact_with_hot_group_ties_and_null_key(spark):
     assert got == ref
 
 
-def test_group_median_tight_sketch_falls_back_exactly(spark):
-    # an absurdly coarse sketch forces the bracket to miss -> per-group exact fallback
-    df = spark.createDataFrame([("a", float(i)) for i in range(1001)], "g string, v double")
-    got = group_median(df, ["g"], "v", accuracy=1, margin=0).collect()
-    assert [(r.g, r.median) for r in got] == [("a", 500.0)]
+def test_group_summary_of_any_values(spark):
+    from wayfare.operators.stats import group_summary
+    rnd = random.Random(2)
+    rows = [("neg", rnd.uniform(-1e6, 1e6)) for _ in range(999)] + [("wide", 10.0 ** rnd.randint(-300, 300)) for _ in range(500)]
+    rows += [("two", 1.0), ("two", 1e9), ("zero", 0.0), ("zero", -0.0), ("zero", 5e-324)] + [("many", float(i)) for i in range(2001)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.n, r.min, r.max, r.median) for r in group_summary(df, ["g"], "v").collect()}
+    ref = {r.g: (r.n, r.lo, r.hi, r.m) for r in df.groupBy("g").agg(
+        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", 0.5).alias("m")).collect()}
+    assert got == ref
 
 
 def test_running_aggregate_independent_of_bucket_width(spark):

@@ -14,10 +14,3 @@ def regex_extract_or_null(col: Column, pattern: str, idx: int = 1) -> Column:
     """
     return F.nullif(F.regexp_extract(col, pattern, idx), F.lit(""))
 
-
-def like_any(col: Column, patterns: list[str]) -> Column:
-    out = None
-    for p in patterns:
-        c = col.like(p)
-        out = c if out is None else (out | c)
-    return out if out is not None else F.lit(False)

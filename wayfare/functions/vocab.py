@@ -10,7 +10,7 @@ three purchase variants differ exactly there and are kept separate.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,7 +78,6 @@ class Vocab:
     itinerary_fragment: str = ITINERARY_FRAGMENT
     suite_step_fragment: str = SUITE_STEP_FRAGMENT
     personal_area_like: str = "%my-area%"
-    extra: dict = field(default_factory=dict)
 
 
 DEFAULT_VOCAB = Vocab()

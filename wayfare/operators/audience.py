@@ -14,17 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.stats import median_cont
-from wayfare.operators.stats import _join, group_median
+from wayfare.operators.stats import group_summary
 
 ECOMMERCE_TYPES = ["WBBK", "WBOF.01", "WBOF.02", "WBOF.03", "WEBQ", "WEBQ (ECommerce)", "WEBQ (PriceConfig)"]
 TYPE_ORDER = ["ALL", "ALL ECOMMERCE", "WBBK", "WBOF.01", "WBOF.02", "WBOF.03", "WEBQ", "RAQ", "RAB", "SFO"]
 
 
 def audiences(segments: DataFrame, left: Column, right: Column, common: Column | None = None) -> DataFrame:
-    common = F.lit(True) if common is None else common
-    lft = segments.filter(left & common).select(F.lit("left").alias("side"), "visitor_id", "date").distinct()
-    rgt = segments.filter(right & common).select(F.lit("right").alias("side"), "visitor_id", "date").distinct()
-    return lft.unionByName(rgt)
+    """(side, visitor, day) of both audiences from one pass: a row carries the sides it is in."""
+    sides = F.filter(F.array(F.when(left, F.lit("left")), F.when(right, F.lit("right"))), lambda s: s.isNotNull())
+    rows = segments if common is None else segments.filter(common)
+    return rows.select(F.explode(sides).alias("side"), "visitor_id", "date").distinct()
 
 
 def booking_values(leads: DataFrame, status: str = "BK") -> DataFrame:
@@ -58,9 +58,10 @@ def _report_groups(j: DataFrame) -> DataFrame:
 
 
 def compare_audiences(segments: DataFrame, leads: DataFrame, left: Column, right: Column,
-                      common: Column | None = None, median: str = "exact") -> DataFrame:
+                      common: Column | None = None, median: str = "exact", only: str | None = None) -> DataFrame:
     """Per side and request type (plus 'ALL' and 'ALL ECOMMERCE'): count, min,
-    max, mean, total and median booking value.
+    max, mean, total and median booking value; ``only`` keeps one of them
+    before anything is aggregated.
 
     median: ``exact`` (bounded exact selection, ``operators.stats``),
     ``percentile`` (one exact aggregate, a count per distinct value per
@@ -69,17 +70,20 @@ def compare_audiences(segments: DataFrame, leads: DataFrame, left: Column, right
     vals = booking_values(leads)
     j = segs.join(vals, ["visitor_id", "date"], "inner")    # left join + IS NOT NULL filter
     g = _report_groups(j)
+    if only is not None:
+        g = g.filter(F.col("web_request_type") == only)
     keys = ["side", "_kind", "web_request_type"]
     v = F.col("total_net_cruise_revenue")
-    aggs = [F.count("visitor_id").alias("count"), F.min(v).alias("min_booking_value"),
-            F.max(v).alias("max_booking_value"), (F.sum(v) / F.count("visitor_id")).alias("mean_booking_value"),
-            F.sum(v).alias("total_booking_value")]
     if median == "exact":
-        out = _join(g.groupBy(*keys).agg(*aggs),
-                    group_median(g, keys, "total_net_cruise_revenue", "median_booking_value"), keys)
+        s = group_summary(g, keys, "total_net_cruise_revenue")
+        out = s.select(*keys, F.col("n").alias("count"), F.col("min").alias("min_booking_value"),
+                       F.col("max").alias("max_booking_value"), (F.col("total") / F.col("n")).alias("mean_booking_value"),
+                       F.col("total").alias("total_booking_value"), F.col("median").alias("median_booking_value"))
     else:
-        out = g.groupBy(*keys).agg(*aggs, median_cont("total_net_cruise_revenue", median == "approx")
-                                   .alias("median_booking_value"))
+        out = g.groupBy(*keys).agg(
+            F.count("visitor_id").alias("count"), F.min(v).alias("min_booking_value"), F.max(v).alias("max_booking_value"),
+            (F.sum(v) / F.count("visitor_id")).alias("mean_booking_value"), F.sum(v).alias("total_booking_value"),
+            median_cont("total_net_cruise_revenue", median == "approx").alias("median_booking_value"))
     t = F.col("web_request_type")
     order = None
     for i, name in enumerate(TYPE_ORDER):

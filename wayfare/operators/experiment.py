@@ -1,6 +1,6 @@
 """A/B experiment read-outs.
 
-* ``multi_variant_users`` / ``clean_assignments``: users exposed to more
+* ``clean_assignments``: users exposed to more
   than one variant are removed (one aggregation per user over the set of
   variants; never ``NOT IN``, which returns nothing as soon as one key is
   NULL).
@@ -30,11 +30,6 @@ def exposures(events: DataFrame, experiment_id: str, period: tuple[str, str] | N
                      & F.col(U).isNotNull()).select(U, "variation_id")
 
 
-def multi_variant_users(expo: DataFrame) -> DataFrame:
-    return (expo.groupBy(U).agg(F.count_distinct("variation_id").alias("_n"))
-            .filter(F.col("_n") > 1).select(U))
-
-
 def _variant_rows(vars_col: str = "_vars", null_col: str = "_has_null") -> Column:
     """The user's distinct variants as rows: real variants, plus a NULL row when a
     NULL-variant exposure exists (COUNT(DISTINCT) ignores NULL, so such a user is
@@ -103,19 +98,26 @@ def experiment_report(events: DataFrame, experiment_id: str, period=None,
     buy = V.purchase("C")
     click = (name == V.CONTENT_CTA) & (F.col("cta_name") == V.CTA_RETURN_TO_FUNNEL)
 
+    # the entry URL is the page's own: other URL parameters are not set on every hit
+    entry = F.col("page_location").like(f"%{vocab.funnel_host}/%")
+    ev = ev.filter(expo | popup | entry | hold | buy | click)       # NULL drops a row that is none of them
+
     def any_(c):
         return F.max(F.when(c, 1).otherwise(0))
+    variant = F.when(expo, F.col("variation_id"))
     per_user = ev.groupBy(U).agg(
-        F.collect_set(F.when(expo, F.col("variation_id"))).alias("_vars"),
+        F.min(variant).alias("_first"), F.max(variant).alias("_last"),
         F.max(F.when(expo & F.col("variation_id").isNull(), 1).otherwise(0)).alias("_has_null"),
         F.max(expo.cast("int")).alias("_exposed"),
         F.min(F.when(popup, F.col(TS))).alias("_popup"),
-        any_(F.col("raw_url").like(f"%{vocab.funnel_host}/%")).alias("has_funnel_entry"),
+        any_(entry).alias("has_funnel_entry"),
         any_(hold).alias("has_booking_hold"), F.max(F.when(hold, F.col(TS))).alias("_hold_last"),
         any_(buy).alias("has_purchase"), F.max(F.when(buy, F.col(TS))).alias("_buy_last"),
         any_(click).alias("has_click_popup"), F.max(F.when(click, F.col(TS))).alias("_click_last"))
-    rows = (per_user.filter((F.col("_exposed") == 1) & (F.size("_vars") <= 1))
-            .select("*", F.explode(_variant_rows()).alias("variation_id")))
+    rows = (per_user.filter((F.col("_exposed") == 1) & F.col("_first").eqNullSafe(F.col("_last")))
+            .select("*", F.explode(F.when(F.col("_first").isNull(), F.array(F.lit(None).cast("string")))
+                                   .when(F.col("_has_null") == 1, F.array("_first", F.lit(None).cast("string")))
+                                   .otherwise(F.array("_first"))).alias("variation_id")))
     if sample is not None:
         rows = deterministic_sample(rows, sample)       # sampled among all clean exposed users
     rows = rows.filter(F.col("_popup").isNotNull())

@@ -6,17 +6,16 @@ Feature table: one row per (anchor_date, user) with events of the
 that looks ``horizon`` days ahead ([anchor, anchor+14], both inclusive).
 
 Scale notes
-* The warehouse version cross-joins every event with every anchor and
-  filters on the date range.  Here each event computes arithmetically the
-  indexes of the anchors whose window contains it and explodes only those
-  (at most ceil(lookback / step) per event): a narrow operation, no join.
-* The nine per-(anchor, user) branches of the warehouse query (each a
-  GROUP BY followed by a LEFT JOIN) become three aggregations: by
-  (anchor, user, session) for distinct-session counts, by (anchor, user)
-  for counts / last values, and by (anchor, user, kind, id) for the
-  "same itinerary / destination" features.  All are hash aggregations with
-  map-side combining keyed on (anchor, user), and the final joins are
-  co-partitioned on that key.
+* Every event is read once: its flags are computed once and events are
+  reduced to (user, day, session, itinerary, destination, market) with
+  counts before any anchor is involved (map-side combined).
+* Only these reduced rows are copied to the anchors whose window holds their
+  day; the anchor indexes are computed, not joined (at most
+  ceil(lookback / step) each).
+* Two more aggregations fold them: by (anchor, user, grain, key), where a
+  grain is a session, an itinerary, a destination or a market, and by
+  (anchor, user).  The first has fixed-width buffers only (hash aggregation);
+  strings are picked in the second, from one row for each key.
 """
 
 from __future__ import annotations
@@ -88,46 +87,31 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
     ev = (events.filter(F.col("event_date").between(first_day, last_day) & F.col(U).isNotNull())
           .withColumn("_day", F.to_date("event_date", "yyyyMMdd")))
 
-    # observation window: day in [anchor - lookback, anchor - 1]
-    obs = _explode_anchors(ev.select(U, "event_timestamp", "event_id", "_day", "event_name", "ga_session_id",
-                                     "page_location", "raw_url", "market"),
-                           a0, a1, step, -lookback, -1)
-    url = F.col("page_location")
-    ewp = obs.select(
-        *KEY, "event_timestamp", "event_id", "_day", "event_name", "ga_session_id", "market",
-        V.is_vs_coalesced(F.col("raw_url")).alias("is_vs"),
-        url.like(V.CRUISES_PATTERN).alias("is_itinerary_page"),
-        url.like(V.DESTINATIONS_PATTERN).alias("is_destination_page"),
-        url.like(f"%{vocab.quote_host}%").alias("is_quote_page"),
-        (url.like(f"%{vocab.quote_host}%") & url.like(V.GUESTS_INFO_PATTERN)).alias("is_guests_info"),
-        (F.col("event_name") == V.FYC_FILTER).alias("is_fyc_filter"),
-        regex_extract_or_null(url, V.CRUISE_ID_REGEX).alias("itinerary_id"),
-        regex_extract_or_null(url, V.DESTINATION_ID_REGEX).alias("destination_id"),
-    )
-
-    # One multi-grain aggregation instead of three branches: every (event,
-    # anchor) row feeds its session grain and, when present, its itinerary
-    # and destination grains (fan-out <= 3).  Level 1 aggregates per
-    # (anchor, user, grain, key); level 2 folds the grains per (anchor, user).
-    grains = F.array(
-        F.struct(F.lit("sess").alias("grain"), F.col("ga_session_id").cast("string").alias("key")),
-        F.struct(F.lit("itin").alias("grain"), F.col("itinerary_id").alias("key")),
-        F.struct(F.lit("dest").alias("grain"), F.col("destination_id").alias("key")))
-    name = F.col("event_name")
-    x = ewp.select("*", F.explode(F.filter(grains, lambda g: (g["grain"] == "sess") | g["key"].isNotNull()))
-                   .alias("_g")).select("*", F.col("_g.grain").alias("grain"), F.col("_g.key").alias("key"))
-    order = F.when(F.col("market").isNotNull(), F.struct("event_timestamp", "event_id"))
-    lvl1 = x.groupBy(*KEY, "grain", "key").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.max(F.col("is_vs").cast("int")).alias("_vs"), F.max((~F.col("is_vs")).cast("int")).alias("_novs"),
-        F.max("_day").alias("_last"),
-        F.count_if(name == V.PAGE_VIEW).alias("_pv"),
-        F.count_if("is_itinerary_page").alias("_itin"), F.count_if("is_destination_page").alias("_dest"),
-        F.count_if("is_quote_page").alias("_quote"), F.count_if("is_fyc_filter").alias("_fyc"),
-        F.count_if(name == V.LEAD_RAB).alias("_rab"), F.count_if(name == V.LEAD_RAQ).alias("_raq"),
-        F.count_if(name == V.LEAD_SFO).alias("_sfo"), F.count_if(name == V.LEAD_WEBQ).alias("_webq"),
-        F.max(F.col("is_guests_info").cast("int")).alias("_guests"),
-        F.max_by("market", order).alias("_market"), F.max(order).alias("_market_order"))
+    url, name = F.col("page_location"), F.col("event_name")
+    is_vs = V.is_vs_coalesced(F.col("raw_url"))
+    is_quote = url.like(f"%{vocab.quote_host}%")
+    # order of a user's events as one number: time, then id (a signed 64-bit number)
+    order = F.col("event_timestamp").cast("decimal(38,0)") * F.lit("20000000000000000000").cast("decimal(20,0)") + F.col("event_id")
+    counts = {"cnt": F.count(F.lit(1)), "_pv": F.count_if(name == V.PAGE_VIEW),
+              "_itin": F.count_if(url.like(V.CRUISES_PATTERN)), "_dest": F.count_if(url.like(V.DESTINATIONS_PATTERN)),
+              "_quote": F.count_if(is_quote), "_fyc": F.count_if(name == V.FYC_FILTER), "_rab": F.count_if(name == V.LEAD_RAB),
+              "_raq": F.count_if(name == V.LEAD_RAQ), "_sfo": F.count_if(name == V.LEAD_SFO), "_webq": F.count_if(name == V.LEAD_WEBQ)}
+    greatest = {"_vs": is_vs.cast("int"), "_novs": (~is_vs).cast("int"),
+                "_guests": (is_quote & url.like(V.GUESTS_INFO_PATTERN)).cast("int"), "_order": order.cast("decimal(38,0)")}
+    daily = (ev.groupBy(U, "_day", F.col("ga_session_id").cast("string").alias("_s"),
+                        regex_extract_or_null(url, V.CRUISE_ID_REGEX).alias("_itinerary"),
+                        regex_extract_or_null(url, V.DESTINATION_ID_REGEX).alias("_destination"), F.col("market").alias("_m"))
+             .agg(*[c.alias(k) for k, c in counts.items()], *[F.max(c).alias(k) for k, c in greatest.items()]))
+
+    # observation window: day in [anchor - lookback, anchor - 1]; a row feeds its
+    # session grain and, where present, its itinerary, destination and market grains
+    grains = F.array(*[F.struct(F.lit(grain).alias("grain"), F.col(key).alias("key"))
+                       for grain, key in (("sess", "_s"), ("itin", "_itinerary"), ("dest", "_destination"), ("market", "_m"))])
+    x = (_explode_anchors(daily, a0, a1, step, -lookback, -1)
+         .withColumn("_g", F.explode(F.filter(grains, lambda g: (g["grain"] == "sess") | g["key"].isNotNull())))
+         .select("*", F.col("_g.grain").alias("grain"), F.col("_g.key").alias("key")))
+    lvl1 = x.groupBy(*KEY, "grain", "key").agg(*[F.sum(k).alias(k) for k in counts], F.max("_day").alias("_last"),
+                                               *[F.max(k).alias(k) for k in greatest])
 
     g = F.col("grain")
     sess = g == "sess"
@@ -154,7 +138,7 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
         on_sess("_rab").alias("lead_rab_30d"), on_sess("_raq").alias("lead_raq_30d"),
         on_sess("_sfo").alias("lead_sfo_30d"), on_sess("_webq").alias("lead_webq_30d"),
         F.max(F.when(sess, F.col("_guests"))).alias("has_seen_guests_info_30d"),
-        F.max_by(F.when(sess, F.col("_market")), F.when(sess, F.col("_market_order"))).alias("market"),
+        F.max_by(_k("market", F.col("key")), _k("market", F.col("_order"))).alias("market"),
         F.max(_k("itin", F.col("cnt"))).alias("max_same_itinerary_30d"),
         F.max(_k("dest", F.col("cnt"))).alias("max_same_destination_30d"),
         F.min_by(_k("itin", F.col("key")), _k("itin", mode_order)).alias("most_viewed_itinerary"),
@@ -193,7 +177,7 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
         z("multi_destination_interest").alias("multi_destination_interest"),
         z("has_seen_guests_info_30d").alias("has_seen_guests_info_30d"),
     )
-    return out.filter(F.col("visits_30d") > 0).select(*OUTPUT_COLUMNS).orderBy(U, "anchor_date")
+    return out.filter(F.col("visits_30d") > 0).select(*OUTPUT_COLUMNS)
 
 
 def require_label_coverage(events: DataFrame, anchor_end: str, horizon: int = 14) -> None:
@@ -251,29 +235,43 @@ def model_features(include_market: bool = False) -> list[str]:
     return FEATURES + (["market_idx"] if include_market else [])
 
 
+def _validation_users(seed: int, share: float) -> Column:
+    return user_bucket(seed + 1) < F.lit(int(share * 100))
+
+
+def early_stop_possible(train: DataFrame, seed: int = 42, validation_share: float = 0.2) -> bool:
+    """Whether both sides of the early-stop split hold users (reads two distinct flags)."""
+    return train.select(_validation_users(seed, validation_share)).distinct().count() == 2
+
+
 def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: int = 42,
-                   validation_share: float = 0.2, max_iter: int = 100, include_market: bool = False):
+                   validation_share: float = 0.2, max_iter: int = 100, include_market: bool = False,
+                   early_stop: bool = True):
     """Boosted trees with the reference options mapped to Spark ML.
 
     learn rate 0.1, depth 6, min child weight 1 (-> minInstancesPerNode),
     row subsample 0.8, column sample 0.8 (per split in Spark), early stop
     with min relative progress 0.001 on a user-level validation split carved
     out of the training users, balanced class weights.  Spark's GBT has no
-    L1/L2 leaf penalties."""
+    L1/L2 leaf penalties.  With ``early_stop`` both sides of that split must
+    hold users; an input too small for it is refused, never trained otherwise
+    without notice (pass ``early_stop=False`` to train all rounds)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     features = features or model_features(include_market)
-    t = class_weights(train).withColumn("is_validation", user_bucket(seed + 1) < F.lit(int(validation_share * 100)))
+    t = class_weights(train).withColumn("is_validation", _validation_users(seed, validation_share))
     t = t.withColumn("label", F.col("target_conversion").cast("double"))
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    early_stop = {"validationIndicatorCol": "is_validation", "validationTol": 0.001}
-    if not t.filter("is_validation").limit(1).count() or not t.filter(~F.col("is_validation")).limit(1).count():
-        early_stop = {}          # tiny inputs: no user left for one side of the split
+    stop = {}
+    if early_stop:
+        stop = {"validationIndicatorCol": "is_validation", "validationTol": 0.001}
+        if not early_stop_possible(train, seed, validation_share):
+            raise ValueError("no users on one side of the early-stop split; pass early_stop=False")
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
                         maxIter=max_iter, stepSize=0.1, maxDepth=6, minInstancesPerNode=1,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **early_stop)
+                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **stop)
     stages = [asm, gbt]
     if include_market:
         # market is categorical text: index it (unseen / NULL markets get their own index)
@@ -307,7 +305,7 @@ def evaluate(scored: DataFrame, label: str = "target_conversion", threshold: flo
                   F.sum((1 - pred) * y).alias("fn"), F.sum((1 - pred) * (1 - y)).alias("tn"),
                   F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss")).first()
         auc = BinaryClassificationEvaluator(rawPredictionCol="_p", labelCol="_y",
-                                            metricName="areaUnderROC").evaluate(s)
+                                            metricName="areaUnderROC", numBins=0).evaluate(s)   # 0: every score
     finally:
         s.unpersist()
     tp, fp, fn, tn = (r.tp or 0.0), (r.fp or 0.0), (r.fn or 0.0), (r.tn or 0.0)
@@ -333,6 +331,7 @@ def feature_importance(model, spark, features: list[str] | None = None) -> DataF
 # lift, segmentation
 # ---------------------------------------------------------------------------
 
+# Lower bounds and labels.
 LIFT_BANDS = [(0.7, "1. Alta"), (0.4, "2. Medio-Alta"), (0.2, "3. Media"), (0.1, "4. Medio-Bassa")]
 LIFT_ELSE = "5. Bassa"
 

@@ -1,69 +1,68 @@
-"""Exact interpolated median per group without holding a whole group in one task.
+"""Exact summary with interpolated median per group, no group held in one task.
 
 ``percentile`` keeps a count per distinct value of each group and merges the
-maps of a group in one task — fine for small domains (days, session counts),
+maps of a group in one task: fine for small domains (days, session counts),
 not for a money column of a group holding a third of all rows.
 
-``group_median`` is exact and bounded:
+``group_summary`` is exact and bounded:
 
-1. a quantile sketch per group (``percentile_approx``, fixed size) gives a
-   value bracket [lo, hi] around the median ranks;
-2. one pass counts the rows below the bracket per group;
-3. rows inside the bracket are reduced to (value, count) — ties collapse
-   map-side — and a running count over the few distinct bracket values
-   locates the exact median ranks.
+1. rows are reduced to (group, value) -> count, combined map-side;
+2. these to (group, value band) -> count, sum, min, max.  A band spans
+   1 / ``BANDS_PER_DOUBLING`` of a doubling of the value, so a group has a
+   few thousand bands at most, whatever its size;
+3. a running count over a group's bands finds the one or two bands that hold
+   the median ranks, and only these bands' distinct values are ranked.
 
-A group whose bracket does not contain both median ranks (the sketch's
-error bound makes this unexpected) falls back to the exact ``percentile``
-aggregate for that group only, so the result is always exact.
 Interpolation follows ``percentile``: position p = 0.5 (n - 1),
 value = (ceil(p) - p) * v[floor(p)] + (p - floor(p)) * v[ceil(p)].
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BANDS_PER_DOUBLING = 64
 
-def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join on ``keys`` (a NULL group key is a group too)."""
-    a2, b2 = a.alias("_a"), b.alias("_b")
-    cond = reduce(lambda x, y: x & y, [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in keys])
-    extra = [F.col(f"_b.{c}") for c in b.columns if c not in keys]
-    return a2.join(b2, cond, how).select("_a.*", *extra)
 
+def value_band(v: Column) -> Column:
+    """Order-preserving band number of a value: by sign and magnitude."""
+    size = F.floor(F.log2(F.abs(v)) * BANDS_PER_DOUBLING) + (1 << 20)
+    return (F.when(F.isnan(v), F.lit(1 << 30)).when(v == 0, F.lit(0))
+            .when(F.abs(v) == float("inf"), F.signum(v) * (1 << 29)).otherwise(F.signum(v) * size)).cast("long")
 
-def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 accuracy: int = 10_000, margin: int = 4) -> DataFrame:
-    d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    q_lo, q_hi = max(0.0, 0.5 - margin / accuracy), min(1.0, 0.5 + margin / accuracy)
-    sk = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                              F.percentile_approx("_v", [q_lo, q_hi], accuracy).alias("_b"))
-    sk = sk.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"),
-                   F.floor((F.col("_n") - 1) / 2).alias("_k1"), F.ceil((F.col("_n") - 1) / 2).alias("_k2"))
-    j = _join(d, sk, keys)
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    cnt = j.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_c_lo"),
-                               F.count_if(inside).alias("_c_in"))
-    sk = _join(sk, cnt, keys)
-    ok = sk.filter((F.col("_c_lo") <= F.col("_k1")) & (F.col("_k2") < F.col("_c_lo") + F.col("_c_in")))
 
-    br = j.filter(inside).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    br = _join(br, ok.select(*keys, "_n", "_c_lo", "_k1", "_k2"), keys)
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    br = br.withColumn("_cum", F.sum("_c").over(w) + F.col("_c_lo"))      # rows <= v
-    picked = br.groupBy(*keys).agg(
+def group_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, min, max, total, median) of the non-null values of every group (a NULL key is a group too)."""
+    counts = (df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_band", value_band(F.col("_v"))))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    found = (counts.groupBy(*keys, "_band")
+             .agg(F.sum("_c").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.sum(F.col("_v") * F.col("_c")).alias("_sum"))
+             .select(*keys, "_band", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_below"),
+                     F.sum("_n").over(group).alias("n"), F.min("_min").over(group).alias("min"),
+                     F.max("_max").over(group).alias("max"), F.sum("_sum").over(group).alias("total"))
+             .withColumn("_k1", F.floor((F.col("n") - 1) / 2)).withColumn("_k2", F.ceil((F.col("n") - 1) / 2))
+             .filter((F.col("_below") <= F.col("_k2")) & (F.col("_below") + F.col("_n") > F.col("_k1"))))
+    a, b = counts.alias("a"), found.alias("b")
+    same = F.col("a._band") == F.col("b._band")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    ranked = a.join(b, same).select(*[F.col(f"b.{k}") for k in keys], "a._v", "a._c",
+                                    *[F.col(f"b.{c}") for c in ("_band", "_below", "n", "min", "max", "total", "_k1", "_k2")])
+    w = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranked.withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))        # rows <= v
+    picked = ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_v1"),
         F.min(F.when(F.col("_cum") > F.col("_k2"), F.col("_v"))).alias("_v2"),
-        F.first("_n").alias("_n"))
-    pos = (F.col("_n") - 1) / 2
-    med = F.when(F.col("_v1") == F.col("_v2"), F.col("_v1")).otherwise(
+        *[F.first(c).alias(c) for c in ("n", "min", "max", "total")])
+    pos = (F.col("n") - 1) / 2
+    median = F.when(F.col("_v1") == F.col("_v2"), F.col("_v1")).otherwise(
         (F.ceil(pos) - pos) * F.col("_v1") + (pos - F.floor(pos)) * F.col("_v2"))
-    exact = picked.select(*keys, med.alias(out))
+    return picked.select(*keys, "n", "min", "max", "total", median.alias("median"))
+
 
-    failed = sk.filter(~((F.col("_c_lo") <= F.col("_k1")) & (F.col("_k2") < F.col("_c_lo") + F.col("_c_in"))))
-    fallback = _join(d, failed.select(*keys), keys).groupBy(*keys).agg(F.percentile("_v", 0.5).alias(out))
-    return exact.unionByName(fallback)
+def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    return group_summary(df, keys, value).select(*keys, F.col("median").alias(out))

@@ -1,15 +1,14 @@
 """DuckDB twins of the driver-table adapter (``wayfare.sources.driver``).
 
 Each CTE below must stay expression-for-expression equal to its Spark
-counterpart; the oracle queries in ``oracle.py`` are written independently
-in the warehouse style of the original analyses (range joins, LAG,
-ROW_NUMBER) so that they check the Spark plans, not mirror them.
+counterpart; the statements in ``oracle.py`` are written from the definitions
+of the figures, so that they check the Spark plans, not mirror them.
 """
 
 EV = r"""
 ev_b0 AS (
   SELECT event_id, ts, user_id, event_type, value,
-         CAST(json_extract_string(props, '$.k') AS INTEGER) AS _k,
+         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS _k,
          CAST(event_id % 100 AS INTEGER) AS _j
   FROM events
 ),
@@ -81,7 +80,7 @@ ev0 AS (
     value AS event_value_in_usd
   FROM ev_b
 ),
-ev AS (SELECT *, page_location AS raw_url FROM ev0)
+ev AS (SELECT *, CASE WHEN event_id % 13 <> 0 THEN page_location END AS raw_url FROM ev0)
 """
 
 IDENTITY = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from wayfare.operators import sessions as S
 from wayfare.functions import vocab as V
 from wayfare.plans import params as P
 from wayfare.sources import driver as D
+from wayfare.sources import ga4 as G
+from wayfare.sources.tables import load_model, save_model, warehouse_dir, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,13 +186,13 @@ def prospect_segments(spark, sf_dir):
 
 # -- P18 / P18b / P19 ---------------------------------------------------------
 
-def _audience_report(spark, sf_dir):
+def _audience_report(spark, sf_dir, only=None):
     ev = _events(spark, sf_dir)                              # leads: no period in the report
     seg = D.visitor_segments(_events(spark, sf_dir, P.PERIOD))  # audiences: bounded period
     common = F.col("market").isNotNull() & F.col("date").between(
         F.to_date(F.lit(P.PERIOD[0]), "yyyyMMdd"), F.to_date(F.lit(P.PERIOD[1]), "yyyyMMdd"))
     return AU.compare_audiences(seg, D.visit_leads(ev), left=F.col("segment") == "seg_A",
-                                right=F.col("segment") == "seg_B", common=common)
+                                right=F.col("segment") == "seg_B", common=common, only=only)
 
 
 def audience_compare(spark, sf_dir):
@@ -197,7 +200,7 @@ def audience_compare(spark, sf_dir):
 
 
 def audience_side_by_side(spark, sf_dir):
-    return AU.side_by_side(_audience_report(spark, sf_dir), "ALL")
+    return AU.side_by_side(_audience_report(spark, sf_dir, only="ALL"), "ALL")
 
 
 def visits_rollup(spark, sf_dir):
@@ -213,15 +216,15 @@ def _features(spark, sf_dir, anchors):
 
 
 def propensity_features(spark, sf_dir):
-    return _features(spark, sf_dir, P.TRAIN_ANCHORS)
+    return _features(spark, sf_dir, P.TRAIN_ANCHORS).orderBy("user_pseudo_id", "anchor_date")
 
 
 def propensity_scoring(spark, sf_dir):
-    return _features(spark, sf_dir, P.SCORE_ANCHORS)
+    return _features(spark, sf_dir, P.SCORE_ANCHORS).orderBy("user_pseudo_id", "anchor_date")
 
 
 def propensity_split(spark, sf_dir):
-    return PR.split_by_user(propensity_features(spark, sf_dir), P.TEST_SHARE, P.SPLIT_SEED)
+    return PR.split_by_user(_features(spark, sf_dir, P.TRAIN_ANCHORS), P.TEST_SHARE, P.SPLIT_SEED)
 
 
 def propensity_lift(spark, sf_dir):
@@ -230,31 +233,75 @@ def propensity_lift(spark, sf_dir):
 
 
 def propensity_segments(spark, sf_dir):
-    return PR.segment_crosstab(PR.rule_score(propensity_scoring(spark, sf_dir)))
+    return PR.segment_crosstab(PR.rule_score(_features(spark, sf_dir, P.SCORE_ANCHORS)))
+
+
+_TRAINED: dict[tuple[str, str], str] = {}
 
 
 def _trained(spark, sf_dir):
-    from wayfare.session import cut_lineage
-    split = cut_lineage(propensity_split(spark, sf_dir))
-    model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED)
-    return model, split
+    """(model, split, scored) of the scoring period: trained and scored once an
+    application, then read back from the shared folder by whichever query asks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        out = warehouse_dir(spark, f"propensity-{uuid.uuid4().hex}")
+        split = write_table(propensity_split(spark, sf_dir), f"{out}/split")
+        early_stop = PR.early_stop_possible(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED)
+        model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED, early_stop=early_stop)
+        save_model(model, f"{out}/model")
+        write_table(PR.score(model, _features(spark, sf_dir, P.SCORE_ANCHORS)).withColumn("early_stop", F.lit(early_stop)), f"{out}/scored")
+        _TRAINED[key] = out
+    out = _TRAINED[key]
+    return load_model(f"{out}/model"), spark.read.parquet(f"{out}/split"), spark.read.parquet(f"{out}/scored")
 
 
 def propensity_train_predict(spark, sf_dir):
     """Train on the training users, score the scoring-period table."""
-    model, _ = _trained(spark, sf_dir)
-    scored = PR.score(model, propensity_scoring(spark, sf_dir))
-    return scored.select("anchor_date", "user_pseudo_id", "target_conversion", "propensity_score")
+    _, _, scored = _trained(spark, sf_dir)
+    return scored.select("anchor_date", "user_pseudo_id", "target_conversion", "propensity_score", "early_stop")
 
 
 def propensity_evaluate(spark, sf_dir):
     """Held-out (test users) and out-of-time (scoring period) metrics."""
-    model, split = _trained(spark, sf_dir)
+    model, split, scored = _trained(spark, sf_dir)
     a = PR.evaluate(PR.score(model, split.filter("dataset_split"))).withColumn("dataset", F.lit("test_split"))
-    b = PR.evaluate(PR.score(model, propensity_scoring(spark, sf_dir))).withColumn("dataset", F.lit("out_of_time"))
+    b = PR.evaluate(scored).withColumn("dataset", F.lit("out_of_time"))
     return a.unionByName(b)
 
 
+def propensity_importance(spark, sf_dir):
+    """Gain share of every feature of the trained model."""
+    return PR.feature_importance(_trained(spark, sf_dir)[0], spark)
+
+
+def propensity_score_contract(spark, sf_dir):
+    """What predictions promise: a row for each key of the scoring table, its label, a score in [0, 1]."""
+    p = F.col("propensity_score")
+    return (_trained(spark, sf_dir)[2].groupBy("anchor_date").agg(
+        F.count(F.lit(1)).alias("predictions"), F.count_distinct("user_pseudo_id").alias("users"),
+        F.sum("target_conversion").cast("long").alias("conversions"),
+        F.count_if(p.isNull() | F.isnan(p) | (p < 0) | (p > 1)).alias("outside_unit")))
+
+
+def propensity_rule_metrics(spark, sf_dir):
+    """The evaluation metrics over the rule score of the test users and of the scoring period."""
+    a = PR.evaluate(PR.rule_score(propensity_split(spark, sf_dir).filter("dataset_split"))).withColumn("dataset", F.lit("test_split"))
+    b = PR.evaluate(PR.rule_score(_features(spark, sf_dir, P.SCORE_ANCHORS))).withColumn("dataset", F.lit("out_of_time"))
+    both = a.unionByName(b)
+    return both.select("dataset", *[F.round(c, 6).alias(c) for c in both.columns if c != "dataset"])
+
+
+def nested_param_daily(spark, sf_dir):
+    """Daily figures from nested parameters: export shape, shard and date bounds, extraction, aggregation."""
+    export = D.nested_export(_events(spark, sf_dir))
+    flat = G.to_flat(G.scan_shards(export, *P.PERIOD))
+    return flat.groupBy("event_date", "event_name").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("user_pseudo_id", "ga_session_id").alias("sessions"),
+        F.count("page_location").alias("with_page"), F.count("raw_url").alias("with_raw_url"),
+        F.count_distinct("page_location").alias("pages"), F.count_if(F.col("payment_type") == "total").alias("paid_in_full"),
+        F.count("p_journey_code").alias("with_journey"), F.max("event_ts").alias("last_at"))
+
+
 PARAM_COLUMNS = ["ga_session_id", "page_location", "lead_name", "payment_type", "booking_status",
                  "p_journey_is_destex", "p_journey_code", "p_departure_date", "p_sub_category",
                  "experiment_id", "variation_id", "cta_name", "cta_type", "voyage_funnel_step_name",
@@ -300,6 +347,10 @@ _RAW_QUERIES: dict[str, Query] = {
     "propensity_segments": propensity_segments,
     "propensity_train_predict": propensity_train_predict,
     "propensity_evaluate": propensity_evaluate,
+    "propensity_importance": propensity_importance,
+    "propensity_score_contract": propensity_score_contract,
+    "propensity_rule_metrics": propensity_rule_metrics,
+    "nested_param_daily": nested_param_daily,
     "param_coverage": param_coverage,
 }
 

@@ -20,16 +20,16 @@ DEFAULT_CONF = {
 }
 
 
-def cluster_conf(shuffle_bytes: float, cores: int, target_partition_bytes: int = 256 << 20,
-                 max_partitions: int = 100_000) -> dict[str, str]:
+def cluster_conf(shuffle_bytes: float, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Shuffle/scan sizing for a large cluster.
 
     ``shuffle_bytes`` is the size of the largest shuffle, not of the raw
     input: after column pruning and map-side combining the session and
     feature shuffles carry a fraction of the events (roughly 10-20 %).
 
-    * initial shuffle partitions ~ shuffle / target size (at least 2 x cores,
-      capped so the map-output status stays manageable); AQE then coalesces
+    * initial shuffle partitions ~ shuffle / target size (at least 2 x cores),
+      whatever the size; raise ``target_partition_bytes`` where the driver
+      should track fewer map outputs; AQE then coalesces
       small partitions toward ``advisoryPartitionSizeInBytes`` and splits
       skewed join partitions (a hot user) into several tasks;
     * scan splits of 256 MB keep per-task input bounded;
@@ -39,7 +39,7 @@ def cluster_conf(shuffle_bytes: float, cores: int, target_partition_bytes: int =
     Example: 100 TB of events, ~15 TB in the largest shuffle, 1,000 executors
     x 4 cores -> ``cluster_conf(15e12, 4000)`` -> 55,880 initial partitions.
     """
-    parts = min(max_partitions, max(2 * cores, int(shuffle_bytes // target_partition_bytes) + 1))
+    parts = max(2 * cores, int(shuffle_bytes // target_partition_bytes) + 1)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),

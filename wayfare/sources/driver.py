@@ -29,6 +29,7 @@ u = (k + j) mod 100):
 * page_location by u: suite-selection step, itinerary pages, booking
   funnel, personal area, about, cruise pages, destination pages, quote
   pages, email links with and without the campaign tag, home, NULL.
+* raw_url = page_location, NULL when event_id mod 13 = 0.
 * ga_session_id = yyyyMMdd (user x day), NULL when event_id mod 97 = 0.
 """
 
@@ -38,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import vocab as V
+from wayfare.functions.params import DEFAULT_SPEC
 from wayfare.functions.dates import micros_of_ntz
 from wayfare.session import sf_path
 
@@ -80,9 +82,8 @@ def flat_events_from_driver(raw: DataFrame) -> DataFrame:
 
 
 def _adapter_columns() -> dict[str, list[Column]]:
-    # props is the fixed one-key JSON object {"k": <int>}; a regex capture reads it
-    # ~3x cheaper than a JSON parse (the DuckDB twin parses the JSON properly).
-    k = F.regexp_extract("props", r'"k"\s*:\s*(-?\d+)', 1).cast("int")
+    # a props text that is no JSON, or whose k is no number, gives NULL
+    k = F.get_json_object("props", "$.k").try_cast("int")
     stage1 = [F.col(c) for c in ("event_id", "ts", "user_id", "event_type", "value")] + [
         k.alias("_k"), F.pmod("event_id", F.lit(100)).cast("int").alias("_j")]
     stage2 = [F.col("*"), F.pmod(F.col("_k") + F.col("_j"), F.lit(100)).alias("_u")]
@@ -149,7 +150,7 @@ def _adapter_columns() -> dict[str, list[Column]]:
         F.when(F.pmod(F.col("event_id"), F.lit(97)) == 0, F.lit(None).cast("long"))
          .otherwise(F.date_format("ts", "yyyyMMdd").cast("long")).alias("ga_session_id"),
         page.alias("page_location"),
-        page.alias("raw_url"),
+        F.when(F.pmod(F.col("event_id"), F.lit(13)) != 0, page).alias("raw_url"),
         F.when((et == "signup") & (k < 40),
                F.when(F.pmod(k, F.lit(2)) == 0, F.lit(V.LEAD_NAME_BOOKING)).otherwise(F.lit("newsletter")))
          .alias("lead_name"),
@@ -184,6 +185,25 @@ def _adapter_columns() -> dict[str, list[Column]]:
     return {"stage1": stage1, "stage2": stage2, "stage3": stage3}
 
 
+def nested_export(flat: DataFrame) -> DataFrame:
+    """The flat view as a GA4-style export: parameters as ``event_params`` (absent ones
+    left out), date shards, every 50th event arriving in the next day's shard."""
+    none = {f"{kind}_value": F.lit(None).cast(t) for kind, t in (("string", "string"), ("int", "long"), ("float", "double"),
+                                                                 ("double", "double"))}
+
+    def entry(column: str, key: str, kind: str) -> Column:
+        value = {**none, f"{kind}_value": F.col(column)}
+        return F.when(F.col(column).isNotNull(),
+                      F.struct(F.lit(key).alias("key"), F.struct(*[c.alias(k) for k, c in value.items()]).alias("value")))
+
+    day = F.to_date("event_date", "yyyyMMdd")
+    late = F.pmod(F.col("event_id"), F.lit(50)) == 0
+    return flat.select(
+        "user_pseudo_id", "event_timestamp", "event_date", "event_name", "event_value_in_usd",
+        F.date_format(F.when(late, F.date_add(day, 1)).otherwise(day), "yyyyMMdd").alias("shard"),
+        F.filter(F.array(*[entry(c, key, kind) for c, (key, kind) in DEFAULT_SPEC.items()]), lambda p: p.isNotNull()).alias("event_params"))
+
+
 def read_events(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None,
                 since: str | None = None) -> DataFrame:
     """Flat event view; ``period`` (inclusive yyyyMMdd bounds) or ``since`` are

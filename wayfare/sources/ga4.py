@@ -6,8 +6,8 @@ are partition filters, so a bounded period prunes whole directories
 before any file is opened.
 
 * bounded scan:     ``start`` and ``end`` (BETWEEN, inclusive)
-* open-ended scan:  ``start`` only (>=).  Unlike a table-suffix comparison,
-  a typed partition value admits no non-date shard names.
+* open-ended scan:  ``start`` only (>=).  Only shards named by eight digits
+  are read: ``intraday_...`` would pass a text comparison with a date.
 * late-hit guard:   the logical ``event_date`` is filtered as well, because
   an event can land in the next day's shard.
 """
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.params import DEFAULT_SPEC, flatten_events
 
+#: What tells two hits of one instant apart (the batch columns where the export has them).
+IDENTITY = ("user_pseudo_id", "event_timestamp", "event_name", "event_params", "batch_page_id", "batch_ordering_id",
+            "batch_event_index")
 KEEP = ("user_pseudo_id", "event_timestamp", "event_date", "event_name", "event_value_in_usd")
 
 
@@ -26,6 +29,7 @@ def scan_shards(raw: DataFrame, start: str | None = None, end: str | None = None
                 shard_col: str = "shard", date_guard: bool = True) -> DataFrame:
     df = raw
     if shard_col in raw.columns:
+        df = df.filter(F.col(shard_col).cast("string").rlike("^[0-9]{8}$"))
         if start is not None:
             df = df.filter(F.col(shard_col) >= F.lit(start))
         if end is not None:
@@ -40,15 +44,12 @@ def scan_shards(raw: DataFrame, start: str | None = None, end: str | None = None
 
 def to_flat(raw: DataFrame, spec: dict | None = None) -> DataFrame:
     """Nested export rows -> the flat event view used by every operator."""
-    flat = flatten_events(raw, spec or DEFAULT_SPEC, keep=KEEP)
-    cols = flat.columns
+    if "event_id" not in raw.columns:
+        # stable tie-break for equal timestamps: hash of the whole hit and its place in the batch
+        raw = raw.withColumn("event_id", F.xxhash64(*[c for c in IDENTITY if c in raw.columns]))
     # epoch micros -> wall-clock UTC timestamp without a session-zone conversion
-    out = flat.withColumn("event_ts", F.expr(
+    return flatten_events(raw, spec or DEFAULT_SPEC, keep=(*KEEP, "event_id")).withColumn("event_ts", F.expr(
         "timestampadd(MICROSECOND, event_timestamp, TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
-    if "event_id" not in cols:
-        # stable tie-break for equal timestamps: hash of the row's identity
-        out = out.withColumn("event_id", F.xxhash64("user_pseudo_id", "event_timestamp", "event_name"))
-    return out
 
 
 def read_export(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
