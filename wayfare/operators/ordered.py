@@ -12,11 +12,12 @@ finishes.
 1. inside a (key, bucket) partition a window computes the in-bucket prefix;
 2. per (key, bucket) totals (a map-side combined aggregation) get an
    exclusive prefix over buckets — a window over at most #buckets rows per
-   key (one per day for the default width);
+   key (one per hour with rows for the default width);
 3. the bucket offset is joined back on (key, bucket).
 
-The largest window partition is therefore one key's rows within one bucket
-(tune ``bucket_micros`` down for extreme keys); the full-size shuffle is the
+The largest window partition is therefore one key's rows within one bucket,
+an hour by default, so that a key active on a single day is split too (tune
+``bucket_micros`` for the data); the full-size shuffle is the
 one by (key, bucket), the totals branch shuffles pre-aggregated rows only.
 """
 
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
-DEFAULT_BUCKET_MICROS = DAY_MICROS
+HOUR_MICROS = 3_600_000_000
+DEFAULT_BUCKET_MICROS = HOUR_MICROS
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 

@@ -103,6 +103,8 @@ def _own_session_pages(actions: DataFrame, pages: DataFrame) -> DataFrame:
             .filter("n > 0"))
 
 
+JOURNEY_BUCKET_MICROS = 5 * 60_000_000
+
 LEAD_FLAGS = {  # output column -> event name (fixed values)
     "has_WBBK": "generate_lead_WBBK", "has_WBOF_01": "generate_lead_WBOF_01",
     "has_WBOF_02": "generate_lead_WBOF_02", "has_WBOF_03": "generate_lead_WBOF_03",
@@ -121,10 +123,11 @@ def journey_pages(events: DataFrame, n: int = 10, vocab: V.Vocab = V.DEFAULT_VOC
     keys = [U, SID]
     pv = ev.filter((F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull()) \
         .select(*keys, TS, "event_id", "page_location")
-    # previous page of the session = max (ts, event_id, url) over earlier rows,
-    # from the bucketed prefix scan: no window holds a whole session
+    # previous page of the session = max (ts, event_id, url) over earlier rows, from the
+    # prefix scan in buckets of a few minutes: a long session is split, a short one is not
     prev = F.struct(F.col(TS), F.col("event_id"), F.col("page_location").alias("url"))
-    pv = running_aggregate(pv, keys, TS, prev, "_prev", agg="max", frame="rows_lt", tiebreak=["event_id"])
+    pv = running_aggregate(pv, keys, TS, prev, "_prev", agg="max", frame="rows_lt", tiebreak=["event_id"],
+                           bucket_micros=JOURNEY_BUCKET_MICROS)
     w = Window.partitionBy(*keys).orderBy(TS, "event_id")
     pv = (pv.filter(F.col("_prev").isNull() | (F.col("_prev.url") != F.col("page_location")))
           .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n))   # WindowGroupLimit
