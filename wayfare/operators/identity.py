@@ -6,11 +6,10 @@ individual id -> booking role -> booking header (status 'BK').
 * Array membership (``cookie IN UNNEST(google_ids)``) is planned by Spark
   as a nested-loop join when written with ``array_contains``; we explode the
   array once and equi-join instead (hash-partitioned on the cookie id).
-* "First booking after the lead" is an as-of lookup.  Rather than joining
-  every lead with every booking of the individual and taking a MIN, leads
-  and booking dates are merged into one stream per individual and the
-  earliest strictly-later booking date comes from a skew-safe running
-  aggregate (``running_aggregate`` over reversed day numbers).
+* "First booking after the lead" is an as-of lookup.  Booking dates are days,
+  so an individual's distinct ones form a short list (at most one entry a
+  day of history); leads join that one row and read the earliest later date
+  off it.  No (lead, booking) pair is made, and both inputs are read once.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import vocab as V
 from wayfare.functions.text import regex_extract_or_null
-from wayfare.operators.ordered import DAY_MICROS, running_aggregate
 
 U = "user_pseudo_id"
 
@@ -54,23 +52,13 @@ def first_booking_after(leads: DataFrame, bookings: DataFrame, lead_date: str,
     after ``lead_date`` (NULL when none or when the lead has no individual).
 
     Leads without an individual get a per-row surrogate key that no booking
-    carries: they stay in the same single stream (no separate branch) and are
-    spread over many keys instead of forming one NULL group."""
-    day = F.datediff(F.col("_d"), F.lit("1970-01-01").cast("date")).cast("long")
-    lcols = leads.columns
-    lk = (leads.withColumn("_d", F.col(lead_date)).withColumn("_is_b", F.lit(False))
-          .withColumn("_k", F.coalesce(F.col(key).cast("string"),
-                                       F.concat(F.lit("\u0001unlinked-"),
-                                                F.xxhash64(*[F.col(c) for c in lcols]).cast("string")))))
-    b = (bookings.filter(F.col(key).isNotNull())
-         .select(key, F.col("confirmation_date").alias("_d")).distinct()
-         .withColumn("_is_b", F.lit(True)).withColumn("_k", F.col(key).cast("string")))
-    pts = lk.unionByName(b, allowMissingColumns=True)
-    # reversed time: "strictly later date" becomes "strictly smaller key"
-    pts = pts.withColumn("_t", -day * DAY_MICROS).withColumn("_v", F.when(F.col("_is_b"), -day))
-    pts = running_aggregate(pts, ["_k"], "_t", "_v", "_best", agg="max", frame="lt")
-    return pts.filter(~F.col("_is_b")).select(
-        *lcols, F.date_add(F.lit("1970-01-01").cast("date"), (-F.col("_best")).cast("int")).alias(out))
+    carries: they are spread over many keys instead of forming one NULL group."""
+    dates = (bookings.filter(F.col(key).isNotNull() & F.col("confirmation_date").isNotNull())
+             .groupBy(F.col(key).cast("string").alias("_k"))
+             .agg(F.collect_set("confirmation_date").alias("_dates")))
+    unlinked = F.concat(F.lit("\u0001unlinked-"), F.xxhash64(*[F.col(c) for c in leads.columns]).cast("string"))
+    return (leads.withColumn("_k", F.coalesce(F.col(key).cast("string"), unlinked)).join(dates, "_k", "left")
+            .withColumn(out, F.array_min(F.filter("_dates", lambda d: d > F.to_date(F.col(lead_date))))).drop("_k", "_dates"))
 
 
 def webq_events(events: DataFrame, period=None, steps=None) -> DataFrame:

@@ -54,12 +54,13 @@ def cluster_conf(shuffle_bytes: float, cores: int, target_partition_bytes: int =
 
 
 def build_session(master: str | None = None, app: str = "wayfare",
-                  shuffle_partitions: int | None = None,
+                  shuffle_partitions: int | None = None, checkpoint_dir: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Create (or reuse) a session with wayfare's defaults.
 
     On a cluster ``master`` stays ``None`` so spark-submit decides; tests
-    pass ``local[*]``.
+    pass ``local[*]``.  ``checkpoint_dir`` names the folder for checkpoints and
+    written tables where the cluster does not (``spark.checkpoint.dir``).
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -67,6 +68,8 @@ def build_session(master: str | None = None, app: str = "wayfare",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if checkpoint_dir:
+        conf["spark.checkpoint.dir"] = checkpoint_dir
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -109,24 +112,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Used between pipeline stages that are re-read several times (feature
-    table, split) so that a lost executor recomputes from the checkpoint,
-    not from the raw scan.  Never ``localCheckpoint``: its blocks die with
-    the executor that held them.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    from pyspark import StorageLevel
-    # persist first: otherwise the checkpoint write recomputes the whole plan
-    # a second time after the job that materialises it
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=eager)
-    if eager:
-        cached.unpersist()
-    return out
-
-
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")

@@ -330,5 +330,5 @@ def curated_visits(events: DataFrame) -> DataFrame:
                  (F.count(F.lit(1)) == 1).alias("is_bounce"),
                  F.count_if(F.col("event_name") == V.PAGE_VIEW).alias("pageview_count"),
                  F.count_if(F.col("event_name") != V.PAGE_VIEW).alias("content_interaction_count"))
-            .select("visitor_id", F.concat_ws("-", "visitor_id", _s(F.col("ga_session_id"))).alias("visit_id"),
+            .select("visitor_id", F.concat("visitor_id", F.lit("-"), _s(F.col("ga_session_id"))).alias("visit_id"),
                     "visit_start_timestamp", "is_bounce", "pageview_count", "content_interaction_count"))
