@@ -5,7 +5,8 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or add themselves.
-CLASHING = ("id", "key", "text_", "copy", "shuffle_key", "component_id", "kept", "fingerprint", "n", "fp", "copies")
+CLASHING = ("id", "key", "text_", "copy", "shuffle_key", "component_id", "kept", "fingerprint", "n", "fp", "copies",
+            "_id", "_new_text", "n_copies", "z", "tag", "found", "held_out", "verdict")
 
 
 def docs_df(spark, texts, langs=None, sources=None, first_id=0):

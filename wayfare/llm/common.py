@@ -35,6 +35,13 @@ def bounded_broadcast(spark: SparkSession, obj, limit: int = BROADCAST_BYTES):
     return spark.sparkContext.broadcast(obj)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from the columns of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def by_row(df: DataFrame, columns: dict[str, str], schema: str,
            row: Callable[..., tuple], setup: Callable[[], object] | None = None) -> DataFrame:
     """Narrow Arrow map: ``row(state, *values)`` gives one output tuple per input row.

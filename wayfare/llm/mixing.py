@@ -34,6 +34,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import free_name
+
 #: Production weights: the large crawl is held to three parts, every other named source to one.
 WEIGHTS: dict[str, float] = {"src0": 3.0} | {f"src{i}": 1.0 for i in range(1, 20)}
 OTHER_WEIGHT = 1.0
@@ -89,12 +91,6 @@ def poisson(seed: int, key: Column, mean: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lambda total, part: total + drawn(part))
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: float = OTHER_WEIGHT, seed: int = SEED,
         wanted: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of ``docs`` and, for every copy, ``copy`` (from 0) and ``shuffle_key``, in shuffled order."""
@@ -110,8 +106,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: float =
         for g in named[1:]:
             cases = cases.when(source == g, poisson(seed, key, mean[g]))
         copies = cases.otherwise(copies)
-    copy, shuffle_key = _free(docs, "copy"), _free(docs, "shuffle_key")
-    n = _free(docs, "n_copies")
+    copy, shuffle_key = free_name(docs, "copy"), free_name(docs, "shuffle_key")
+    n = free_name(docs, "n_copies")
     return (docs.withColumn(n, copies).filter(F.col(f"`{n}`") > 0)
             .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"`{n}`") - 1))).drop(n)
             .withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed} place"), key, F.col(copy).cast("string"))))

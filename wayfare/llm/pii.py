@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import by_row
+from wayfare.llm.common import by_row, free_name
 
 #: Stands for the secret that a deployment passes as ``key``.
 KEY = b"replace with the deployment's secret"
@@ -281,9 +281,10 @@ def pseudonymised_documents(docs: DataFrame, key: bytes = KEY, text_col: str = "
     columns = docs.columns
     if length_col not in columns:
         return docs.withColumn(text_col, new)
-    marked = docs.withColumn("_new_text", new)
-    longer = F.coalesce(F.length("_new_text") - F.length(F.col(f"`{text_col}`")), F.lit(0))
+    swapped = free_name(docs, "_new_text")
+    marked = docs.withColumn(swapped, new)
+    longer = F.coalesce(F.length(swapped) - F.length(F.col(f"`{text_col}`")), F.lit(0))
     kind = docs.schema[length_col].dataType
-    return marked.select(*[F.col("_new_text").alias(c) if c == text_col
+    return marked.select(*[F.col(swapped).alias(c) if c == text_col
                            else (F.col(f"`{c}`") + longer).cast(kind).alias(c) if c == length_col
                            else F.col(f"`{c}`") for c in columns])

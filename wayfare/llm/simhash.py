@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import by_row, checkpointed
+from wayfare.llm.common import by_row, checkpointed, free_name
 from wayfare.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -249,13 +249,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat that id are reduced to one of them; rows without an id
     cannot be told apart and stay.
     """
-    columns = docs.columns
+    columns, key = docs.columns, free_name(docs, "_id")
     found = checkpointed(near_duplicates(docs, id_col, text_col, shingle_words, distance).select(
-        F.col(f"`{id_col}`").alias("_id"), "component_id"))
-    others = found.filter("_id <> component_id").select("_id").distinct()
-    kept = docs.join(others, F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
-    repeated = found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
+        F.col(f"`{id_col}`").alias(key), "component_id"))
+    others = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    same = F.col(f"`{id_col}`") == F.col(key)
+    kept = docs.join(others, same, "left_anti")
+    repeated = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
     if not repeated.isEmpty():
-        same = F.col(f"`{id_col}`") == F.col("_id")
         kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([id_col]))
     return kept.select(*[f"`{c}`" for c in columns])
