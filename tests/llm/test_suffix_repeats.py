@@ -60,16 +60,38 @@ def test_removal_equals_every_window(spark, monkeypatch, seed, hot):
     assert got == sorted(_brute(ids, texts))
 
 
-def test_small_pieces_and_batches(spark, monkeypatch):
-    for name, value in (("PIECE_BYTES", 64), ("ANCHORS_AT_ONCE", 10), ("CONTEXTS_AT_ONCE", 10), ("CHUNK_ANCHORS", 2)):
-        monkeypatch.setattr(R, name, value)
-    texts = _corpus(4, 25)
-    raw = texts[0].encode()
-    assert len(R.anchors(raw)[0])
-    # module values reach the workers through the pickled closures only in part, so the pieces are checked here
-    whole = R.anchors(raw)
-    monkeypatch.setattr(R, "PIECE_BYTES", 1 << 20)
-    assert all((a == b).all() for a, b in zip(whole, R.anchors(raw)))
+def test_anchors_do_not_depend_on_the_pieces(monkeypatch):
+    raws = [t.encode() for t in _corpus(4, 25)] + [b"", b"short", b"z" * R.LENGTH]
+    one = [R.anchors([r])[1:] for r in raws]
+    for size in (64, 500, 1 << 18):
+        monkeypatch.setattr(R, "PIECE_BYTES", size)
+        which, at, hashes = R.anchors(raws)
+        assert sorted(set(which)) == [i for i, r in enumerate(raws) if len(r) >= R.LENGTH]
+        for i, (a, h) in enumerate(one):
+            assert (at[which == i] == a).all() and (hashes[which == i] == h).all()
+        w, s, e = R.chunks(raws)
+        for i, r in enumerate(raws):
+            own = list(zip(s[w == i], e[w == i]))
+            assert not own and len(r) < R.LENGTH or own[0][0] == 0 and own[-1][1] == len(r) - R.LENGTH + 1
+            assert all(x[1] == y[0] for x, y in zip(own, own[1:])) and all(x < y for x, y in own)
+
+
+def test_every_window_has_its_least_gram():
+    for t in _corpus(5, 12):
+        raw = t.encode()
+        if len(raw) >= R.LENGTH:
+            grams, chosen = R.gram_hashes(raw), set(R.anchors([raw])[1].tolist())
+            for p in range(len(raw) - R.LENGTH + 1):
+                own = grams[p:p + R.LENGTH - R.GRAM + 1]
+                assert set((np.flatnonzero(own == own.min()) + p).tolist()) <= chosen
+
+
+def test_spans_cover_what_is_removed(spark):
+    texts = _corpus(6, 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in R.removed(df, with_spans=True).collect():
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
+        assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
 def test_prefix_intervals_and_maximal_repeats_equal_all_pairs():
@@ -101,7 +123,7 @@ def test_equal_windows_have_the_same_anchor_offsets():
     shared = bytes(rng.choice(b"abc") for _ in range(R.LENGTH))
     for raw in (a[:101] + shared + a[200:], b[:37] + shared + b[90:]):
         at = raw.index(shared)
-        inside = [p - at for p in R.anchors(raw)[0] if at <= p <= at + R.LENGTH - R.GRAM]
+        inside = [p - at for p in R.anchors([raw])[1] if at <= p <= at + R.LENGTH - R.GRAM]
         least = R.gram_hashes(shared)
         assert set(np.flatnonzero(least == least.min())) <= set(inside)
 
@@ -122,3 +144,5 @@ def test_awkward_rows(spark):
     assert (None, 62, 0, 0) in got and (2, 0, 0, 0) in got and len(got) == df.count()
     assert rows(R.removed(with_clashes(df)).select("doc_id", "n_bytes", "n_removed", "n_spans")) == got
     assert R.removed(df.limit(0)).count() == 0
+    again = df.unionByName(docs_df(spark, ["Another text under an id that is there already, of well over fifty bytes."], first_id=53))
+    assert (53, 73, 0, 0) in rows(R.removed(again).select("doc_id", "n_bytes", "n_removed", "n_spans"))

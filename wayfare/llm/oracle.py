@@ -50,4 +50,31 @@ SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy,
 FROM counted, range(copies) t(c)
 """
 
-ORACLE = {"op7_poisson_mixing": OP7, "op10_url_filter": OP10}
+# Every 50-byte window of every text, as hexadecimal digits; touching windows are one run.
+OP4 = r"""
+WITH text_bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (      -- so that a window is cut from a short string
+  SELECT doc_id, base, substr(h, 2 * base + 1, 1098) AS block
+  FROM (SELECT *, unnest(range(0, greatest(len(h) // 2 - 49, 0), 500)) AS base FROM text_bytes)),
+starts AS (SELECT *, unnest(range(0, len(block) // 2 - 49)) AS q FROM blocks),
+windows AS (SELECT doc_id, base + q AS p, substr(block, 2 * q + 1, 100) AS s FROM starts),
+first_in AS (SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s),
+gone AS (
+  SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, -1) AS opens
+  FROM windows JOIN first_in USING (s) WHERE doc_id > first_doc),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM gone) GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM runs),
+folded AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, list((was, a) ORDER BY a) AS pieces FROM kept GROUP BY doc_id),
+parts AS (
+  SELECT f.doc_id, string_agg(substr(h, 2 * piece[1] + 1, 2 * (piece[2] - piece[1])), '' ORDER BY piece[1]) AS head
+  FROM (SELECT doc_id, unnest(pieces) AS piece FROM folded) f JOIN text_bytes USING (doc_id) GROUP BY f.doc_id)
+SELECT t.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM text_bytes t LEFT JOIN folded USING (doc_id) LEFT JOIN parts USING (doc_id)
+"""
+
+ORACLE = {"op4_suffix_dedup": OP4, "op7_poisson_mixing": OP7, "op10_url_filter": OP10}

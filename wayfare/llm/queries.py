@@ -20,8 +20,7 @@ def op3_decontamination(spark, sf_dir):
 
 
 def op4_suffix_dedup(spark, sf_dir):
-    found = suffix_repeats.removed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_repeats.removed(table(spark, sf_dir, "documents"))
 
 
 def op5_pii_pseudonyms(spark, sf_dir):

@@ -44,6 +44,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +65,10 @@ HOT_SHARE = 0.005
 HOT_DOCS = 64
 MOST_HOT = 500_000
 #: Bucket ranges for each shuffle partition.
-RANGES = 8
-ANCHORS_AT_ONCE = 500_000
+RANGES = 2
+BYTES_AT_ONCE = 8 << 20
 CONTEXTS_AT_ONCE = 100_000
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _TABLE = np.random.default_rng(20).integers(0, 2 ** 64, 256, dtype=np.uint64)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -102,46 +103,98 @@ def _sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
     return best(values[:len(values) - (width - span)], values[width - span:]) if width > span else values
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the least-hash substring of every window; all of them where several are least."""
-    at, hashes = [], []
-    width = LENGTH - GRAM + 1
-    for start in range(0, max(1, len(raw) - LENGTH + 1), PIECE_BYTES):      # windows starting in one piece at a time
-        piece = raw[start:start + PIECE_BYTES + LENGTH - 1]
-        if len(piece) < LENGTH:
-            break
-        grams = gram_hashes(piece)
-        least = _sliding(grams, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        found = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
-        at.append(found + start)
-        hashes.append(grams[found])
-    if not at:
+def _least_grams(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the least-hash substrings of all windows that cross none of ``ends``."""
+    if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(hashes)[first]
+    width = LENGTH - GRAM + 1
+    grams = gram_hashes(data)
+    least = _sliding(grams, width, np.minimum)
+    for step in range(1, LENGTH):                     # windows that start less than LENGTH bytes before an end
+        at = ends - step
+        least[at[(at >= 0) & (at < len(least))]] = 0
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
+    return at, grams[at]
 
 
-def chunks(raw: bytes) -> list[tuple[int, int]]:
-    """(first window, end of windows) of the chunks of a text; none if it is shorter than a window."""
-    windows = len(raw) - LENGTH + 1
-    if windows < 1:
-        return []
-    at, hashes = anchors(raw)
-    cuts = at[(hashes * _CUT) >> np.uint64(32) < np.uint64(2 ** 32 // CHUNK_ANCHORS)]
-    starts = np.unique(np.concatenate([[0], cuts[cuts < windows]]))
-    return list(zip(starts.tolist(), np.append(starts[1:], windows).tolist()))
+def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, position, hash) of the least-hash substring of every window; all of them where several are least.
+
+    Short texts are hashed together, a piece at a time; a long one in
+    overlapping pieces of its own.
+    """
+    out: list[tuple] = []
+    group: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        if group:
+            lengths = np.array([len(raws[i]) for i in group], np.int64)
+            ends = np.cumsum(lengths)
+            at, hashes = _least_grams(b"".join([raws[i] for i in group]), ends)
+            which = np.searchsorted(ends, at, side="right")
+            out.append((np.array(group, np.int64)[which], at - (ends - lengths)[which], hashes))
+            group.clear()
+
+    for i, raw in enumerate(raws):
+        if len(raw) < LENGTH:
+            continue
+        if len(raw) > PIECE_BYTES:
+            parts = []
+            for start in range(0, len(raw) - LENGTH + 1, PIECE_BYTES):      # windows starting in one piece at a time
+                at, hashes = _least_grams(raw[start:start + PIECE_BYTES + LENGTH - 1], np.zeros(0, np.int64))
+                parts.append((at + start, hashes))
+            at, first = np.unique(np.concatenate([x for x, _ in parts]), return_index=True)
+            flush()
+            size = 0
+            out.append((np.full(len(at), i, np.int64), at, np.concatenate([x for _, x in parts])[first]))
+            continue
+        group.append(i)
+        size += len(raw)
+        if size >= PIECE_BYTES:
+            flush()
+            size = 0
+    flush()
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def chunks(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first window, end of windows) of the chunks of every text; none of a text shorter than a window."""
+    which, at, hashes = anchors(raws)
+    windows = np.array([max(0, len(r) - LENGTH + 1) for r in raws], np.int64)
+    cut = ((hashes * _CUT) >> np.uint64(32) < np.uint64(2 ** 32 // CHUNK_ANCHORS)) & (at > 0) & (at < windows[which])
+    long = np.flatnonzero(windows)
+    which, start = np.concatenate([long, which[cut]]), np.concatenate([np.zeros(len(long), np.int64), at[cut]])
+    order = np.lexsort((start, which))
+    which, start = which[order], start[order]
+    end = windows[which]
+    same = which[1:] == which[:-1]
+    end[:-1][same] = start[1:][same]
+    return which, start, end
 
 
 # -- packed columns ---------------------------------------------------------------
 
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(a.tobytes() for a in arrays))
+    return _compressor().compress(sizes + b"".join([a.tobytes() for a in arrays]))
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _decompressor().decompress(blob)
     sizes, at, out = np.frombuffer(raw, np.int64, len(types)), 8 * len(types), []
     for n, t in zip(sizes.tolist(), types):
         out.append(np.frombuffer(raw, t, n, at))
@@ -163,8 +216,11 @@ def _packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
                                       names=["part", "kind", "blob"])
 
 
-def _spread(ids: np.ndarray, parts: int) -> np.ndarray:
-    return ((ids.astype(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
+def _settled(parts: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """One blob of rows that need no bucket, for any part: the hash of its content picks one."""
+    if len(columns[0]):
+        blob = _pack(*columns)
+        yield xxhash.xxh64_intdigest(blob) % parts, 1, blob
 
 
 # -- the enhanced suffix array of a bucket ------------------------------------------
@@ -233,58 +289,70 @@ def bucket_spans(members: dict[tuple[bytes, bytes], tuple[int, list]]) -> Iterat
 
 # -- Spark stages -------------------------------------------------------------------
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tag, z): the compressed text of every row; the tag tells texts under one id apart."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def _bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
+def _tag(raw: bytes, tagged: bool) -> int:
+    """Tells texts under one id apart; 0 where ids are known to be distinct."""
+    return xxhash.xxh64_intdigest(raw) >> 33 if tagged else 0
+
+
+def _texts(named: DataFrame, tagged: bool) -> DataFrame:
+    """(id, tag, z): the compressed text of every row."""
 
     def row(compressor, key, text):
-        raw = text.encode("utf-8", "surrogatepass") if text else b""
-        return key, xxhash.xxh64_intdigest(raw) >> 33, compressor.compress(raw)
+        raw = _bytes(text)
+        return key, _tag(raw, tagged), compressor.compress(raw)
 
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return by_row(named, {"id": "id", "text": "text"}, "id long, tag long, z binary", row, lambda: zstandard.ZstdCompressor(level=3))
 
 
-def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _chunk_rows(named: DataFrame, tagged: bool) -> DataFrame:
     """(digest, id, tag, start, end) of the chunks of every text."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                tag = xxhash.xxh64_intdigest(raw) >> 33
-                out += [(hashlib.blake2b(raw[s:e + LENGTH - 1], digest_size=16).digest(), key, tag, s, e) for s, e in chunks(raw)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), *[pa.int64()] * 4))], names=["digest", "id", "tag", "start", "end"])
+            ids, raws = b.column(0).to_pylist(), [_bytes(t) for t in b.column(1).to_pylist()]
+            tags = [_tag(r, tagged) for r in raws]
+            which, start, end = chunks(raws)
+            if len(which):
+                spans = list(zip(which.tolist(), start.tolist(), end.tolist()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([hashlib.blake2b(raws[i][s:e + LENGTH - 1], digest_size=16).digest() for i, s, e in spans], pa.binary()),
+                    pa.array([ids[i] for i, _, _ in spans], pa.int64()), pa.array([tags[i] for i, _, _ in spans], pa.int64()),
+                    pa.array(start), pa.array(end)], names=["digest", "id", "tag", "start", "end"])
 
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id IS NOT NULL")
-    return named.mapInArrow(run, "digest binary, id long, tag long, start long, end long")
+    return named.filter("id IS NOT NULL").mapInArrow(run, "digest binary, id long, tag long, start long, end long")
 
 
-def _copied_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _copied_chunks(named: DataFrame, tagged: bool) -> DataFrame:
     """(id, tag, start, end) of the chunks that occur in a smaller document."""
-    rows = _chunk_rows(docs, id_col, text_col)
+    rows = checkpointed(_chunk_rows(named, tagged))            # read twice below
     first = rows.groupBy("digest").agg(F.min("id").alias("first"))
     return rows.join(first, "digest").filter("id > first").select("id", "tag", "start", "end")
 
 
-def _hot_anchors(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def _hot_anchors(named: DataFrame) -> np.ndarray:
     """Sorted hashes of anchors found in over HOT_SHARE of a bounded sample of documents."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    share = min(1.0, SAMPLE_DOCS / max(1, named.count()))
     sample = named.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("hot")), F.lit(1 << 32)) < share * (1 << 32))
 
     def run(batches):
         for b in batches:
-            found = [np.unique(anchors(t.encode("utf-8", "surrogatepass"))[1]) for t in b.column(1).to_pylist() if t]
-            hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            which, _, hashes = anchors([_bytes(t) for t in b.column(1).to_pylist()])
+            pairs = np.unique(np.stack([hashes, which.astype(np.uint64)]), axis=1)      # once a document
+            hashes, counts = np.unique(pairs[0], return_counts=True)
             if len(hashes):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
+    least = HOT_DOCS if share == 1 else max(HOT_DOCS, int(HOT_SHARE * SAMPLE_DOCS))
     rows = (sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= max(HOT_DOCS, int(HOT_SHARE * SAMPLE_DOCS)) if share < 1 else F.col("n") >= HOT_DOCS)
-            .orderBy(F.desc("n")).limit(MOST_HOT).select("hash").collect())
+            .filter(F.col("n") >= least).orderBy(F.desc("n")).limit(MOST_HOT).select("hash").collect())
     return np.sort(np.array([r["hash"] for r in rows], np.int64))
 
 
@@ -299,36 +367,41 @@ def _shared_anchors(texts: DataFrame, copied: DataFrame, hot, parts: int) -> Dat
     skipped = copied.groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("copied"))
 
     def packed(batches):
-        held, size = [], 0
-
-        def flush():
-            hashes, ids, tags, places = [np.concatenate(x) for x in zip(*held)]
-            is_hot = _is_in(hashes.view(np.int64), hot.value)
-            rest = ~is_hot
-            yield from _dealt((hashes[rest] % np.uint64(parts)).astype(np.int64), 0, hashes[rest], ids[rest], tags[rest], places[rest])
-            yield from _dealt(_spread(ids[is_hot], parts), 1, ids[is_hot], tags[is_hot], ~places[is_hot])
-
         for b in batches:
-            for key, tag, z, spans in zip(*[c.to_pylist() for c in b.columns]):
-                if key is None:
-                    continue
-                raw = zstandard.ZstdDecompressor().decompress(z)
-                at, hashes = anchors(raw)
-                if spans:
-                    keep = np.ones(max(0, len(raw) - LENGTH + 1), bool)      # windows still in question
-                    for s in spans:
-                        keep[s["start"]:s["end"]] = False
-                    before = np.concatenate([[0], np.cumsum(keep)])
-                    near = before[np.minimum(at + 1, len(keep))] > before[np.clip(at - (LENGTH - GRAM), 0, len(keep))]
-                    at, hashes = at[near], hashes[near]
-                if len(at):
-                    held.append((hashes, np.full(len(at), key, np.int64), np.full(len(at), tag, np.int64), at.astype(np.int64)))
-                    size += len(at)
-                if size >= ANCHORS_AT_ONCE:
-                    yield _packed_batch(list(flush()))
-                    held, size = [], 0
-        if held:
-            yield _packed_batch(list(flush()))
+            texts = [r for r in zip(*[c.to_pylist() for c in b.columns]) if r[0] is not None]
+            at = 0
+            while at < len(texts):
+                part, size = [], 0
+                while at < len(texts) and size < BYTES_AT_ONCE:
+                    part.append((_decompressor().decompress(texts[at][2]), *texts[at]))
+                    size += len(part[-1][0])
+                    at += 1
+                rows = list(dealt(part))
+                if rows:
+                    yield _packed_batch(rows)
+
+    def dealt(texts: list[tuple]):
+        which, place, hashes = anchors([t[0] for t in texts])
+        skip = np.zeros(len(which), bool)
+        for i, (raw, _, _, _, spans) in enumerate(texts):
+            if spans:
+                keep = np.ones(len(raw) - LENGTH + 1, bool)      # windows still in question
+                for s in spans:
+                    keep[s["start"]:s["end"]] = False
+                before = np.concatenate([[0], np.cumsum(keep)])
+                own = slice(*np.searchsorted(which, [i, i + 1]))
+                p = place[own]
+                skip[own] = before[np.minimum(p + 1, len(keep))] == before[np.clip(p - (LENGTH - GRAM), 0, len(keep))]
+        which, place, hashes = which[~skip], place[~skip], hashes[~skip]
+        ids = np.array([t[1] for t in texts], np.int64)[which]
+        tags = np.array([t[2] for t in texts], np.int64)[which]
+        is_hot = _is_in(hashes.view(np.int64), hot.value)
+        rest = ~is_hot
+        h = hashes[rest]
+        # 48 bits of the hash travel: two anchors that share them without being equal are told apart by their contexts
+        yield from _dealt((h % np.uint64(parts)).astype(np.int64), 0, (h >> np.uint64(32)).astype(np.uint32),
+                          (h >> np.uint64(16)).astype(np.uint16), ids[rest], tags[rest], place[rest])
+        yield from _settled(parts, ids[is_hot], tags[is_hot], ~place[is_hot])
 
     def shared(group: pa.Table) -> pa.Table:
         ids, tags, places, mine = [], [], [], []
@@ -337,9 +410,10 @@ def _shared_anchors(texts: DataFrame, copied: DataFrame, hot, parts: int) -> Dat
                 i, t, p = _unpack(blob, np.int64, np.int64, np.int64)
                 ids.append(i), tags.append(t), places.append(p)
             else:
-                mine.append(_unpack(blob, np.uint64, np.int64, np.int64, np.int64))
+                mine.append(_unpack(blob, np.uint32, np.uint16, np.int64, np.int64, np.int64))
         if mine:
-            hashes, i, t, p = [np.concatenate(x) for x in zip(*mine)]
+            high, low, i, t, p = [np.concatenate(x) for x in zip(*mine)]
+            hashes = high.astype(np.uint64) << np.uint64(16) | low
             order = np.lexsort((i, hashes))
             hashes, i, t, p = hashes[order], i[order], t[order], p[order]
             starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
@@ -401,14 +475,14 @@ def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFram
                     own = order[s:e]
                     yield int(ordered[s]), 0, _pack(*[c[own] for c in columns], np.frombuffer(b"".join(data[i] for i in own), np.uint8))
             if copies:
-                spans = np.array([(key, tag, at - len(left), at + len(right)) for key, (tag, at), (left, right) in copies], np.int64).T
-                yield from _dealt(_spread(spans[0], parts), 1, *spans)
+                yield from _settled(parts, *np.array([(key, tag, at - len(left), at + len(right))
+                                                      for key, (tag, at), (left, right) in copies], np.int64).T)
 
         for b in batches:
             for key, tag, z, places in zip(*[c.to_pylist() for c in b.columns]):
                 if not places:
                     continue
-                raw = zstandard.ZstdDecompressor().decompress(z)
+                raw = _decompressor().decompress(z)
                 for place in places:
                     for bucket, at, left, right in _contexts(raw, place):
                         _add(members.setdefault(bucket, {}), (left, right), key, (tag, at), copies)
@@ -444,25 +518,31 @@ def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFram
             .applyInArrow(spans, "id long, tag long, start long, end long"))
 
 
-def _united(spans: list[dict] | None) -> list[tuple[int, int]]:
+def _united(spans: list[int] | None) -> list[tuple[int, int]]:
+    """Maximal runs of spans written as start << 31 | length."""
     out: list[list[int]] = []
-    for s in sorted((x["start"], x["end"]) for x in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
+    for x in sorted(spans or ()):
+        start, end = x >> 31, (x >> 31) + (x & 0x7FFFFFFF)
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append(list(s))
+            out.append([start, end])
     return [(a, b) for a, b in out]
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are (start, end) in bytes."""
-    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = bounded_broadcast(docs.sparkSession, _hot_anchors(docs, id_col, text_col))
-    texts = _texts(docs, id_col, text_col)
-    copied = checkpointed(_copied_chunks(docs, id_col, text_col))
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and with ``with_spans`` the removed runs as
+    ``spans`` (start, end in bytes)."""
+    spark = docs.sparkSession
+    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = _named(docs, id_col, text_col)
+    tagged = not named.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty()
+    hot = bounded_broadcast(spark, _hot_anchors(named))
+    texts = _texts(named, tagged)
+    copied = checkpointed(_copied_chunks(named, tagged))
     repeated = _repeated_spans(texts, _shared_anchors(texts, copied, hot, parts), parts)
     spans = (repeated.union(copied.select("id", "tag", "start", (F.col("end") + (LENGTH - 1)).alias("end")))
-             .groupBy("id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("found")))
+             .groupBy("id", "tag").agg(F.collect_set(F.shiftleft("start", 31) + F.col("end") - F.col("start")).alias("found")))
     id_type = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
 
     def row(decompressor, key, z, found):
@@ -473,13 +553,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             kept.update(raw[at:s])
             at = e
         kept.update(raw[at:])
-        return key, len(raw), sum(e - s for s, e in own), len(own), kept.hexdigest(), own
+        base = key, len(raw), sum(e - s for s, e in own), len(own), kept.hexdigest()
+        return (*base, [{"start": s, "end": e} for s, e in own]) if with_spans else base
 
     out = by_row(texts.join(spans, ["id", "tag"], "left"), {"id": "id", "z": "z", "found": "found"},
-                 "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>",
-                 lambda d, key, z, found: _as_spans(row(d, key, z, found)), zstandard.ZstdDecompressor)
-    return out.select(F.col("id").cast(id_type).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
-
-
-def _as_spans(found: tuple) -> tuple:
-    return *found[:-1], [{"start": s, "end": e} for s, e in found[-1]]
+                 "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+                 + ", spans array<struct<start:long,end:long>>" * with_spans, row, zstandard.ZstdDecompressor)
+    return out.select(F.col("id").cast(id_type).alias(id_col), *out.columns[1:])
