@@ -52,6 +52,7 @@ def test_templates_are_removed_per_host_and_articles_are_held_apart(spark):
     data += [(200 + i, f"http://c.example/{i}", copy) for i in range(10)] + [(300, "http://d.example/", copy)]
     df = spark.createDataFrame(data, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert got == {r.page_id: r.text for r in H.extract(df, limit=0).collect()}       # joined by host and salt
     assert all(got[i] == f"Body number {i}" for i in range(10))
     assert got[100] == "Welcome to our site\nOther 0" and got[103] == "Box 3\nOther 3"
     assert all(got[200 + i] == "The same republished text." for i in range(10))

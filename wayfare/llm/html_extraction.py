@@ -20,8 +20,9 @@ empty ones left out.  Nothing else is dropped or shortened.
 
 A host's templates are bounded: each stands on ``MIN_SHARE`` of its pages, so
 there are at most 1 / MIN_SHARE times as many as a page has subtrees on
-average.  They are joined to the pages by host and salt, so a host with a
-third of all pages spreads over ``SALTS`` keys.
+average.  The table of all hosts is broadcast if its measured size allows;
+else pages meet it by host and salt, at least as many salts as there are
+shuffle partitions, so a host with a third of all pages spreads over all.
 
 Defined results: a null or empty html gives an empty text; broken, unclosed
 and truncated markup is read as far as it goes; a null url counts as one
@@ -41,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import BROADCAST_BYTES, checkpointed
 from wayfare.llm.url_filter import url_parts
 
 MIN_PAGES = 5
@@ -287,19 +289,28 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id",
-            url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page."""
-    found = templates(pages, min_pages, min_share, url_col, html_col)
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    def texts(sources: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([main_text(parse(s), frozenset(()) if k is None else frozenset(k.tolist())) if s else ""
-                          for s, k in zip(sources, known)], dtype=object)
+            url_col: str = "url", html_col: str = "html", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, url, text, n_chars) of every page.
 
+    The template table is measured.  Up to ``limit`` bytes it is broadcast and
+    pages are not moved; beyond, pages are joined to it by host and salt.
+    """
     page = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"),
                         url_parts(f"`{url_col}`")[0])
-    page = page.withColumn("salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int"))
-    text = F.pandas_udf(texts, "string")("_html", "templates")
-    return (page.join(salted, ["host", "salt"], "left").withColumn("_text", text)
+    found = checkpointed(templates(pages, min_pages, min_share, url_col, html_col))
+    size = found.agg(F.sum(F.lit(64) + F.length("host") + 8 * F.size("templates")).alias("n")).first()["n"] or 0
+    if size <= limit:
+        known = page.join(F.broadcast(found), "host", "left")
+    else:
+        salts = max(SALTS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        page = page.withColumn("salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)).cast("int"))
+        known = page.join(salted, ["host", "salt"], "left")
+
+    def texts(sources: pd.Series, templates: pd.Series) -> pd.Series:
+        return pd.Series([main_text(parse(s), frozenset(()) if t is None else frozenset(t.tolist())) if s else ""
+                          for s, t in zip(sources, templates)], dtype=object)
+
+    return (known.withColumn("_text", F.pandas_udf(texts, "string")("_html", "templates"))
             .select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"),
                     F.length("_text").cast("long").alias("n_chars")))
