@@ -221,7 +221,10 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, most: int = CELL_MEMBERS
         return (members.repartition("cell").sortWithinPartitions("cell", "fp")
                 .mapInArrow(_cell_links(distance, most), "a long, b long, cell long"))
 
-    found = checkpointed(joined(fps.select("fp").mapInArrow(dealt, "cell long, fp long"), most))
+    # fingerprints are few bytes but enter some 47 cells each: dealt out evenly, or adaptive
+    # coalescing would leave their expansion to a few tasks
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = checkpointed(joined(fps.select("fp").repartition(parts).mapInArrow(dealt, "cell long, fp long"), most))
     out = found.filter("cell IS NULL").select("a", "b")
     large = found.filter("cell IS NOT NULL").select("a", "cell")
     if not large.isEmpty():
