@@ -92,6 +92,26 @@ def test_bands_reject_repetitive_and_incompressible_text_and_keep_prose(spark):
     assert got[5].ratio is None and got[5].n_words == 0 and got[5].base_failed
 
 
+@pytest.mark.parametrize("size", [300, 349, 466, 800, 2048, 5000, 20_000])
+def test_encoded_and_random_text_goes_and_clean_documents_stay(spark, size):
+    import base64
+    import pyarrow.parquet as pq
+    rng = random.Random(size)
+
+    def words(signs, k):
+        return " ".join(signs[i:i + k] for i in range(0, len(signs), k))[:size]
+
+    bad = [words(x, k) for k in ((4, 5) if size == 300 else (4, 5, 6))
+           for x in (base64.b64encode(rng.randbytes(size)).decode(), rng.randbytes(size).hex(), rng.randbytes(size).hex().upper(),
+                     "".join(chr(rng.randrange(33, 127)) for _ in range(size)))]
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    clean = [r["text"][:size] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()
+             if labels.get(r["doc_id"]) == 1 and len(r["text"]) >= min(size, 5000)]
+    got = {r.doc_id: r for r in quality_bands.quality(docs_df(spark, bad + clean)).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(len(bad)))
+    assert clean and all(got[i].kept or got[i].base_failed for i in range(len(bad), len(got)))
+
+
 def test_quality_awkward_rows_and_stage_agree(spark):
     df = awkward(spark)
     q = quality_bands.quality(df)

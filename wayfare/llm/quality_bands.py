@@ -3,8 +3,11 @@
 A text is compressed with zstandard as a whole and in fixed chunks.  Short
 input compresses worse than long input of the same kind, so the allowed band
 of ``bytes / compressed bytes`` depends on the length that was compressed
-(``BANDS``).  Above a band the text is repetitive, below it is incompressible
-(random or encoded).  A document is rejected when
+(``LOW``, ``HIGH``).  Above a band the text is repetitive, below it is
+incompressible (random or encoded).  Hexadecimal text compresses as well as
+short prose; where many words mix letters and digits, the band therefore
+begins above what sixteen signs can reach (``CODE_LOW``).  A document is
+rejected when
 
 * its whole text lies outside the band of its length, or
 * more than ``max_chunk_share`` of its bytes lie in chunks outside the band
@@ -22,6 +25,7 @@ empty table an empty one; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -31,16 +35,16 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import by_row
 
-#: (bytes from, lowest ratio, highest ratio) of the compressed piece.
-BANDS = (
-    (0, 0.0, 3.0),
-    (256, 1.05, 4.0),
-    (512, 1.15, 4.5),
-    (1024, 1.25, 5.0),
-    (4096, 1.40, 6.0),
-    (16384, 1.50, 7.0),
-    (65536, 1.55, 8.0),
-)
+#: (bytes, lowest ratio) of the compressed piece, straight lines between them; any ratio below 256 bytes.
+#: Above base64 and random signs in words of four or more, below prose (figures in the README).
+#: Longer texts are judged by their chunks as well, so a sound text with one odd region passes as a whole.
+LOW = ((256, 1.17), (300, 1.20), (400, 1.25), (512, 1.29), (640, 1.32), (800, 1.36), (1024, 1.39), (1500, 1.41),
+       (2048, 1.44), (3072, 1.55), (4096, 1.73), (16384, 1.55))
+#: (bytes from, highest ratio).
+HIGH = ((0, 3.0), (256, 4.0), (512, 4.5), (1024, 5.0), (4096, 6.0), (16384, 7.0), (65536, 8.0))
+#: Lowest ratio of a piece of ``CODE_WORDS`` mixed words: sixteen signs and spaces stay under it at any length.
+CODE_LOW = 2.25
+CODE_WORDS = 0.4
 CHUNK_BYTES = 4096
 LEVEL = 3
 MAX_CHUNK_SHARE = 0.25
@@ -49,6 +53,7 @@ MAX_REPEAT_PERCENT = 50
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
+DIGIT, LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
 
 COLUMNS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
            "base_failed boolean, kept boolean, ratio double, bad_chunk_share double")
@@ -88,12 +93,24 @@ def _repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-def band(size: int) -> tuple[float, float]:
-    low, high = 0.0, float("inf")
-    for start, lo, hi in BANDS:
-        if size >= start:
-            low, high = lo, hi
-    return low, high
+def band(size: int, code: bool = False) -> tuple[float, float]:
+    """(lowest, highest) ratio of a piece of ``size`` bytes; ``code``: its words mix letters and digits."""
+    low = 0.0
+    if size >= LOW[0][0]:
+        low = LOW[-1][1]
+        for (start, x), (stop, y) in zip(LOW, LOW[1:]):
+            if start <= size < stop:
+                low = x + (y - x) * (size - start) / (stop - start)
+                break
+        if code:
+            low = max(low, CODE_LOW)
+    return low, next(h for start, h in reversed(HIGH) if size >= start)
+
+
+def coded(piece: bytes) -> bool:
+    """Whether ``CODE_WORDS`` of the words hold both a letter (A-Z, a-z) and a digit."""
+    words = piece.split()
+    return bool(words) and sum(1 for w in words if DIGIT.search(w) and LETTER.search(w)) >= CODE_WORDS * len(words)
 
 
 def compression_verdict(raw: bytes, compressor, chunk_bytes: int = CHUNK_BYTES,
@@ -102,23 +119,21 @@ def compression_verdict(raw: bytes, compressor, chunk_bytes: int = CHUNK_BYTES,
     if not raw:
         return True, None, 0.0
 
-    def ratio(piece) -> float:
-        return len(piece) / len(compressor.compress(piece))
-
-    def inside(size: int, r: float) -> bool:
-        low, high = band(size)
-        return low <= r <= high
+    def judged(piece: bytes) -> tuple[float, bool]:
+        """The ratio, and whether it lies inside the band."""
+        r = len(piece) / len(compressor.compress(piece))
+        low, high = band(len(piece), r < CODE_LOW and coded(piece))
+        return r, low <= r <= high
 
-    whole = ratio(raw)
+    whole, ok = judged(raw)
     bad = 0
     if len(raw) > chunk_bytes:
-        view = memoryview(raw)
         for start in range(0, len(raw), chunk_bytes):
-            piece = view[start:start + chunk_bytes]
-            if not inside(len(piece), ratio(piece)):
+            piece = raw[start:start + chunk_bytes]
+            if not judged(piece)[1]:
                 bad += len(piece)
     share = bad / len(raw)
-    return inside(len(raw), whole) and share <= max_chunk_share, whole, share
+    return ok and share <= max_chunk_share, whole, share
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
