@@ -64,6 +64,13 @@ def test_templates_are_removed_per_host_and_articles_are_held_apart(spark):
         assert found.get(host, set()) == {h for h, n in counts.items() if n >= max(H.MIN_PAGES, H.MIN_SHARE * len(own))}
 
 
+def test_templates_of_layouts_that_hold_a_fifth_of_a_host_each(spark):
+    data = [(i, f"https://a.example/{i}", _page(i, f"Box of <b>layout</b> {i % 5}", f"Body number {i}")) for i in range(100)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    for limit in (H.BROADCAST_BYTES, 0):
+        assert {r.page_id: r.text for r in H.extract(df, limit=limit).collect()} == {i: f"Body number {i}" for i in range(100)}
+
+
 def test_driver_pages_equal_the_article_read_by_pattern(spark):
     df = spark.read.parquet(SF)
     got = {r.page_id: r for r in H.extract(df).collect()}

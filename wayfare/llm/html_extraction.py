@@ -2,9 +2,11 @@
 
 Templates.  Every element subtree of a page is hashed (tag, attributes,
 text); Spark counts for each host on how many pages a subtree occurs.  A
-subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of its
-host's pages is a template of that host and is deleted: the menus, banners
-and boxes that no markup names.  What the page itself marks as the article is
+subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` times
+the root of its host's number of pages is a template of that host and is
+deleted: the menus, banners and boxes that no markup names.  The share asked
+falls with the host's size (9 of 320 pages, 500 of a million), so the
+templates of sections, languages and layouts count too.  What the page itself marks as the article is
 held apart: sites republish paragraphs and whole pages, so inside an article
 a recurring subtree goes only if most of its text is links.
 
@@ -18,9 +20,8 @@ Text.  Character references are decoded, white space within a block becomes
 one space, blocks are trimmed and joined by one line feed in page order,
 empty ones left out.  Nothing else is dropped or shortened.
 
-A host's templates are bounded: each stands on ``MIN_SHARE`` of its pages, so
-there are at most 1 / MIN_SHARE times as many as a page has subtrees on
-average.  The table of all hosts is broadcast if its measured size allows;
+A host's templates are bounded: at most root(pages) / MIN_SHARE times as many
+as a page has subtrees on average.  The table of all hosts is broadcast if its measured size allows;
 else pages meet it by host and salt, at least as many salts as there are
 shuffle partitions, so a host with a third of all pages spreads over all.
 
@@ -46,7 +47,8 @@ from wayfare.llm.common import BROADCAST_BYTES, checkpointed
 from wayfare.llm.url_filter import url_parts
 
 MIN_PAGES = 5
-MIN_SHARE = 0.3
+#: Share of a host's pages, divided by the root of their number.
+MIN_SHARE = 0.5
 LINK_SHARE = 0.5
 SALTS = 16
 
@@ -284,7 +286,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
               .mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")))
     by_host = counts.groupBy("host").agg(F.max(F.when(F.col("hash") == 0, F.col("n"))).alias("pages"))
     return (counts.filter((F.col("hash") != 0) & (F.col("n") >= min_pages)).join(by_host, "host")
-            .filter(F.col("n") >= min_share * F.col("pages"))
+            .filter(F.col("n") >= min_share * F.sqrt("pages"))
             .groupBy("host").agg(F.collect_list("hash").alias("templates")))
 
 
@@ -307,10 +309,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         page = page.withColumn("salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)).cast("int"))
         known = page.join(salted, ["host", "salt"], "left")
 
-    def texts(sources: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([main_text(parse(s), frozenset(()) if t is None else frozenset(t.tolist())) if s else ""
-                          for s, t in zip(sources, templates)], dtype=object)
+    def texts(hosts: pd.Series, sources: pd.Series, templates: pd.Series) -> pd.Series:
+        sets: dict[str, frozenset] = {}                        # one set a host and batch
+        out = []
+        for host, s, t in zip(hosts, sources, templates):
+            if host not in sets:
+                sets[host] = frozenset(()) if t is None else frozenset(t.tolist())
+            out.append(main_text(parse(s), sets[host]) if s else "")
+        return pd.Series(out, dtype=object)
 
-    return (known.withColumn("_text", F.pandas_udf(texts, "string")("_html", "templates"))
+    return (known.withColumn("_text", F.pandas_udf(texts, "string")("host", "_html", "templates"))
             .select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"),
                     F.length("_text").cast("long").alias("n_chars")))
