@@ -71,6 +71,19 @@ def test_templates_of_layouts_that_hold_a_fifth_of_a_host_each(spark):
         assert {r.page_id: r.text for r in H.extract(df, limit=limit).collect()} == {i: f"Body number {i}" for i in range(100)}
 
 
+def test_links_in_running_text_stay_though_the_menu_holds_them(spark):
+    link, menu = "<a href=/de>the guide</a>", "<div><a href=/de>the guide</a><a href=/x>More</a></div>"
+    share = "<ul><li>{0}</li><li><a href=/x>More</a></li></ul><p>{0}</p>".format(link)
+
+    def page(i):
+        words = f"<h2>{link}</h2><p>Read {link} first, {i}.</p><div>Or {link}</div>"
+        return f"<body>{menu}<article>{words}{share}</article></body>" if i % 2 else f"<body>{menu}<div><p>Read {link} first, {i}.</p></div></body>"
+
+    df = spark.createDataFrame([(i, f"https://a.example/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[i] == (f"the guide\nRead the guide first, {i}.\nOr the guide" if i % 2 else f"Read the guide first, {i}.") for i in range(20))
+
+
 def test_driver_pages_equal_the_article_read_by_pattern(spark):
     df = spark.read.parquet(SF)
     got = {r.page_id: r for r in H.extract(df).collect()}

@@ -8,7 +8,10 @@ deleted: the menus, banners and boxes that no markup names.  The share asked
 falls with the host's size (9 of 320 pages, 500 of a million), so the
 templates of sections, languages and layouts count too.  What the page itself marks as the article is
 held apart: sites republish paragraphs and whole pages, so inside an article
-a recurring subtree goes only if most of its text is links.
+a recurring subtree goes only if it is a block of blocks (a list, a box) of
+mostly links, or a block whose whole text is links, but no heading.  Inline
+elements never go out of running text: not inside an article, and elsewhere
+not out of a block that has words besides links.
 
 Structure.  Of the rest, elements that can hold no article text go by tag
 (scripts, forms, navigation, page headers, footers, asides, ...), by role,
@@ -84,16 +87,18 @@ NAMES = frozenset(
     "sidebar signup skiplink social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 KEPT_WHOLE = frozenset("html body main article".split())
 HEADINGS = frozenset("header masthead banner".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NOT_PREFIX = frozenset("with has no without".split())
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "hash", "letters", "link_letters", "in_article")
+    __slots__ = ("tag", "attributes", "children", "parent", "hash", "letters", "link_letters", "has_blocks", "in_article")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list = []
         self.hash = self.letters = self.link_letters = 0
+        self.has_blocks = False
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
 
     def close(self) -> None:
@@ -107,6 +112,7 @@ class Node:
                 parts.append(f"\x00{c.hash}")
                 self.letters += c.letters
                 self.link_letters += c.link_letters
+                self.has_blocks = self.has_blocks or c.has_blocks or c.tag in BLOCK
         if self.tag == "a":
             self.link_letters = self.letters
         self.hash = xxhash.xxh64_intdigest("\x01".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -187,12 +193,20 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def subtree_hashes(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be templates: with text, outside the article or mostly links."""
+    """Hashes of the subtrees that may be templates: with text, outside the article or of links."""
     return {n.hash for n in _walk(root) if n.letters and n.tag not in KEPT_WHOLE and n.tag != "#root" and _removable(n)}
 
 
 def _removable(node: Node) -> bool:
-    return not node.in_article or node.link_letters > LINK_SHARE * node.letters
+    if node.in_article:
+        return (node.tag in BLOCK and node.tag not in TITLES
+                and (node.link_letters > LINK_SHARE * node.letters if node.has_blocks else node.link_letters == node.letters))
+    if node.tag in BLOCK or node.has_blocks:
+        return True
+    block = node.parent
+    while block.parent is not None and block.tag not in BLOCK:
+        block = block.parent
+    return block.has_blocks or block.link_letters == block.letters or block.letters == node.letters
 
 
 def _boilerplate(node: Node) -> bool:
