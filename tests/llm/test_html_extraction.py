@@ -84,6 +84,16 @@ def test_links_in_running_text_stay_though_the_menu_holds_them(spark):
     assert all(got[i] == (f"the guide\nRead the guide first, {i}.\nOr the guide" if i % 2 else f"Read the guide first, {i}.") for i in range(20))
 
 
+def test_copies_without_article_markup_keep_their_text(spark):
+    words = "<h1>Title</h1><div><p>The same republished text.</p><p>Its second paragraph.</p></div>"
+    pages = [f"<body><nav>Menu {i}</nav>{words}</body>" for i in range(10)]
+    pages += [f"<body><div ROLE=main>{words}<p>{i}</p></div></body>" for i in range(10)]
+    for host, own in (("a", pages[:10]), ("b", pages[10:])):
+        df = spark.createDataFrame([(i, f"https://{host}.example/{i}", p) for i, p in enumerate(own)], "page_id long, url string, html string")
+        want = "Title\nThe same republished text.\nIts second paragraph."
+        assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: want + (f"\n{i}" if host == "b" else "") for i in range(10)}
+
+
 def test_driver_pages_equal_the_article_read_by_pattern(spark):
     df = spark.read.parquet(SF)
     got = {r.page_id: r for r in H.extract(df).collect()}

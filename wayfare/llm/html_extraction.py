@@ -6,7 +6,10 @@ subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` times
 the root of its host's number of pages is a template of that host and is
 deleted: the menus, banners and boxes that no markup names.  The share asked
 falls with the host's size (9 of 320 pages, 500 of a million), so the
-templates of sections, languages and layouts count too.  What the page itself marks as the article is
+templates of sections, languages and layouts count too.  Pages of one host
+with the same content (the text that structure alone leaves) count as one, so
+copies of a page cannot make its text a template; links inside an article
+are counted on every page.  What the page itself marks as the article is
 held apart: sites republish paragraphs and whole pages, so inside an article
 a recurring subtree goes only if it is a block of blocks (a list, a box) of
 mostly links, or a block whose whole text is links, but no heading.  Inline
@@ -55,6 +58,7 @@ MIN_SHARE = 0.5
 LINK_SHARE = 0.5
 SALTS = 16
 
+MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?\s*main\b", re.I)
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -92,14 +96,15 @@ NOT_PREFIX = frozenset("with has no without".split())
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "hash", "letters", "link_letters", "has_blocks", "in_article")
+    __slots__ = ("tag", "attributes", "children", "parent", "hash", "letters", "link_letters", "has_blocks", "is_main", "in_article")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list = []
         self.hash = self.letters = self.link_letters = 0
         self.has_blocks = False
-        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.is_main = tag in ("article", "main") or bool(attributes) and MAIN.search(attributes) is not None
+        self.in_article = parent is not None and (parent.in_article or parent.is_main)
 
     def close(self) -> None:
         """Hash and text length from the closed children."""
@@ -194,7 +199,20 @@ def _walk(root: Node) -> Iterator[Node]:
 
 def subtree_hashes(root: Node) -> set[int]:
     """Hashes of the subtrees that may be templates: with text, outside the article or of links."""
-    return {n.hash for n in _walk(root) if n.letters and n.tag not in KEPT_WHOLE and n.tag != "#root" and _removable(n)}
+    return {n.hash for n in _walk(root) if _may_go(n)}
+
+
+def counted_hashes(root: Node) -> Iterator[tuple[int, int | None]]:
+    """(hash, content) of ``subtree_hashes``: the page's content, or None for links inside an article."""
+    text = main_text(root)
+    content = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    inside = {n.hash for n in _walk(root) if n.in_article and _may_go(n)}
+    for h in subtree_hashes(root):
+        yield h, None if h in inside else content
+
+
+def _may_go(node: Node) -> bool:
+    return bool(node.letters) and node.tag not in KEPT_WHOLE and node.tag != "#root" and not node.is_main and _removable(node)
 
 
 def _removable(node: Node) -> bool:
@@ -246,10 +264,10 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
     stack = [(root, None)]
     while stack:
         node, inside = stack.pop()
-        if _boilerplate(node) or (node.hash in templates and node.tag not in KEPT_WHOLE and node.tag != "#root" and _removable(node)):
+        if _boilerplate(node) or (node.hash in templates and _may_go(node)):
             dropped.add(id(node))
             continue
-        kind = "article" if node.tag == "article" else "main" if node.tag == "main" or 'role="main"' in node.attributes else None
+        kind = "article" if node.tag == "article" else "main" if node.is_main else None
         if kind and inside != kind and not (inside == "article"):
             chosen[kind].append(node)
             inside = kind
@@ -290,14 +308,16 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(host, h) for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                     for h in (0, *(subtree_hashes(parse(source)) if source else ()))]      # 0 counts the page itself
+            found = [(host, *h) for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                     for h in ((0, None), *(counted_hashes(parse(source)) if source else ()))]    # 0 counts the page itself
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64()))],
-                                                 names=["host", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))],
+                                                 names=["host", "hash", "content"])
 
     counts = (pages.select(url_parts(f"`{url_col}`")[0], F.col(f"`{html_col}`").alias("html"))
-              .mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")))
+              .mapInArrow(hashes, "host string, hash long, content long")
+              .groupBy("host", "hash", "content").agg(F.count("*").alias("pages"))
+              .groupBy("host", "hash").agg(F.sum(F.when(F.col("content").isNull(), F.col("pages")).otherwise(1)).alias("n")))
     by_host = counts.groupBy("host").agg(F.max(F.when(F.col("hash") == 0, F.col("n"))).alias("pages"))
     return (counts.filter((F.col("hash") != 0) & (F.col("n") >= min_pages)).join(by_host, "host")
             .filter(F.col("n") >= min_share * F.sqrt("pages"))
