@@ -67,6 +67,20 @@ def test_pairs_equal_the_exhaustive_search(spark):
     assert parts == want
 
 
+def test_a_large_vocabulary_is_split_until_it_fits(spark):
+    rng = random.Random(11)
+    items = [" ".join(f"w{rng.randrange(10 ** 6):x}" for _ in range(n)) for n in (30, 60, 120, 250) for _ in range(90)]
+    bench, held = _bench(spark, items), [0, 95, 200, 300, 359]
+    docs = docs_df(spark, [f"some words before {items[i]} and after" for i in held] + ["nothing of the kind in here"])
+    assert len(list(D.build_indexes(bench, limit=4 << 20))) > len(list(D.build_indexes(bench))) > 1
+    want = [(d, i) for d, i in enumerate(held)]
+    assert sorted((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()) == want
+    assert [r.doc_id for r in D.clean_documents(docs, bench).collect()] == [len(held)]
+    texts, small = _corpus(3)
+    one = rows(D.contaminated(docs_df(spark, texts), _bench(spark, small), 0.2, 0.3))
+    assert one and rows(D.contaminated(docs_df(spark, texts), _bench(spark, small), 0.2, 0.3, limit=100_000)) == one
+
+
 def test_retrieval_scores_and_blocks_equal_full_scoring():
     texts, items = _corpus(9, n_items=200)
     freq = Counter(x for t in items for x in set(D.words_of(t)))

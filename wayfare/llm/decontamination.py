@@ -24,9 +24,10 @@ Verification.  An item's last sentence is its answer (what follows the last
 ``OVERLAP`` of the five-word shingles (all its words, if fewer) must stand in
 the passage.
 
-The index is collected in parts of at most ``part_chars`` characters of items
-and every part's broadcast copy is measured; several parts take several
-passes over the documents.
+The index is collected in parts of about ``part_chars`` characters of items.
+Every part's index is measured and halved by item length until its broadcast
+copy fits ``limit`` bytes; several parts take several passes over the
+documents, and the answers do not depend on the parts.
 
 Defined results: a null or empty text, and an empty benchmark, give no pairs;
 items under ``MIN_ITEM_WORDS`` words (null and empty ones with them) are too
@@ -38,6 +39,7 @@ whole; further columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -51,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wayfare.llm.common import bounded_broadcast, by_row
+from wayfare.llm.common import BROADCAST_BYTES, bounded_broadcast, by_row
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -97,6 +99,11 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(own & shingles(passage, min(SHINGLE, len(part)))) / len(own) if own else 1.0
 
 
+def length_class(n_words: int) -> int:
+    """Items of up to 2 ** length_class words share a class."""
+    return max(5, (n_words - 1).bit_length())
+
+
 class LengthClass:
     """Index of the items of one length class over word numbers 0..n_words-1 (n_words: none)."""
 
@@ -203,7 +210,7 @@ class Index:
         by_class: dict[int, list] = {}
         for key, text in rows:
             words = words_of(text)
-            by_class.setdefault(max(5, (len(words) - 1).bit_length()), []).append((key, text, words))
+            by_class.setdefault(length_class(len(words)), []).append((key, text, words))
         self.classes = []
         for size, members in sorted(by_class.items()):
             impacts = []
@@ -240,31 +247,44 @@ class Index:
 
 
 def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                  part_chars: int = PART_CHARS) -> list[Index]:
-    """The benchmark in parts of about ``part_chars`` characters; frequencies are those of all items."""
+                  part_chars: int = PART_CHARS, limit: int = BROADCAST_BYTES) -> Iterator[Index]:
+    """The benchmark in parts of at most ``limit`` bytes each; frequencies are those of all items."""
     id_type = benchmark.select(f"`{id_col}`").schema[0].dataType.simpleString()
     items = by_row(benchmark, {"id": id_col, "text": text_col}, f"id {id_type}, text string, words array<string>, n long",
                    lambda _, key, text: (key, text, sorted(set(w := words_of(text))), len(w))).filter(F.col("n") >= MIN_ITEM_WORDS)
     whole = items.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum(F.length("text")).alias("chars")).first()
     if not whole["items"]:
-        return []
+        return
     parts = -(-whole["chars"] // part_chars)
     items = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
     found = items.select("part", F.explode("words").alias("word"))
     frequency = found.groupBy("word").agg(F.count("*").alias("items"))
-    out = []
     for part in range(parts):
         rows = [(r["id"], r["text"]) for r in items.filter(F.col("part") == part).select("id", "text").collect()]
         own = found.filter(F.col("part") == part).select("word").distinct()
         if rows:
-            out.append(Index(sorted(rows, key=str), {r["word"]: r["items"] for r in frequency.join(own, "word").collect()},
-                             whole["items"], whole["mean"]))
-    return out
+            yield from _fitting(rows, {r["word"]: r["items"] for r in frequency.join(own, "word").collect()},
+                                whole["items"], whole["mean"], limit)
+
+
+def _fitting(rows: list[tuple], frequency: dict[str, int], n_items: int, mean_words: float, limit: int) -> Iterator[Index]:
+    """Indexes of at most ``limit`` bytes; the bound tables are reckoned before they are built."""
+    classes = Counter(length_class(len(words_of(text))) for _, text in rows)
+    tables = 8 * (len(frequency) + 1) * sum(min(n, BOUND_COLUMNS) for n in classes.values())
+    if len(rows) == 1 or tables <= 2 * limit:
+        index = Index(sorted(rows, key=str), frequency, n_items, mean_words)
+        if len(rows) == 1 or len(pickle.dumps(index, protocol=pickle.HIGHEST_PROTOCOL)) <= limit:
+            yield index
+            return
+        del index
+    rows = sorted(rows, key=lambda r: (len(words_of(r[1])), str(r)))
+    for half in (rows[:len(rows) // 2], rows[len(rows) // 2:]):
+        yield from _fitting(half, {w: frequency[w] for _, text in half for w in words_of(text)}, n_items, mean_words, limit)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_overlap: float = OVERLAP,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                 item_text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+                 item_text_col: str = "text", part_chars: int = PART_CHARS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(document id, item id, score, question_overlap, answer_overlap), one row for each verified pair."""
     spark = docs.sparkSession
     item_type = benchmark.select(f"`{item_col}`").schema[0].dataType
@@ -274,8 +294,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     types = [to_arrow_type(id_type), to_arrow_type(item_type)] + [pa.float64()] * 3
     names = [id_col, item_col, "score", "question_overlap", "answer_overlap"]
     passes = []
-    for index in build_indexes(benchmark, item_col, item_text_col, part_chars):
-        shared = bounded_broadcast(spark, index, 8 * max(part_chars, PART_CHARS))
+    for index in build_indexes(benchmark, item_col, item_text_col, part_chars, limit):
+        shared = bounded_broadcast(spark, index, max(limit, BROADCAST_BYTES))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -289,10 +309,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                    item_text_col: str = "text") -> DataFrame:
+                    item_text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, without a verified item (narrow, no join)."""
-    for index in build_indexes(benchmark, item_col, item_text_col):
-        shared = bounded_broadcast(docs.sparkSession, index, 8 * PART_CHARS)
+    for index in build_indexes(benchmark, item_col, item_text_col, limit=limit):
+        shared = bounded_broadcast(docs.sparkSession, index, max(limit, BROADCAST_BYTES))
         docs = docs.filter(F.pandas_udf(_clean(shared), "boolean")(F.col(f"`{text_col}`")))
     return docs
 
