@@ -69,6 +69,41 @@ def test_equal_values_stay_linked_across_layouts():
     assert pii.pseudonymise(card, b"another key")[0] != a
 
 
+def _iban_of(country, account):
+    return country + str(98 - pii._mod97(account + country + "00")).zfill(2) + account
+
+
+def test_upper_cased_and_french_values_and_ibans_at_their_length():
+    rng = random.Random(12)
+    for _ in range(200):
+        spanish = _iban_of("ES", f"{rng.randrange(10 ** 20):020d}")
+        polish = _iban_of("PL", f"{rng.randrange(10 ** 24):024d}")
+        values = [f'TOKEN = "{rng.getrandbits(160):040X}"', f"Password: '{rng.getrandbits(80):020X}'", f'API_KEY="{rng.randrange(10 ** 16):016d}Z"',
+                  f"+33 {rng.randrange(1, 10)} " + " ".join(f"{rng.randrange(100):02d}" for _ in range(4)),
+                  f"+33 (0){rng.randrange(1, 10)} " + " ".join(f"{rng.randrange(100):02d}" for _ in range(4)),
+                  f"+61 2 {rng.randrange(10 ** 4):04d} {rng.randrange(10 ** 4):04d}", " ".join(re.findall(".{1,4}", spanish)), polish]
+        for v in values:
+            text = f"Appelez {v}, puis {v}."
+            new, n = pii.pseudonymise(text)
+            assert n == 2 and v not in new and pii.restore(new) == text, v
+        for v in (spanish, " ".join(re.findall(".{1,4}", spanish)), polish, " ".join(re.findall(".{1,4}", polish))):
+            for after in (" 12 euros", " PAID", " 2021 AB12", " 2021-03-04"):
+                new, n = pii.pseudonymise(v + after)
+                assert n == 1 + ("-" in after) and new[:len(v)] == pii.pseudonymise(v)[0] != v and pii.restore(new) == v + after
+                assert "-" in after or new.endswith(after)
+    new, n = pii.pseudonymise("+33 1 23 45 67 89 2021-03-04")
+    assert n == 2 and pii.restore(new) == "+33 1 23 45 67 89 2021-03-04"
+
+
+def test_upper_cased_tokens_of_the_documents_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text LIKE '%TOKEN = \"%'")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in pii.pseudonymised(docs).collect()}
+    found = [(i, v) for i, t in before.items() for v in re.findall(r'TOKEN = "(\w+)"', t)]
+    assert found and not any(v in after[i] for i, v in found)
+    assert all(pii.restore(after[i]) == t for i, t in before.items())
+
+
 def test_invalid_values_stay():
     for v in ("9807915762804490", "2021-02-30", "31.04.2020", "1899-12-31", "300.1.1.1", "1.2.3", "1.2.3.4.5", "000-12-3456", "666-12-3456",
               "DE89370400440532013001", "1111111111111111", "12345", "v2.0.", "0000000000000000", "x97.51.17.173", "a@b"):

@@ -13,8 +13,9 @@ slashes), different ones different pseudonyms, and the holder of the key can
 invert it (``restore``).  Mail names and assigned credentials, where people's data
 stand in letters, are permuted within the character class of each place.
 
-Kinds: email (name part), credential (``token = "..."``), iban, ip, date
-(years 1900 to 2099), card, ssn, phone (all digits but the country code).
+Kinds: email (name part), credential (``token = "..."``, names in any case),
+iban (at its country's length), ip, date (years 1900 to 2099), card, ssn,
+phone (all digits but the country code; groups of one digit and up).
 
 Defined results: a null text stays null, a text without a valid value is
 unchanged; texts are read whole; every row is treated alike; an empty table
@@ -46,7 +47,7 @@ DAYS = dt.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<credential>\b(?:token|secret|password|passwd|api_?key|access_?key)\b[\"']?\s*[=:]\s*[\"'][A-Za-z0-9+/_-]{16,}=*[\"'])"
+    r"|(?P<credential>\b(?i:token|secret|password|passwd|api_?key|access_?key)\b[\"']?\s*[=:]\s*[\"'][A-Za-z0-9+/_-]{16,}=*[\"'])"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d)"
@@ -54,8 +55,13 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}(?P<gap>[ -])\d{6}(?P=gap)\d{5}|\d{13,19})(?![\w-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<!\w)\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
-    r"|(?<!\w)\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"
+    r"|(?<!\w)\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{1,4}){1,5}(?!\w|[./-]\d)"
     r"|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}(?P<dash>[.-])\d{3}(?P=dash)\d{4}(?![\w-]|\.\d))")
+#: Length of an account number by country (IBAN registry).
+IBAN_LENGTHS = {code: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for code in codes.split(",")}
 ANY = re.compile(r"[0-9@=:]")
 
 Permute = Callable[[int, int, str], int]
@@ -136,23 +142,55 @@ def _email(m: str, permute: Permute) -> str:
     return f"{_by_class(name, f'email@{domain.lower()}', permute)}@{domain}"
 
 
+def _signs(secret: str) -> tuple[str, ...]:
+    """The classes a secret is permuted in: hexadecimal of either case, or letters and digits."""
+    for signs in ("0123456789abcdef", "0123456789ABCDEF"):
+        if set(secret) <= set(signs):
+            return (signs,)
+    return _CLASSES
+
+
 def _credential(m: str, permute: Permute) -> str:
     head, secret, tail = re.fullmatch(r"(.*[=:]\s*[\"'])([A-Za-z0-9+/_-]+)(=*[\"'])", m, re.S).groups()
-    hexadecimal = ("0123456789abcdef",) if re.fullmatch(r"[0-9a-f]+", secret) else _CLASSES
-    return head + _by_class(secret, "credential", permute, hexadecimal) + tail
+    signs = _signs(secret)
+    while True:                                                # walked until it is read in the same classes
+        secret = _by_class(secret, "credential", permute, signs)
+        if _signs(secret) == signs:
+            return head + secret + tail
 
 
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _valid_iban(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and _mod97(plain[4:] + plain[:4]) == 1
+
+
+def _at_length(m: str) -> str | None:
+    """The start of ``m`` of its country's length, if that ends a word and is valid."""
+    left, end = IBAN_LENGTHS.get(m[:2], 0), 0
+    while left and end < len(m):
+        left -= m[end] != " "
+        end += 1
+    if left or not end or m[end:end + 1] not in ("", " "):
+        return None
+    return m[:end] if _valid_iban(m[:end].replace(" ", "")) else None
+
+
 def _iban(m: str, permute: Permute) -> str | None:
-    plain = m.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+    """At its country's length; else the whole, walked until no shorter start is valid."""
+    own = _at_length(m)
+    value = own or m
+    if not own and not _valid_iban(m.replace(" ", "")):
         return None
-    account = _by_class(plain[4:], f"iban{plain[:2]}", permute, (_CLASSES[0], _CLASSES[2]))
-    own = iter(plain[:2] + str(98 - _mod97(account + plain[:2] + "00")).zfill(2) + account)
-    return "".join(c if c == " " else next(own) for c in m)
+    while True:
+        plain = value.replace(" ", "")
+        account = _by_class(plain[4:], f"iban{plain[:2]}", permute, (_CLASSES[0], _CLASSES[2]))
+        new = iter(plain[:2] + str(98 - _mod97(account + plain[:2] + "00")).zfill(2) + account)
+        value = "".join(c if c == " " else next(new) for c in value)
+        if own or _at_length(value) is None:
+            return value
 
 
 def _ip(m: str, permute: Permute) -> str | None:
@@ -226,8 +264,11 @@ def _ssn(m: str, permute: Permute) -> str | None:
 
 
 def _phone(m: str, permute: Permute) -> str | None:
+    """Up to 13 digits after the country code; trailing groups beyond are not its own."""
     code = re.match(r"\+(1|7|\d{1,3}(?=[ .(-])|\d{2})", m)
     keep = code.end() if code else 0
+    while len(_digits(m[keep:])) > 13 and (cut := re.search(r"[ .()-]+\d+$", m[keep:])):
+        m = m[:keep + cut.start()]
     national = _digits(m[keep:])
     if not 6 <= len(national) <= 13:
         return None
@@ -243,15 +284,17 @@ KINDS: dict[str, Callable[[str, Permute], str | None]] = {
 def _rewritten(text: str | None, permute: Permute) -> tuple[str | None, int]:
     if not text or not ANY.search(text):
         return text, 0
-    done = 0
-
-    def swap(m: re.Match) -> str:
-        nonlocal done
+    done, at, out = 0, 0, []
+    while m := PATTERN.search(text, at):
         new = KINDS[m.lastgroup](m.group(), permute)
-        done += new is not None
-        return m.group() if new is None else new
-
-    return PATTERN.sub(swap, text), done
+        end = m.end()
+        if new is not None:
+            done += 1
+            if m.lastgroup in ("iban", "phone"):
+                end = m.start() + len(new)                     # what follows the value is read on its own
+        out += [text[at:m.start()], m.group() if new is None else new]
+        at = end
+    return "".join(out) + text[at:], done
 
 
 def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, int]:
