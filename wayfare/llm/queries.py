@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from wayfare.llm import (decontamination, html_extraction, language_id, mixing, pii, quality_bands, simhash,
-                         suffix_repeats, token_counts, url_filter)
+import public_tokenizers
+
+from wayfare.llm import (decontamination, html_extraction, language_id, mixing, pii, piece_encoding, quality_bands,
+                         simhash, suffix_repeats, token_counts, url_filter)
 from wayfare.llm.common import table
 
 
@@ -47,6 +49,11 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_piece_encoding(spark, sf_dir):
+    return piece_encoding.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_quality_bands, op3_decontamination, op4_suffix_dedup, op5_pii_pseudonyms,
-    op6_html_extraction, op7_poisson_mixing, op8_language_id, op9_token_counts, op10_url_filter)}
+    op6_html_extraction, op7_poisson_mixing, op8_language_id, op9_token_counts, op10_url_filter,
+    op12_piece_encoding)}
