@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wayfare.llm import (decontamination, html_extraction, language_id, mixing, pii, piece_encoding, quality_bands,
-                         simhash, suffix_repeats, token_counts, url_filter)
+from wayfare.llm import (decontamination, html_extraction, language_id, mixing, periodic_runs, pii, piece_encoding,
+                         quality_bands, simhash, spelling_variants, suffix_repeats, token_counts, url_filter)
 from wayfare.llm.common import table
 
 
@@ -49,11 +49,19 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), rewrite=periodic_runs.digest_rewrite)
+
+
 def op12_piece_encoding(spark, sf_dir):
     return piece_encoding.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), rewrite=spelling_variants.digest_rewrite)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_quality_bands, op3_decontamination, op4_suffix_dedup, op5_pii_pseudonyms,
     op6_html_extraction, op7_poisson_mixing, op8_language_id, op9_token_counts, op10_url_filter,
-    op12_piece_encoding)}
+    op11_periodic_runs, op12_piece_encoding, op13_spelling_variants)}
