@@ -334,8 +334,9 @@ def near_words(words: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> Data
     """(word, n_near, near_n, near): how many words are one edit away, and the most frequent of them; words without any are left out."""
     spark = words.sparkSession
     total = words.count()
-    # the sample is bounded in rows and in letters; equal in every run, whatever the partitions
-    taken = [r.word for r in words.filter(F.length("word") <= SAMPLE_LENGTH).orderBy(F.xxhash64("word"), "word").limit(sample).select("word").collect()]
+    # the sample is bounded in rows and in letters, and drawn where the words are: a share by hash, then the limit
+    share = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 0.9 * sample / max(total, 1)))
+    taken = [r.word for r in words.filter((F.length("word") <= SAMPLE_LENGTH) & share).select("word").limit(sample).collect()]
     shared = bounded_broadcast(spark, fit_cells(taken, cell * len(taken) / max(total, 1)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
