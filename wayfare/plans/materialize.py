@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayfare.operators import propensity as PR
 from wayfare.plans import params as P
 from wayfare.sources import driver as D
-from wayfare.sources.tables import save_model, warehouse_dir, write_table
+from wayfare.sources.tables import current, save_model, warehouse_dir, write_table
 
 
 def run(spark: SparkSession, sf_dir: str, out: str | None = None) -> dict[str, str]:
@@ -28,7 +28,7 @@ def run(spark: SparkSession, sf_dir: str, out: str | None = None) -> dict[str, s
     scoring = write_table(features(P.SCORE_ANCHORS), paths["scoring"], ["anchor_date"])
     split = write_table(PR.split_by_user(train, P.TEST_SHARE, P.SPLIT_SEED), paths["split"])
     model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED)
-    save_model(model, paths["model"])
+    save_model(model, paths["model"], spark)
     test_scored = PR.score(model, split.filter("dataset_split"))
     preds = write_table(PR.score(model, scoring), paths["predictions"])     # scored once, read back below
     write_table(PR.lift_by_band(test_scored), paths["lift"])
@@ -37,4 +37,4 @@ def run(spark: SparkSession, sf_dir: str, out: str | None = None) -> dict[str, s
                 paths["metrics"])
     write_table(PR.segment_crosstab(preds), paths["segments"])
     write_table(PR.feature_importance(model, spark), paths["importance"])
-    return paths
+    return {k: current(spark, p) for k, p in paths.items()}      # the committed snapshots
