@@ -7,29 +7,32 @@ that looks ``horizon`` days ahead ([anchor, anchor+14], both inclusive).
 
 Scale notes
 * Every event is read once: its flags are computed once and events are
-  reduced to (user, day, session, itinerary, destination, market) with
-  counts before any anchor is involved (map-side combined).
-* Only these reduced rows are copied to the anchors whose window holds their
-  day; the anchor indexes are computed, not joined (at most
-  ceil(lookback / step) each).
-* Two more aggregations fold them: by (anchor, user, grain, key), where a
-  grain is a session, an itinerary, a destination or a market, and by
-  (anchor, user).  The first has fixed-width buffers only (hash aggregation);
-  strings are picked in the second, from one row for each key.
+  reduced to (user, day, session, itinerary, destination, market) and then to
+  (user, grain, key, day), where a grain is the user's day, a session, an
+  itinerary, a destination or a market (map-side combined, fixed-width buffers).
+* No row is copied to the anchors whose window holds its day.  A day's counts
+  enter the window at one anchor and leave it at another; a session enters
+  with its first day and leaves after its last, a gap between its days shorter
+  than the window being bridged.  These *changes* are summed by (user, anchor
+  number), and a running sum over a user's changes gives every window's value:
+  what is shuffled depends on the events, not on the number of anchors.
+* What has no difference (most viewed key, latest market, last day) is picked
+  from the user's daily series, one short list of days for each key, next to
+  the result row.  A list holds the days of the period, a user the keys of the
+  catalogue; neither grows with a user's events.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import vocab as V
 from wayfare.functions.text import regex_extract_or_null
 
 U = "user_pseudo_id"
-KEY = ["anchor_date", U]
 
 # The 23 model features in model order (market excluded, as trained).
 FEATURES = [
@@ -48,22 +51,22 @@ def _to_date(s: str) -> _dt.date:
     return _dt.date.fromisoformat(s)
 
 
-def _anchor_index_range(day: Column, a0: _dt.date, n: int, step: int, lo_off: int, hi_off: int):
-    """Indexes i (anchor = a0 + i*step, 0 <= i < n) with lo_off <= day - anchor <= hi_off,
-    i.e. anchor in [day - hi_off, day - lo_off]."""
-    base = F.datediff(day, F.lit(a0))                      # day - a0 in days
-    lo = F.greatest(F.ceil((base - F.lit(hi_off)) / F.lit(step)), F.lit(0)).cast("int")
-    hi = F.least(F.floor((base - F.lit(lo_off)) / F.lit(step)), F.lit(n - 1)).cast("int")
-    return lo, hi
+class _Anchors:
+    """Anchors ``start + i * step`` (0 <= i < n) as numbers i: which of them lie how far after a day."""
 
+    def __init__(self, start: _dt.date, end: _dt.date, step: int):
+        self.start, self.step, self.n = start, step, (end - start).days // step + 1
 
-def _explode_anchors(df: DataFrame, a0: _dt.date, a1: _dt.date, step: int, lo_off: int, hi_off: int) -> DataFrame:
-    n = (a1 - a0).days // step + 1
-    lo, hi = _anchor_index_range(F.col("_day"), a0, n, step, lo_off, hi_off)
-    return (df.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col("_lo") <= F.col("_hi"))
-            .withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
-            .withColumn("anchor_date", F.date_add(F.lit(a0), F.col("_i") * step))
-            .drop("_lo", "_hi", "_i"))
+    def first(self, day: Column, least: int) -> Column:
+        """First anchor at least ``least`` days after ``day`` (null for a null day)."""
+        return F.when(day.isNotNull(), F.greatest(F.ceil((F.datediff(day, F.lit(self.start)) + least) / self.step), F.lit(0)).cast("int"))
+
+    def last(self, day: Column, most: int) -> Column:
+        """Last anchor at most ``most`` days after ``day``."""
+        return F.when(day.isNotNull(), F.least(F.floor((F.datediff(day, F.lit(self.start)) + most) / self.step), F.lit(self.n - 1)).cast("int"))
+
+    def date(self, i: Column) -> Column:
+        return F.date_add(F.lit(self.start), i * self.step)
 
 
 def feature_period(anchor_start: str, anchor_end: str, lookback: int = 30, horizon: int = 14) -> tuple[str, str]:
@@ -81,12 +84,25 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
     anchor's label window (``require_label_coverage``)."""
     if check_labels:
         require_label_coverage(events, anchor_end, horizon)
-    a0, a1 = _to_date(anchor_start), _to_date(anchor_end)
-    target_events = target_events or [V.LEAD_WBOF_01]
+    anchors = _Anchors(_to_date(anchor_start), _to_date(anchor_end), step)
     first_day, last_day = feature_period(anchor_start, anchor_end, lookback, horizon)
-    ev = (events.filter(F.col("event_date").between(first_day, last_day) & F.col(U).isNotNull())
-          .withColumn("_day", F.to_date("event_date", "yyyyMMdd")))
+    ev = events.filter(F.col("event_date").between(first_day, last_day) & F.col(U).isNotNull())
+    series = _daily_series(ev, target_events or [V.LEAD_WBOF_01], vocab)
+    return _window_rows(_changes(series, anchors, lookback, horizon), anchors, lookback)
+
+
+# Summed over the window (name in the daily series -> feature) ...
+_SUMMED = {"_pv": "page_views_30d", "_itin": "itinerary_page_visits_30d", "_dest": "destination_page_visits_30d",
+           "_quote": "quote_page_visits_30d", "_fyc": "filtri_fyc_30d", "_rab": "lead_rab_30d", "_raq": "lead_raq_30d",
+           "_sfo": "lead_sfo_30d", "_webq": "lead_webq_30d", "_guests": "guests_days"}
+# ... and distinct sessions: feature -> (flag that a session's day must have, days of the window; None: the lookback).
+_SESSIONS = {"visits_30d": (None, None), "visits_14d": (None, 14), "visits_7d": (None, 7), "visits_vs_count": ("_vs", None),
+             "visits_no_vs_count": ("_novs", None)}
+_METRICS = [*_SUMMED.values(), *_SESSIONS, "target_days"]
 
+
+def _daily_series(ev: DataFrame, target_events: list[str], vocab: V.Vocab) -> DataFrame:
+    """(user, grain, key, _day) with counts and flags: one row for each day of a user, session, itinerary, destination, market."""
     url, name = F.col("page_location"), F.col("event_name")
     is_vs = V.is_vs_coalesced(F.col("raw_url"))
     is_quote = url.like(f"%{vocab.quote_host}%")
@@ -97,87 +113,104 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
               "_quote": F.count_if(is_quote), "_fyc": F.count_if(name == V.FYC_FILTER), "_rab": F.count_if(name == V.LEAD_RAB),
               "_raq": F.count_if(name == V.LEAD_RAQ), "_sfo": F.count_if(name == V.LEAD_SFO), "_webq": F.count_if(name == V.LEAD_WEBQ)}
     greatest = {"_vs": is_vs.cast("int"), "_novs": (~is_vs).cast("int"),
-                "_guests": (is_quote & url.like(V.GUESTS_INFO_PATTERN)).cast("int"), "_order": order.cast("decimal(38,0)")}
-    daily = (ev.groupBy(U, "_day", F.col("ga_session_id").cast("string").alias("_s"),
+                "_guests": (is_quote & url.like(V.GUESTS_INFO_PATTERN)).cast("int"),
+                "_target": name.isin(target_events).cast("int"), "_order": order.cast("decimal(38,0)")}
+    daily = (ev.groupBy(U, F.to_date("event_date", "yyyyMMdd").alias("_day"), F.col("ga_session_id").cast("string").alias("_s"),
                         regex_extract_or_null(url, V.CRUISE_ID_REGEX).alias("_itinerary"),
                         regex_extract_or_null(url, V.DESTINATION_ID_REGEX).alias("_destination"), F.col("market").alias("_m"))
              .agg(*[c.alias(k) for k, c in counts.items()], *[F.max(c).alias(k) for k, c in greatest.items()]))
-
-    # observation window: day in [anchor - lookback, anchor - 1]; a row feeds its
-    # session grain and, where present, its itinerary, destination and market grains
-    grains = F.array(*[F.struct(F.lit(grain).alias("grain"), F.col(key).alias("key"))
-                       for grain, key in (("sess", "_s"), ("itin", "_itinerary"), ("dest", "_destination"), ("market", "_m"))])
-    x = (_explode_anchors(daily, a0, a1, step, -lookback, -1)
-         .withColumn("_g", F.explode(F.filter(grains, lambda g: (g["grain"] == "sess") | g["key"].isNotNull())))
+    # a row feeds its user's day and, where present, its session (a NULL session id is no visit), itinerary, destination, market
+    grains = F.array(*[F.struct(F.lit(grain).alias("grain"), key.cast("string").alias("key")) for grain, key in (
+        ("day", F.lit(None)), ("sess", F.col("_s")), ("itin", F.col("_itinerary")), ("dest", F.col("_destination")),
+        ("market", F.col("_m")))])
+    x = (daily.withColumn("_g", F.explode(F.filter(grains, lambda g: (g["grain"] == "day") | g["key"].isNotNull())))
          .select("*", F.col("_g.grain").alias("grain"), F.col("_g.key").alias("key")))
-    lvl1 = x.groupBy(*KEY, "grain", "key").agg(*[F.sum(k).alias(k) for k in counts], F.max("_day").alias("_last"),
-                                               *[F.max(k).alias(k) for k in greatest])
-
-    g = F.col("grain")
-    sess = g == "sess"
-    visit = sess & F.col("key").isNotNull()        # NULL session ids are not visits
-
-    def on_sess(c):
-        return F.sum(F.when(sess, F.col(c))).cast("long")
-
-    def _k(kind, c):
-        return F.when(g == kind, c)
-    mode_order = F.struct(-F.col("cnt"), F.col("key"))      # most events, then lowest id
-    feats = lvl1.groupBy(*KEY).agg(
-        F.count_if(visit & (F.col("_vs") == 1)).alias("visits_vs_count"),
-        F.count_if(visit & (F.col("_novs") == 1)).alias("visits_no_vs_count"),
-        F.count_if(visit & (F.col("_last") >= F.date_sub("anchor_date", 7))).alias("visits_7d"),
-        F.count_if(visit & (F.col("_last") >= F.date_sub("anchor_date", 14))).alias("visits_14d"),
-        F.count_if(visit).alias("visits_30d"),
-        on_sess("_pv").alias("page_views_30d"),
-        F.max(F.when(sess, F.col("_last"))).alias("last_visit_date"),
-        on_sess("_itin").alias("itinerary_page_visits_30d"),
-        on_sess("_dest").alias("destination_page_visits_30d"),
-        on_sess("_quote").alias("quote_page_visits_30d"),
-        on_sess("_fyc").alias("filtri_fyc_30d"),
-        on_sess("_rab").alias("lead_rab_30d"), on_sess("_raq").alias("lead_raq_30d"),
-        on_sess("_sfo").alias("lead_sfo_30d"), on_sess("_webq").alias("lead_webq_30d"),
-        F.max(F.when(sess, F.col("_guests"))).alias("has_seen_guests_info_30d"),
-        F.max_by(_k("market", F.col("key")), _k("market", F.col("_order"))).alias("market"),
-        F.max(_k("itin", F.col("cnt"))).alias("max_same_itinerary_30d"),
-        F.max(_k("dest", F.col("cnt"))).alias("max_same_destination_30d"),
-        F.min_by(_k("itin", F.col("key")), _k("itin", mode_order)).alias("most_viewed_itinerary"),
-        F.min_by(_k("dest", F.col("key")), _k("dest", mode_order)).alias("most_viewed_destination"),
-        F.when(F.count(_k("itin", F.lit(1))) > 1, 1).otherwise(0).alias("multi_itinerary_interest"),
-        F.when(F.count(_k("dest", F.lit(1))) > 1, 1).otherwise(0).alias("multi_destination_interest"))
-
-    # target: target event with day in [anchor, anchor + horizon]
-    tgt = _explode_anchors(ev.filter(name.isin(target_events)).select(U, "_day"), a0, a1, step, 0, horizon) \
-        .select(*KEY).distinct().withColumn("target_conversion", F.lit(1))
-
-    f = feats.join(tgt, KEY, "left")
-
-    def z(c):
-        return F.coalesce(F.col(c), F.lit(0))
-    v30 = z("visits_30d")
-    out = f.select(
-        "anchor_date", U, z("target_conversion").alias("target_conversion"),
-        z("visits_vs_count").alias("visits_vs_count"), z("visits_no_vs_count").alias("visits_no_vs_count"),
-        z("visits_7d").alias("visits_7d"), z("visits_14d").alias("visits_14d"), v30.alias("visits_30d"),
-        z("itinerary_page_visits_30d").alias("itinerary_page_visits_30d"),
-        z("destination_page_visits_30d").alias("destination_page_visits_30d"),
-        z("max_same_itinerary_30d").alias("max_same_itinerary_30d"),
-        z("max_same_destination_30d").alias("max_same_destination_30d"),
-        z("filtri_fyc_30d").alias("filtri_fyc_30d"), z("lead_rab_30d").alias("lead_rab_30d"),
-        z("lead_raq_30d").alias("lead_raq_30d"), z("lead_sfo_30d").alias("lead_sfo_30d"),
-        z("lead_webq_30d").alias("lead_webq_30d"), z("quote_page_visits_30d").alias("quote_page_visits_30d"),
-        "market", "most_viewed_itinerary", "most_viewed_destination",
-        F.datediff("anchor_date", "last_visit_date").alias("days_since_last_visit"),
-        F.try_divide(F.col("visits_7d"), F.col("visits_30d")).alias("visits_trend"),
-        F.try_divide(F.col("page_views_30d"), F.col("visits_30d")).alias("avg_pages_per_visit"),
-        F.when(z("lead_rab_30d") + z("lead_raq_30d") + z("lead_sfo_30d") + z("lead_webq_30d") > 0, 1)
-         .otherwise(0).alias("has_lead_any"),
-        F.try_divide(F.col("quote_page_visits_30d"), F.col("visits_30d")).alias("quote_to_visit_ratio"),
-        z("multi_itinerary_interest").alias("multi_itinerary_interest"),
-        z("multi_destination_interest").alias("multi_destination_interest"),
-        z("has_seen_guests_info_30d").alias("has_seen_guests_info_30d"),
-    )
-    return out.filter(F.col("visits_30d") > 0).select(*OUTPUT_COLUMNS)
+    return x.groupBy(U, "grain", "key", "_day").agg(*[F.sum(k).alias(k) for k in counts], *[F.max(k).alias(k) for k in greatest])
+
+
+def _changes(series: DataFrame, anchors: _Anchors, lookback: int, horizon: int) -> DataFrame:
+    """(user, i) with the change of every metric at anchor number i; number -1 carries the user's lists."""
+    w = Window.partitionBy(U, "grain", "key").orderBy("_day")
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    day, grain = F.col("_day"), F.col("grain")
+    keyed = grain.isin("itin", "dest")
+    s = series.withColumn("_days", F.collect_list(F.when(keyed, F.struct(day.alias("day"), F.col("cnt").alias("cnt")))).over(whole)) \
+        .withColumn("_last", F.lead("_day").over(w).isNull())
+    for flag in ("_vs", "_novs"):
+        s = s.withColumn(f"_before{flag}", F.max(F.when(F.col(flag) == 1, day)).over(before))
+    s = s.withColumn("_before", F.lag("_day").over(w))
+
+    nothing = F.lit(None).cast("struct<kind:string,key:string,seen:decimal(38,0),day:date,days:array<struct<day:date,cnt:bigint>>>")
+
+    def span(metric: str, first: Column, last: Column, by: Column) -> list[Column]:
+        """``by`` more from anchor ``first`` on, as many less after ``last``; nothing if that is no anchor."""
+        def change(at: Column, by: Column) -> Column:
+            return F.struct(F.when((first <= last) & (by != 0), at).alias("i"), F.lit(_METRICS.index(metric)).alias("metric"),
+                            by.cast("long").alias("by"), nothing.alias("item"))
+        return [change(first, by), change(last + 1, -by)]
+
+    of_day = [c for k, m in _SUMMED.items() for c in span(m, anchors.first(day, 1), anchors.last(day, lookback), F.col(k))]
+    of_day += span("target_days", anchors.first(day, -horizon), anchors.last(day, 0), F.col("_target"))
+    of_session = []
+    for metric, (flag, days) in _SESSIONS.items():
+        # from the day's first anchor on, or after the last one that an earlier day of the session reaches
+        length = min(days or lookback, lookback)
+        first = F.greatest(anchors.first(day, 1), anchors.last(F.col(f"_before{flag or ''}"), length) + 1)      # ignores nulls
+        of_session += span(metric, first, anchors.last(day, length), F.col(flag) if flag else F.lit(1))
+    item = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("metric"), F.lit(None).cast("long").alias("by"), F.struct(
+        grain.alias("kind"), F.col("key").alias("key"), F.col("_order").alias("seen"), day.alias("day"), F.col("_days").alias("days")).alias("item")))
+    none = F.filter(item, lambda e: F.lit(False))
+    entries = (F.when(grain == "sess", F.array(*of_session)).when(grain == "day", F.concat(item, F.array(*of_day)))
+               .when(keyed, F.when(F.col("_last"), item).otherwise(none)).otherwise(item))
+    rows = s.select(U, F.explode(F.filter(entries, lambda e: e["i"].isNotNull() & (e["i"] < anchors.n))).alias("e")) \
+        .select(U, "e.i", "e.metric", "e.by", "e.item")
+    return rows.groupBy(U, "i").agg(
+        *[F.sum(F.when(F.col("metric") == k, F.col("by"))).alias(m) for k, m in enumerate(_METRICS)], F.collect_list("item").alias("items"))
+
+
+def _window_rows(changes: DataFrame, anchors: _Anchors, lookback: int) -> DataFrame:
+    """One row an anchor and user with a visit in the window: running sums of the changes, picks from the lists."""
+    w = Window.partitionBy(U).orderBy("i")
+    states = (changes.select(U, "i", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(m) for m in _METRICS],
+                             F.first("items").over(w).alias("items"), F.lead("i").over(w).alias("_next"))
+              .filter((F.col("i") >= 0) & (F.col("visits_30d") > 0))
+              .withColumn("_i", F.explode(F.sequence("i", F.coalesce("_next", F.lit(anchors.n)) - 1)))
+              .withColumn("anchor_date", anchors.date(F.col("_i"))))
+    since, until = F.date_sub("anchor_date", lookback), F.date_sub("anchor_date", 1)
+
+    def seen(kind: str) -> Column:
+        return F.filter("items", lambda e: (e["kind"] == kind) & e["day"].between(since, until))
+
+    def in_window(kind: str) -> Column:
+        """(-events, key) of every key seen in the window: the least is the most viewed, of equals the lowest id."""
+        counted = F.transform(F.filter("items", lambda e: e["kind"] == kind), lambda e: F.struct(
+            (-F.aggregate(F.filter(e["days"], lambda d: d["day"].between(since, until)), F.lit(0).cast("long"),
+                          lambda acc, d: acc + d["cnt"])).alias("less"), e["key"].alias("key")))
+        return F.filter(counted, lambda e: e["less"] < 0)
+
+    f = (states.withColumn("_it", in_window("itin")).withColumn("_de", in_window("dest"))
+         .withColumn("_top_it", F.array_min("_it")).withColumn("_top_de", F.array_min("_de")))
+    visits = F.col("visits_30d")
+    leads = F.col("lead_rab_30d") + F.col("lead_raq_30d") + F.col("lead_sfo_30d") + F.col("lead_webq_30d")
+
+    def flag(c: Column) -> Column:
+        return F.when(c, 1).otherwise(0)
+    return f.select(
+        "anchor_date", U, flag(F.col("target_days") > 0).alias("target_conversion"),
+        *[c for c in FEATURES[:7]],
+        F.coalesce(-F.col("_top_it.less"), F.lit(0)).alias("max_same_itinerary_30d"),
+        F.coalesce(-F.col("_top_de.less"), F.lit(0)).alias("max_same_destination_30d"),
+        *[c for c in FEATURES[9:15]],
+        F.array_max(F.transform(seen("market"), lambda e: F.struct(e["seen"].alias("seen"), e["key"].alias("key"))))["key"].alias("market"),
+        F.col("_top_it.key").alias("most_viewed_itinerary"), F.col("_top_de.key").alias("most_viewed_destination"),
+        F.datediff("anchor_date", F.array_max(F.transform(seen("day"), lambda e: e["day"]))).alias("days_since_last_visit"),
+        F.try_divide(F.col("visits_7d"), visits).alias("visits_trend"),
+        F.try_divide(F.col("page_views_30d"), visits).alias("avg_pages_per_visit"),
+        flag(leads > 0).alias("has_lead_any"),
+        F.try_divide(F.col("quote_page_visits_30d"), visits).alias("quote_to_visit_ratio"),
+        flag(F.size("_it") > 1).alias("multi_itinerary_interest"), flag(F.size("_de") > 1).alias("multi_destination_interest"),
+        flag(F.col("guests_days") > 0).alias("has_seen_guests_info_30d"),
+    ).select(*OUTPUT_COLUMNS)
 
 
 def require_label_coverage(events: DataFrame, anchor_end: str, horizon: int = 14) -> None:
@@ -286,6 +319,31 @@ def score(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*cols, vector_to_array("probability")[1].alias("propensity_score"))
 
 
+def tree_nodes(spark, saved: str) -> DataFrame:
+    """The trees of a saved model (the folder of one snapshot) as a table: one row a node.
+
+    (tree, weight, node, feature, threshold, left_values, left, right, prediction): an inner node names its
+    feature (as the assembler orders them) and sends a row left whose value is at most ``threshold`` or, for a
+    categorical feature, one of ``left_values``; a leaf has no feature.  The margin is the sum of
+    weight * prediction over the trees' leaves, and P(label = 1) = 1 / (1 + exp(-2 margin))."""
+    from wayfare.sources.files import entries
+    from wayfare.sources.tables import load_model
+    assembler = next(s for s in load_model(saved, spark).stages if hasattr(s, "getInputCols") and s.getOutputCol() == "features")
+    names = F.array(*[F.lit(c) for c in assembler.getInputCols()])
+    folder = max(entries(spark, f"{saved}/stages"), key=lambda e: int(e.name.split("_")[0])).path
+    # by position: releases of Spark name the columns of these two files differently
+    nodes = spark.read.parquet(f"{folder}/data").toDF("tree", "n").select("tree", "n.*")
+    weights = spark.read.parquet(f"{folder}/treesMetadata").toDF("tree", "metadata", "weight").drop("metadata")
+    inner, split = F.col("leftChild") >= 0, F.col("split")
+    categorical = split["numCategories"] >= 0
+    return nodes.join(weights, "tree").select(
+        "tree", "weight", F.col("id").alias("node"),
+        F.when(inner, F.get(names, split["featureIndex"])).alias("feature"),
+        F.when(inner & ~categorical, F.get(split["leftCategoriesOrThreshold"], 0)).alias("threshold"),
+        F.when(inner & categorical, split["leftCategoriesOrThreshold"]).alias("left_values"),
+        F.when(inner, F.col("leftChild")).alias("left"), F.when(inner, F.col("rightChild")).alias("right"), "prediction")
+
+
 def evaluate(scored: DataFrame, label: str = "target_conversion", threshold: float = 0.5) -> DataFrame:
     """One-row metrics: precision, recall, accuracy, f1, log loss, ROC AUC.
 
@@ -323,8 +381,7 @@ def feature_importance(model, spark, features: list[str] | None = None) -> DataF
         features = model_features(any(getattr(st, "getOutputCol", lambda: "")() == "market_idx"
                                       for st in model.stages))
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double") \
-        .orderBy(F.col("importance").desc())
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
 
 
 # ---------------------------------------------------------------------------
@@ -353,8 +410,7 @@ def lift_by_band(scored: DataFrame, label: str = "target_conversion") -> DataFra
     return (per.crossJoin(F.broadcast(base))
             .select("propensity_band", "users", "conversions",
                     F.round(rate * 100, 3).alias("conversion_rate_pct"),
-                    F.round(rate / F.col("baseline_rate"), 1).alias("lift_vs_average"))
-            .orderBy("propensity_band"))
+                    F.round(rate / F.col("baseline_rate"), 1).alias("lift_vs_average")))
 
 
 SEGMENT_FLAGS = [  # (output column, source column) — fixed values
@@ -376,7 +432,7 @@ def segment_crosstab(scored: DataFrame) -> DataFrame:
     dims = [band.alias("Propensity"), F.col("market"), F.col("most_viewed_destination"),
             F.col("most_viewed_itinerary"), *[yn(src).alias(out) for out, src in SEGMENT_FLAGS],
             yn("has_seen_guests_info_30d").alias("has_seen_guests_info_30d")]
-    return scored.groupBy(*dims).agg(F.count_distinct(U).alias("cnt")).orderBy(F.col("cnt").desc())
+    return scored.groupBy(*dims).agg(F.count_distinct(U).alias("cnt"))
 
 
 def rule_score(features: DataFrame) -> DataFrame:
