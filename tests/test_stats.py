@@ -55,3 +55,43 @@ def test_audience_median_modes_agree(spark):
     exact, pct, approx = run("exact"), run("percentile"), run("approx")
     assert exact == pct and set(approx) == set(exact)
     assert all(lo <= m <= hi for m, lo, hi in approx.values())
+
+
+def test_values_close_together_never_meet_in_one_window(spark, monkeypatch):
+    """200,000 distinct values in [1000, 1010): the bound on a window's rows holds, the median is exact."""
+    from wayfare.operators import stats
+    seen = []
+    pick = stats._pick
+    monkeypatch.setattr(stats, "_pick", lambda ranges, keys, order: seen.append((ranges, keys)) or pick(ranges, keys, order))
+    df = spark.range(200_000).select((F.lit(1000.0) + F.col("id") / 20_000).alias("v"), F.lit("g").alias("g"))
+    df = df.union(df.filter("v < 1001")).union(spark.range(50).select(F.lit(1e-3), F.lit("h")))
+    got = {r.g: r.median for r in stats.group_median(df, ["g"], "v").collect()}
+    assert got == {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert len(seen) == stats.REFINEMENTS + 1
+    for ranges, keys in seen:
+        assert ranges.groupBy(*keys, "_t").count().agg(F.max("count")).first()[0] <= stats.SPLITS
+    assert seen[-1][0].groupBy("g", "_t").count().agg(F.max("count")).first()[0] < 100
+
+
+def test_neighbouring_doubles_are_told_apart(spark):
+    import math
+    from wayfare.operators import stats
+    rows, x = [], 1000.0
+    for i in range(301):
+        rows.append(("a", x))
+        rows += [("b", -x)] * (i % 3)
+        x = math.nextafter(x, math.inf)
+    rows += [("c", float("nan")), ("c", 1.0), ("c", float("inf")), ("d", float("inf")), ("d", float("-inf")), ("d", float("-inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: str(r.median) for r in stats.group_median(df, ["g"], "v").collect()}
+    assert got == {r.g: str(r.m) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+
+
+def test_money_totals_do_not_depend_on_the_order(spark):
+    from wayfare.operators import stats
+    rows = [("g", round(0.1 * i, 2)) for i in range(5000)] + [("g", 1e12), ("g", -1e12)]
+    totals = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        totals.add(stats.group_summary(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], "v", money=True).first().total)
+    assert totals == {round(sum(int(round(v * 100)) for _, v in rows) / 100, 2)}

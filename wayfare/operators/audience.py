@@ -75,7 +75,7 @@ def compare_audiences(segments: DataFrame, leads: DataFrame, left: Column, right
     keys = ["side", "_kind", "web_request_type"]
     v = F.col("total_net_cruise_revenue")
     if median == "exact":
-        s = group_summary(g, keys, "total_net_cruise_revenue")
+        s = group_summary(g, keys, "total_net_cruise_revenue", money=True)
         out = s.select(*keys, F.col("n").alias("count"), F.col("min").alias("min_booking_value"),
                        F.col("max").alias("max_booking_value"), (F.col("total") / F.col("n")).alias("mean_booking_value"),
                        F.col("total").alias("total_booking_value"), F.col("median").alias("median_booking_value"))
@@ -84,13 +84,17 @@ def compare_audiences(segments: DataFrame, leads: DataFrame, left: Column, right
             F.count("visitor_id").alias("count"), F.min(v).alias("min_booking_value"), F.max(v).alias("max_booking_value"),
             (F.sum(v) / F.count("visitor_id")).alias("mean_booking_value"), F.sum(v).alias("total_booking_value"),
             median_cont("total_net_cruise_revenue", median == "approx").alias("median_booking_value"))
+    return out.select("side", "web_request_type", "count", "min_booking_value", "max_booking_value",
+                      "mean_booking_value", "total_booking_value", "median_booking_value")
+
+
+def type_order() -> Column:
+    """Report order of the request types: the listed ones first, in their order."""
     t = F.col("web_request_type")
     order = None
     for i, name in enumerate(TYPE_ORDER):
         order = F.when(t == name, F.lit(str(i))) if order is None else order.when(t == name, F.lit(str(i)))
-    return out.select("side", "web_request_type", "count", "min_booking_value", "max_booking_value",
-                      "mean_booking_value", "total_booking_value", "median_booking_value") \
-        .orderBy(order.otherwise(t), "side")
+    return order.otherwise(t)
 
 
 def side_by_side(report: DataFrame, web_request_type: str = "ALL") -> DataFrame:
@@ -99,8 +103,7 @@ def side_by_side(report: DataFrame, web_request_type: str = "ALL") -> DataFrame:
     long = r.select("side", F.expr(
         "stack(4, 'min', min_booking_value, 'mean', mean_booking_value, "
         "'median', median_booking_value, 'max', max_booking_value) AS (metric, value)"))
-    return long.groupBy("metric").pivot("side", ["left", "right"]).agg(F.max("value")) \
-        .orderBy(F.col("metric").desc())
+    return long.groupBy("metric").pivot("side", ["left", "right"]).agg(F.max("value"))
 
 
 def visits_rollup(visits: DataFrame) -> DataFrame:
