@@ -64,11 +64,10 @@ def departure_summary(c: DataFrame, by_destination: bool = False, approx: bool =
     else:
         d = _days(c.filter(F.col("page_group").isNotNull() & F.col("departure_date").isNotNull()))
         keys = ["page_group"]
-    out = d.groupBy(*keys).agg(
+    return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_pageviews"),
         F.round(F.avg("days_before"), 1).alias("avg_days_before_departure"),
         _median_disc_double("days_before", approx).alias("median_days_before_departure"))
-    return out.orderBy(*keys) if not by_destination else out.orderBy("page_group", F.col("total_pageviews").desc())
 
 
 def departure_hist(c: DataFrame, by_destination: bool = False, bands=None, else_label=None) -> DataFrame:
@@ -81,5 +80,15 @@ def departure_hist(c: DataFrame, by_destination: bool = False, bands=None, else_
         d = _days(c).filter(F.col("page_group").isNotNull() & F.col("days_before").isNotNull())
         keys = ["page_group"]
     d = d.withColumn("days_bucket", B.bucketize(F.col("days_before"), bands, else_label))
-    return d.groupBy(*keys, "days_bucket").agg(F.count(F.lit(1)).alias("total_pageviews")) \
-        .orderBy(*keys, "days_bucket")
+    return d.groupBy(*keys, "days_bucket").agg(F.count(F.lit(1)).alias("total_pageviews"))
+
+
+def departure_days(c: DataFrame, by_destination: bool = False) -> DataFrame:
+    """The rows that the summaries count: page group (and destination), visit day, days before departure.
+
+    ``operators.sketches`` turns them into daily sketches, from which any period's report is merged."""
+    if by_destination:
+        return _days(with_destination(c)).filter(F.col("final_sub_category").isNotNull()).select(
+            "page_group", "final_sub_category", "visit_date", "days_before")
+    return _days(c.filter(F.col("page_group").isNotNull() & F.col("departure_date").isNotNull())).select(
+        "page_group", "visit_date", "days_before")

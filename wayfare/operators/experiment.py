@@ -51,7 +51,7 @@ def clean_assignments(expo: DataFrame) -> DataFrame:
 
 def clean_users_per_variant(expo: DataFrame) -> DataFrame:
     return (clean_assignments(expo).groupBy("variation_id")
-            .agg(F.count_distinct(U).alias("utenti")).orderBy("variation_id"))
+            .agg(F.count_distinct(U).alias("utenti")))
 
 
 def deterministic_sample(assign: DataFrame, n: int, key: Column | None = None,
@@ -84,11 +84,12 @@ def experiment_report(events: DataFrame, experiment_id: str, period=None,
                       vocab: V.Vocab = V.DEFAULT_VOCAB, sample: int | None = None) -> DataFrame:
     """Per variant: users who saw the popup and their general / post-popup flags.
 
-    One scan and one aggregation per user compute everything: the user's
-    variants, the first popup view, and for each action both "any" and the
-    latest timestamp — an action happened after the first popup exactly when
-    its latest occurrence is after it.  The per-variant totals are a second,
-    tiny aggregation."""
+    One scan: events are folded to (user, variant seen) with numbers only — for
+    each action whether it happened and when last; it happened after the first
+    popup exactly when its latest occurrence is after it — and these one to three
+    rows to the user.  The first step combines map-side in a hash table; only its
+    few rows are sorted for the variant's text.  The per-variant totals are a
+    third, tiny aggregation."""
     ev = events if period is None else events.filter(F.col("event_date").between(*period))
     ev = ev.filter(F.col(U).isNotNull())
     name = F.col("event_name")
@@ -97,23 +98,22 @@ def experiment_report(events: DataFrame, experiment_id: str, period=None,
     hold = (name == V.GENERATE_LEAD) & (F.col("lead_name") == V.LEAD_NAME_BOOKING)
     buy = V.purchase("C")
     click = (name == V.CONTENT_CTA) & (F.col("cta_name") == V.CTA_RETURN_TO_FUNNEL)
-
     # the entry URL is the page's own: other URL parameters are not set on every hit
     entry = F.col("page_location").like(f"%{vocab.funnel_host}/%")
-    ev = ev.filter(expo | popup | entry | hold | buy | click)       # NULL drops a row that is none of them
-
-    def any_(c):
-        return F.max(F.when(c, 1).otherwise(0))
-    variant = F.when(expo, F.col("variation_id"))
-    per_user = ev.groupBy(U).agg(
-        F.min(variant).alias("_first"), F.max(variant).alias("_last"),
-        F.max(F.when(expo & F.col("variation_id").isNull(), 1).otherwise(0)).alias("_has_null"),
-        F.max(expo.cast("int")).alias("_exposed"),
-        F.min(F.when(popup, F.col(TS))).alias("_popup"),
-        any_(entry).alias("has_funnel_entry"),
-        any_(hold).alias("has_booking_hold"), F.max(F.when(hold, F.col(TS))).alias("_hold_last"),
-        any_(buy).alias("has_purchase"), F.max(F.when(buy, F.col(TS))).alias("_buy_last"),
-        any_(click).alias("has_click_popup"), F.max(F.when(click, F.col(TS))).alias("_click_last"))
+
+    def last(c):
+        return F.max(F.when(c, F.col(TS)))
+    seen = ev.groupBy(U, F.coalesce(expo, F.lit(False)).alias("_exposed"), F.when(expo, F.col("variation_id")).alias("_variant")).agg(
+        F.min(F.when(popup, F.col(TS))).alias("_popup"), last(entry).alias("_entry"), last(hold).alias("_hold_last"),
+        last(buy).alias("_buy_last"), last(click).alias("_click_last"))
+    per_user = seen.groupBy(U).agg(
+        F.min("_variant").alias("_first"), F.max("_variant").alias("_last"),
+        F.max((F.col("_exposed") & F.col("_variant").isNull()).cast("int")).alias("_has_null"),
+        F.max(F.col("_exposed").cast("int")).alias("_exposed"), F.min("_popup").alias("_popup"),
+        *[F.max(c).alias(c) for c in ("_entry", "_hold_last", "_buy_last", "_click_last")])
+    for flag, at in (("has_funnel_entry", "_entry"), ("has_booking_hold", "_hold_last"), ("has_purchase", "_buy_last"),
+                     ("has_click_popup", "_click_last")):
+        per_user = per_user.withColumn(flag, F.col(at).isNotNull().cast("int"))
     rows = (per_user.filter((F.col("_exposed") == 1) & F.col("_first").eqNullSafe(F.col("_last")))
             .select("*", F.explode(F.when(F.col("_first").isNull(), F.array(F.lit(None).cast("string")))
                                    .when(F.col("_has_null") == 1, F.array("_first", F.lit(None).cast("string")))
@@ -146,22 +146,34 @@ def experiment_report(events: DataFrame, experiment_id: str, period=None,
         s("has_click_popup_post_popup").alias("click_popup_post_popup"),
         both("has_click_popup_post_popup", "has_booking_hold_post_popup").alias("click_then_bh_post_popup"),
         both("has_click_popup_post_popup", "has_purchase_post_popup").alias("click_then_purchase_post_popup"),
-    ).orderBy("variation_id")
+    )
 
 
-def component_variant(events: DataFrame, test_name: str, variant: str, period=None,
-                      strict: bool = False) -> DataFrame:
-    """Users (and events) in a component test variant, read from the JSON text.
+def component_variant(events: DataFrame, test_name: str, variant: str, period=None, strict: bool = True,
+                      test_key: str = "test", variant_keys: tuple[str, ...] = ("s", "segmentId")) -> DataFrame:
+    """Users (and events) in a component test variant, read from the JSON-as-text parameter.
 
-    Default matches by text like the dashboards do (test name AND
-    ``"s":"<v>"`` or ``"segmentId":"<v>"``); ``strict`` parses the JSON.
+    The text is parsed as a VARIANT: one object or an array of them, keys in any
+    order and spacing; text that is no JSON is in no variant.  ``strict=False``
+    matches by text like the dashboards do (test name AND ``"s":"<v>"`` or
+    ``"segmentId":"<v>"``), which finds other spellings only by luck.
     """
     ev = events if period is None else events.filter(F.col("event_date").between(*period))
     t = F.col("ab_component_tests")
     if strict:
-        js = F.from_json(t, "test string, s string, segmentId string")
-        cond = (js["test"] == test_name) & ((js["s"] == variant) | (js["segmentId"] == variant))
+        parsed = F.try_parse_json(t)
+        tests = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.array(parsed))
+
+        def named(e: Column) -> Column:
+            of_variant = F.lit(False)
+            for key in variant_keys:
+                of_variant = of_variant | F.coalesce(F.try_variant_get(e, f"$.{key}", "string") == variant, F.lit(False))
+            return (F.try_variant_get(e, f"$.{test_key}", "string") == test_name) & of_variant
+        cond = F.exists(tests, named)
     else:
-        cond = t.like(f"%{test_name}%") & (t.like(f'%"s":"{variant}"%') | t.like(f'%"segmentId":"{variant}"%'))
-    return (ev.filter(cond).groupBy(U)
+        cond = F.lit(False)
+        for key in variant_keys:
+            cond = cond | t.like(f'%"{key}":"{variant}"%')
+        cond = t.like(f"%{test_name}%") & cond
+    return (ev.filter(t.isNotNull() & cond).groupBy(U)
             .agg(F.count(F.lit(1)).alias("events"), F.min("event_ts").alias("first_seen")))

@@ -47,10 +47,13 @@ def default_flags() -> dict[str, Column]:
     }
 
 
-def suite_funnel(events: DataFrame, n: int = 10, period: tuple[str, str] | None = None,
-                 vocab: V.Vocab = V.DEFAULT_VOCAB, start: Column | None = None,
-                 exclude_before: Column | None = None, touch_filter: Column | None = None,
-                 touch_label: Column | None = None, flags: dict[str, Column] | None = None) -> DataFrame:
+def funnel_rows(events: DataFrame, period: tuple[str, str] | None = None, vocab: V.Vocab = V.DEFAULT_VOCAB,
+                start: Column | None = None, exclude_before: Column | None = None, touch_filter: Column | None = None,
+                touch_label: Column | None = None, flags: dict[str, Column] | None = None) -> DataFrame:
+    """The rows that the funnel counts: every user's first step with each event of its session.
+
+    One same-session join serves the exclusion (before the step) and the touchpoints and flags (after it); a
+    step without a session stands alone.  Conditions become columns here, so what is read again is narrow."""
     base = events if period is None else events.filter(F.col("event_date").between(*period))
     if start is None:
         start = (F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").like(f"%{vocab.suite_step_fragment}%")
@@ -67,26 +70,38 @@ def suite_funnel(events: DataFrame, n: int = 10, period: tuple[str, str] | None
                                     F.col("page_location").alias("ss_page_url"),
                                     F.col("p_journey_code").alias("ss_journey_code")),
                            F.struct(F.col(TS), F.col("event_id"))).alias("fs"))
-             .select(U, "fs.*"))
-    # one same-session join serves both the exclusion (before the step) and
-    # the touchpoints / flags (after it); excluded users are dropped at the end
-    same = (base.alias("b").join(first.alias("f"), [F.col("b." + U) == F.col("f." + U),
-                                                    F.col("b." + SID) == F.col("f.ss_session")])
-            .select("b.*", F.col("f.ss_ts"), F.col("f.ss_journey_code")))
-    excluded = same.filter((F.col(TS) < F.col("ss_ts")) & exclude_before).select(U).distinct()
-    first = first.join(excluded, U, "left_anti")
-    after = same.filter(F.col(TS) > F.col("ss_ts"))
-    w = Window.partitionBy(U).orderBy(TS, "event_id")
-    touches = (after.filter(touch_filter)
-               .withColumn("pv_rank", F.row_number().over(w)).filter(F.col("pv_rank") <= n)
-               .withColumn("pv_value", touch_label))
-    pivot = touches.groupBy(U).agg(
-        *[F.max(F.when(F.col("pv_rank") == i, F.col("pv_value"))).alias(f"pv_{i}") for i in range(1, n + 1)])
-    fl = after.groupBy(U).agg(*[F.max(F.when(c, 1).otherwise(0)).alias(name) for name, c in flags.items()])
-
-    out = first.join(pivot, U, "left").join(fl, U, "left")
-    return out.select(
+             .select(F.col(U).alias("_user"), "fs.*"))
+    same = first.join(base, (F.col("_user") == F.col(U)) & (F.col(SID) == F.col("ss_session")), "left")
+    after = F.coalesce(F.col(TS) > F.col("ss_ts"), F.lit(False))
+
+    def holds(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+    return same.select(
+        F.col("_user").alias(U), "ss_journey_code", "ss_event_ts", "ss_page_url", F.col(TS).alias("at"), "event_id",
+        holds((F.col(TS) < F.col("ss_ts")) & exclude_before).cast("int").alias("_excluded"),
+        F.when(after & touch_filter, touch_label).alias("_touch"), holds(after & touch_filter).alias("_touches"),
+        *[holds(after & c).cast("int").alias(name) for name, c in flags.items()])
+
+
+def suite_funnel(events: DataFrame, n: int = 10, period: tuple[str, str] | None = None,
+                 vocab: V.Vocab = V.DEFAULT_VOCAB, start: Column | None = None,
+                 exclude_before: Column | None = None, touch_filter: Column | None = None,
+                 touch_label: Column | None = None, flags: dict[str, Column] | None = None,
+                 rows: DataFrame | None = None) -> DataFrame:
+    """One row a user; ``rows`` are the ``funnel_rows`` of these events where the caller has written them
+    (both branches below then read them instead of joining the events again)."""
+    flags = default_flags() if flags is None else flags
+    if rows is None:
+        rows = funnel_rows(events, period, vocab, start, exclude_before, touch_filter, touch_label, flags)
+    # what a user's step says is the key, the rest are numbers: a hash aggregation
+    users = (rows.groupBy(U, "ss_journey_code", "ss_event_ts", "ss_page_url")
+             .agg(F.max("_excluded").alias("_excluded"), *[F.max(name).alias(name) for name in flags])
+             .filter("_excluded = 0"))
+    w = Window.partitionBy(U).orderBy("at", "event_id")
+    touches = (rows.filter("_touches").select(U, "at", "event_id", "_touch")
+               .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)          # WindowGroupLimit
+               .groupBy(U).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_touch"))).alias("_pv")))
+    return users.join(touches, U, "left").select(
         U, "ss_journey_code", F.col("ss_event_ts").alias("suite_selection_timestamp"),
-        F.col("ss_page_url").alias("pv_0"), *[f"pv_{i}" for i in range(1, n + 1)],
-        *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags],
-    ).orderBy("suite_selection_timestamp")
+        F.col("ss_page_url").alias("pv_0"), *[F.try_element_at("_pv", F.lit(i)).alias(f"pv_{i}") for i in range(1, n + 1)],
+        *flags)

@@ -14,7 +14,7 @@ individual id -> booking role -> booking header (status 'BK').
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import vocab as V
@@ -90,13 +90,16 @@ def lead_funnel_by_step(events: DataFrame, super_ids: DataFrame, latest: DataFra
         F.count(F.lit(1)).alias("webq_count"), F.count_distinct(U).alias("webq_users"),
         F.count_if(F.col("first_booking_after_webq").isNotNull()).alias("converted_webq"),
         F.round(F.avg(F.datediff("first_booking_after_webq", "webq_date")), 1).alias("avg_days_to_booking"))
-    order = F.when(F.col("funnel_step") == V.WEBQ_STEPS[0], 1).when(F.col("funnel_step") == V.WEBQ_STEPS[1], 2) \
-        .when(F.col("funnel_step") == V.WEBQ_STEPS[2], 3)
     return (agg.join(step_visitors(events, period), "funnel_step", "left")
             .select("funnel_step", "visitors", "webq_users", "webq_count", "converted_webq",
                     F.round(F.try_divide(F.col("converted_webq"), F.col("webq_users")) * 100, 2)
-                    .alias("webq_to_booking_pct"), "avg_days_to_booking")
-            .orderBy(order))
+                    .alias("webq_to_booking_pct"), "avg_days_to_booking"))
+
+
+def step_order() -> Column:
+    """Place of a WEBQ step in the funnel."""
+    step = F.col("funnel_step")
+    return (F.when(step == V.WEBQ_STEPS[0], 1).when(step == V.WEBQ_STEPS[1], 2).when(step == V.WEBQ_STEPS[2], 3))
 
 
 def lead_step_labels(events: DataFrame, period=None) -> DataFrame:
@@ -104,7 +107,7 @@ def lead_step_labels(events: DataFrame, period=None) -> DataFrame:
     ev = events if period is None else events.filter(F.col("event_date").between(*period))
     return (ev.filter(F.col("event_name") == V.LEAD_WEBQ)
             .groupBy(F.col("voyage_funnel_step_name").alias("funnel_step"))
-            .agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc()))
+            .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def identity_coverage(events: DataFrame, super_ids: DataFrame, latest: DataFrame, period=None) -> DataFrame:
@@ -131,7 +134,7 @@ def id_from_url(events: DataFrame, period=None, pattern: str = V.INDIVIDUAL_ID_R
     ev = events if period is None else events.filter(F.col("event_date").between(*period))
     return (ev.filter(F.col("raw_url").like("%IndividualId=%"))
             .groupBy(regex_extract_or_null(F.col("raw_url"), pattern).alias("IndividualId"))
-            .agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc()))
+            .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def source_date_ranges(events: DataFrame, web_requests: DataFrame, header: DataFrame, period=None) -> DataFrame:

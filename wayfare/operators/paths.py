@@ -26,28 +26,28 @@ from wayfare.operators.ordered import running_aggregate
 U, SID, TS = "user_pseudo_id", "ga_session_id", "event_timestamp"
 
 
-def page_path_backward(events: DataFrame, action_rule: Column | None = None, depth: int = 10,
-                       since: str | None = None, page_period: tuple[str, str] | None = None,
-                       action_events: DataFrame | None = None,
-                       page_events: DataFrame | None = None,
-                       pivot_columns: int | None = None) -> DataFrame:
-    """``events`` feeds the sessions (whole history).  ``action_events`` /
-    ``page_events`` optionally supply the conversion and page-view branches from
-    reads already bounded to their periods (each branch is its own scan, so a
-    pruned read costs nothing extra)."""
+def page_path_points(events: DataFrame, action_rule: Column | None = None, since: str | None = None,
+                     page_period: tuple[str, str] | None = None) -> DataFrame:
+    """The stream that ``page_path_backward`` reads: session starts, conversions with their session, first page views."""
     if action_rule is None:
         action_rule = V.booking_hold(False) | V.purchase("A")
-    ev_a = events if action_events is None else action_events
-    ev_a = ev_a if since is None else ev_a.filter(F.col("event_date") >= since)
-    raw = ev_a.filter(action_rule).select(
-        U, F.col(TS).alias("action_ts"), F.col(SID).alias("conversion_session_id"))
+    return S.tagged_points(events, {"conversion": action_rule}, None, since, keep_session=True, page_period=page_period, pages=True)
+
+
+def page_path_backward(events: DataFrame, action_rule: Column | None = None, depth: int = 10,
+                       since: str | None = None, page_period: tuple[str, str] | None = None,
+                       pivot_columns: int | None = None, points: DataFrame | None = None) -> DataFrame:
+    """``events`` feeds the sessions (whole history); conversions and page views are bounded by ``since`` and
+    ``page_period``.  ``points`` is the stream of these events where the caller has written it (the branches
+    below then read sessions, conversions and pages instead of the events)."""
+    if points is None:
+        points = page_path_points(events, action_rule, since, page_period)
     # conversions of one instant are one occurrence; its lowest session id is the
     # one skipped among the earlier sessions, all of them stand at position 0
-    actions = raw.groupBy(U, "action_ts").agg(
+    actions = S.conversions_of(points).groupBy(U, "action_ts").agg(
         F.min("conversion_session_id").alias("conversion_session_id"),
         F.sort_array(F.collect_set("conversion_session_id")).alias("own_sessions"))
-    sess = S.sessions(events)
-    acts, idx = S._counted_points(actions, sess, [U])     # n_lt, n_prev per action; session index
+    acts, idx = S._counted_points(actions, S.starts_of(points), [U])     # n_lt, n_prev per action; session index
 
     # candidate session indexes: most recent first, one extra in case the
     # conversion session itself is among them and has to be skipped
@@ -65,19 +65,13 @@ def page_path_backward(events: DataFrame, action_rule: Column | None = None, dep
               .groupBy(U, "session_id", (-F.col("_rn")).alias("session_position"))
               .agg(F.count(F.lit(1)).alias("n")))
 
-    pv = (events if page_events is None else page_events).filter(
-        (F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull() & F.col(SID).isNotNull())
-    if page_period is not None:
-        pv = pv.filter(F.col("event_date").between(*page_period))
-    pages = (pv.groupBy(U, F.col(SID).alias("session_id"), F.col("page_location").alias("page_url"))
-             .agg(F.min(TS).alias("first_view")))
+    pages = S.pages_of(points)
     counted = (before.join(pages, [U, "session_id"]).select("session_position", "page_url", "n")
                .unionByName(_own_session_pages(actions, pages)))
     width = max(depth, pivot_columns or depth)      # e.g. depth 7 in a 0..10 report layout
     aggs = [F.sum(F.when(F.col("session_position") == -i, F.col("n")).otherwise(0)).alias(f"session_minus_{i}")
             for i in range(width + 1)]
-    return (counted.groupBy("page_url").agg(*aggs, F.sum("n").alias("total_appearances"))
-            .orderBy(F.col("total_appearances").desc(), "page_url"))
+    return counted.groupBy("page_url").agg(*aggs, F.sum("n").alias("total_appearances"))
 
 
 def _own_session_pages(actions: DataFrame, pages: DataFrame) -> DataFrame:

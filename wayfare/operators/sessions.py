@@ -70,6 +70,60 @@ def conversions(events: DataFrame, rules: dict[str, Column] | None = None,
     return acts
 
 
+def tagged_points(events: DataFrame, rules: dict[str, Column] | None = None, total_label: str | None = V.ANY_LABEL,
+                  since: str | None = None, keep_session: bool = False,
+                  page_period: tuple[str, str] | None = None, pages: bool = False) -> DataFrame:
+    """Everything a journey analysis takes from the events, as one tagged stream: one scan, one exchange.
+
+    ``start``       first event of a session                            (session_id, at)
+    ``conversion``  one occurrence per instant and type, and own session
+                    where ``keep_session``                              (label, session_id, at)
+    ``page``        first view of a URL in a session, where ``pages``   (session_id, label, at)
+
+    An event feeds up to four of them and all are combined map-side, so what is
+    shuffled is sessions, conversions and pages, not events.  Rows without a user
+    belong to no journey.  Callers read several branches of the stream: write it
+    once (``session.checkpointed``) rather than scan the events for each."""
+    label = None
+    for name, cond in (rules or default_conversion_rules()).items():
+        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
+    if since is not None:
+        label = F.when(F.col("event_date") >= F.lit(since), label)
+    sid, ts, nothing = F.col(SID), F.col(TS), F.lit(None)
+
+    def point(when: Column, tag: str, session: Column, text: Column, at: Column) -> Column:
+        return F.when(when, F.struct(F.lit(tag).alias("tag"), session.cast("long").alias("session_id"),
+                                     text.cast("string").alias("label"), at.cast("long").alias("instant")))
+    own = sid if keep_session else nothing
+    found = [point(sid.isNotNull(), "start", sid, nothing, nothing),
+             point(F.col("_label").isNotNull(), "conversion", own, F.col("_label"), ts)]
+    if total_label:
+        found.append(point(F.col("_label").isNotNull(), "conversion", own, F.lit(total_label), ts))
+    if pages:
+        seen = (F.col("event_name") == V.PAGE_VIEW) & F.col("page_location").isNotNull() & sid.isNotNull()
+        if page_period is not None:
+            seen = seen & F.col("event_date").between(*page_period)
+        found.append(point(seen, "page", sid, F.col("page_location"), nothing))
+    rows = (events.filter(F.col(U).isNotNull()).withColumn("_label", label)
+            .select(U, ts, F.explode(F.filter(F.array(*found), lambda p: p.isNotNull())).alias("p")))
+    return (rows.groupBy(U, F.col("p.tag").alias("tag"), F.col("p.session_id").alias("session_id"),
+                         F.col("p.label").alias("label"), F.col("p.instant").alias("instant"))
+            .agg(F.min(TS).alias("at")).drop("instant"))
+
+
+def starts_of(points: DataFrame) -> DataFrame:
+    return points.filter("tag = 'start'").select(U, "session_id", F.col("at").alias("session_start_ts"))
+
+
+def conversions_of(points: DataFrame) -> DataFrame:
+    return points.filter("tag = 'conversion'").select(U, F.col("at").alias("action_ts"), F.col("label").alias("action_type"),
+                                                      F.col("session_id").alias("conversion_session_id"))
+
+
+def pages_of(points: DataFrame) -> DataFrame:
+    return points.filter("tag = 'page'").select(U, "session_id", F.col("label").alias("page_url"), F.col("at").alias("first_view"))
+
+
 def occurrences(actions: DataFrame) -> DataFrame:
     """One row per (user, type, instant): exports repeat a timestamp within a batch,
     and a repeated conversion must not open a window of its own."""
@@ -144,8 +198,7 @@ def sessions_before_hist(per_action: DataFrame, bands=None, else_label=None) ->
                         B.bucketize(F.col("sessions_before_action"), bands, else_label))
             .groupBy("action_type", "sessions_bucket")
             .agg(F.count(F.lit(1)).alias("occurrences"),
-                 F.min("sessions_before_action").alias("_order"))
-            .orderBy("action_type", "_order").drop("_order"))
+                 F.min("sessions_before_action").alias("least_sessions")))
 
 
 def days_before_conversion(actions: DataFrame, sess: DataFrame) -> DataFrame:
@@ -177,7 +230,7 @@ def summarize_days_before(with_days: DataFrame, bands=None, else_label=None, app
             .select("action_type", F.lit("distribution").alias("row_type"), "days_bucket",
                     "occurrences", F.lit(None).cast("double").alias("avg_days"),
                     F.lit(None).cast("long").alias("median_days")))
-    return summary.unionByName(dist).orderBy("action_type", "row_type", "days_bucket")
+    return summary.unionByName(dist)
 
 
 def first_visit_to_action(events: DataFrame, actions: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ The original analyses carry placeholder periods; on the driver tables
 
 ACTION_SINCE = "20240101"          # open-ended action period (>=)
 PERIOD = ("20240101", "20240131")  # bounded shard period (BETWEEN)
+EXPORT_PERIOD = ("20240108", "20240121")   # a narrower period: some daily tables before and after it
+FORMATS_PER_PARAM = 5
 PAGE_PATH_DEPTH = 10          # Purchase run, and the report width
 PAGE_PATH_DEPTH_HOLD = 7      # Booking Hold run
 FUNNEL_TOUCHPOINTS = 10

@@ -23,7 +23,9 @@ from wayfare.functions import vocab as V
 from wayfare.plans import params as P
 from wayfare.sources import driver as D
 from wayfare.sources import ga4 as G
-from wayfare.sources.tables import load_model, save_model, warehouse_dir, write_table
+from wayfare.session import checkpointed, sf_path
+from wayfare.sources.files import delete, signature
+from wayfare.sources.tables import load_model, read_table, save_model, warehouse_dir, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,26 +49,30 @@ def _events(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = N
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversions of the action period; the bound reaches the Parquet scan
-    (sessions keep reading the whole history)."""
+    """Conversions of the action period; the bound reaches the Parquet scan."""
     return S.conversions(_events(spark, sf_dir, since=P.ACTION_SINCE), since=P.ACTION_SINCE)
 
 
+def _journeys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(conversions, sessions): the events are read once and their points written once; the branches read the points."""
+    points = checkpointed(S.tagged_points(_events(spark, sf_dir), since=P.ACTION_SINCE))
+    return S.conversions_of(points).drop("conversion_session_id"), S.starts_of(points)
+
+
 # -- P1 / P1b / P2 / P2b -----------------------------------------------------
 
 def sessions_before_conversion(spark, sf_dir):
-    per = S.sessions_before_conversion(_actions(spark, sf_dir), S.sessions(_events(spark, sf_dir)))
+    per = S.sessions_before_conversion(*_journeys(spark, sf_dir))
     return S.summarize_sessions_before(per).orderBy("action_type")
 
 
 def sessions_before_hist(spark, sf_dir):
-    per = S.sessions_before_conversion(_actions(spark, sf_dir), S.sessions(_events(spark, sf_dir)))
-    return S.sessions_before_hist(per)
+    hist = S.sessions_before_hist(S.sessions_before_conversion(*_journeys(spark, sf_dir)))
+    return hist.orderBy("action_type", "least_sessions").drop("least_sessions")
 
 
 def days_before_conversion(spark, sf_dir):
-    d = S.days_before_conversion(_actions(spark, sf_dir), S.sessions(_events(spark, sf_dir)))
-    return S.summarize_days_before(d)
+    return S.summarize_days_before(S.days_before_conversion(*_journeys(spark, sf_dir))).orderBy("action_type", "row_type", "days_bucket")
 
 
 def first_visit_to_action(spark, sf_dir):
@@ -75,33 +81,32 @@ def first_visit_to_action(spark, sf_dir):
 
 # -- P3 / P4 / P17 -----------------------------------------------------------
 
-def _page_path_per_type(spark, sf_dir, rule, depth):
-    """One run per conversion type, as the analysis is meant to be used
-    (depth 7 for Booking Hold, 10 for Purchase; columns up to 10 either way)."""
-    return PA.page_path_backward(_events(spark, sf_dir), action_rule=rule, depth=depth,
-                                 since=P.ACTION_SINCE, page_period=P.PERIOD,
-                                 action_events=_events(spark, sf_dir, since=P.ACTION_SINCE),
-                                 page_events=_events(spark, sf_dir, period=P.PERIOD),
-                                 pivot_columns=P.PAGE_PATH_DEPTH)
+def _page_path(spark, sf_dir, rule, depth):
+    """One run of the path analysis; the report is ``P.PAGE_PATH_DEPTH`` columns wide either way."""
+    events = _events(spark, sf_dir)
+    points = checkpointed(PA.page_path_points(events, rule, P.ACTION_SINCE, P.PERIOD))
+    report = PA.page_path_backward(events, depth=depth, pivot_columns=P.PAGE_PATH_DEPTH, points=points)
+    return report.orderBy(F.col("total_appearances").desc(), "page_url")
 
 
 def page_path_backward_hold(spark, sf_dir):
-    return _page_path_per_type(spark, sf_dir, V.booking_hold(False), P.PAGE_PATH_DEPTH_HOLD)
+    """One run per conversion type, as the analysis is meant to be used (depth 7 for Booking Hold, 10 for Purchase)."""
+    return _page_path(spark, sf_dir, V.booking_hold(False), P.PAGE_PATH_DEPTH_HOLD)
 
 
 def page_path_backward_purchase(spark, sf_dir):
-    return _page_path_per_type(spark, sf_dir, V.purchase("A"), P.PAGE_PATH_DEPTH)
+    return _page_path(spark, sf_dir, V.purchase("A"), P.PAGE_PATH_DEPTH)
 
 
 def page_path_backward(spark, sf_dir):
-    return PA.page_path_backward(_events(spark, sf_dir), depth=P.PAGE_PATH_DEPTH,
-                                 since=P.ACTION_SINCE, page_period=P.PERIOD,
-                                 action_events=_events(spark, sf_dir, since=P.ACTION_SINCE),
-                                 page_events=_events(spark, sf_dir, period=P.PERIOD))
+    return _page_path(spark, sf_dir, None, P.PAGE_PATH_DEPTH)
 
 
 def suite_funnel(spark, sf_dir):
-    return FU.suite_funnel(_events(spark, sf_dir, P.PERIOD), n=P.FUNNEL_TOUCHPOINTS, period=P.PERIOD)
+    events = _events(spark, sf_dir, P.PERIOD)
+    rows = checkpointed(FU.funnel_rows(events, P.PERIOD))
+    funnel = FU.suite_funnel(events, n=P.FUNNEL_TOUCHPOINTS, rows=rows)
+    return funnel.orderBy("suite_selection_timestamp", "user_pseudo_id")
 
 
 def journey_pages(spark, sf_dir):
@@ -115,25 +120,26 @@ def _views(spark, sf_dir):
 
 
 def departure_global(spark, sf_dir):
-    return DP.departure_summary(_views(spark, sf_dir))
+    return DP.departure_summary(_views(spark, sf_dir)).orderBy("page_group")
 
 
 def departure_by_dest(spark, sf_dir):
-    return DP.departure_summary(_views(spark, sf_dir), by_destination=True)
+    return DP.departure_summary(_views(spark, sf_dir), by_destination=True).orderBy(
+        "page_group", F.col("total_pageviews").desc(), "final_sub_category")
 
 
 def departure_hist(spark, sf_dir):
-    return DP.departure_hist(_views(spark, sf_dir))
+    return DP.departure_hist(_views(spark, sf_dir)).orderBy("page_group", "days_bucket")
 
 
 def departure_hist_by_dest(spark, sf_dir):
-    return DP.departure_hist(_views(spark, sf_dir), by_destination=True)
+    return DP.departure_hist(_views(spark, sf_dir), by_destination=True).orderBy("page_group", "final_sub_category", "days_bucket")
 
 
 # -- P9 / P9b / P10 / P28 -----------------------------------------------------
 
 def ab_report(spark, sf_dir):
-    return X.experiment_report(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, period=P.PERIOD)
+    return X.experiment_report(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, period=P.PERIOD).orderBy("variation_id")
 
 
 def ab_sample(spark, sf_dir):
@@ -142,7 +148,8 @@ def ab_sample(spark, sf_dir):
 
 
 def ab_clean_users(spark, sf_dir):
-    return X.clean_users_per_variant(X.exposures(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, P.PERIOD))
+    exposed = X.exposures(_events(spark, sf_dir, P.PERIOD), P.EXPERIMENT_ID, P.PERIOD)
+    return X.clean_users_per_variant(exposed).orderBy("variation_id")
 
 
 def component_variant(spark, sf_dir):
@@ -154,11 +161,11 @@ def component_variant(spark, sf_dir):
 def lead_funnel_by_step(spark, sf_dir):
     return I.lead_funnel_by_step(_events(spark, sf_dir, P.PERIOD), D.super_ids(spark, sf_dir),
                                  D.latest_individual(spark, sf_dir), D.booking_role(spark, sf_dir),
-                                 D.booking_header(spark, sf_dir), period=P.PERIOD)
+                                 D.booking_header(spark, sf_dir), period=P.PERIOD).orderBy(I.step_order())
 
 
 def lead_step_labels(spark, sf_dir):
-    return I.lead_step_labels(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD)
+    return I.lead_step_labels(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD).orderBy(F.col("cnt").desc(), "funnel_step")
 
 
 def identity_coverage(spark, sf_dir):
@@ -171,7 +178,7 @@ def key_match(spark, sf_dir):
 
 
 def id_from_url(spark, sf_dir):
-    return I.id_from_url(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD)
+    return I.id_from_url(_events(spark, sf_dir, P.PERIOD), period=P.PERIOD).orderBy(F.col("cnt").desc(), "IndividualId")
 
 
 def source_date_ranges(spark, sf_dir):
@@ -196,11 +203,11 @@ def _audience_report(spark, sf_dir, only=None):
 
 
 def audience_compare(spark, sf_dir):
-    return _audience_report(spark, sf_dir)
+    return _audience_report(spark, sf_dir).orderBy(AU.type_order(), "side")
 
 
 def audience_side_by_side(spark, sf_dir):
-    return AU.side_by_side(_audience_report(spark, sf_dir, only="ALL"), "ALL")
+    return AU.side_by_side(_audience_report(spark, sf_dir, only="ALL"), "ALL").orderBy(F.col("metric").desc())
 
 
 def visits_rollup(spark, sf_dir):
@@ -229,36 +236,39 @@ def propensity_split(spark, sf_dir):
 
 def propensity_lift(spark, sf_dir):
     test = propensity_split(spark, sf_dir).filter("dataset_split")
-    return PR.lift_by_band(PR.rule_score(test))
+    return PR.lift_by_band(PR.rule_score(test)).orderBy("propensity_band")
 
 
 def propensity_segments(spark, sf_dir):
-    return PR.segment_crosstab(PR.rule_score(_features(spark, sf_dir, P.SCORE_ANCHORS)))
+    return PR.segment_crosstab(PR.rule_score(_features(spark, sf_dir, P.SCORE_ANCHORS))).orderBy(F.col("cnt").desc())
 
 
-_TRAINED: dict[tuple[str, str], str] = {}
+_TRAINED: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def _trained(spark, sf_dir):
-    """(model, split, scored) of the scoring period: trained and scored once an
-    application, then read back from the shared folder by whichever query asks."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
+    """(model, split, scored) of the scoring period: trained and scored once an application for the events as
+    they are, then read back from the shared folder by whichever query asks.  Other files at that path mean
+    another training; what was written for the earlier ones is deleted.  An input too small for early stopping
+    raises (``fit_propensity``)."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), signature(spark, sf_path(sf_dir, "events"))
+    known, out = _TRAINED.get(key, (None, None))
+    if known != state:
+        if out:
+            delete(spark, out)
         out = warehouse_dir(spark, f"propensity-{uuid.uuid4().hex}")
         split = write_table(propensity_split(spark, sf_dir), f"{out}/split")
-        early_stop = PR.early_stop_possible(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED)
-        model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED, early_stop=early_stop)
-        save_model(model, f"{out}/model")
-        write_table(PR.score(model, _features(spark, sf_dir, P.SCORE_ANCHORS)).withColumn("early_stop", F.lit(early_stop)), f"{out}/scored")
-        _TRAINED[key] = out
-    out = _TRAINED[key]
-    return load_model(f"{out}/model"), spark.read.parquet(f"{out}/split"), spark.read.parquet(f"{out}/scored")
+        model = PR.fit_propensity(split.filter(~F.col("dataset_split")), seed=P.SPLIT_SEED)
+        save_model(model, f"{out}/model", spark)
+        write_table(PR.score(model, _features(spark, sf_dir, P.SCORE_ANCHORS)), f"{out}/scored")
+        _TRAINED[key] = state, out
+    return load_model(f"{out}/model", spark), read_table(spark, f"{out}/split"), read_table(spark, f"{out}/scored")
 
 
 def propensity_train_predict(spark, sf_dir):
     """Train on the training users, score the scoring-period table."""
     _, _, scored = _trained(spark, sf_dir)
-    return scored.select("anchor_date", "user_pseudo_id", "target_conversion", "propensity_score", "early_stop")
+    return scored.select("anchor_date", "user_pseudo_id", "target_conversion", "propensity_score")
 
 
 def propensity_evaluate(spark, sf_dir):
@@ -271,7 +281,7 @@ def propensity_evaluate(spark, sf_dir):
 
 def propensity_importance(spark, sf_dir):
     """Gain share of every feature of the trained model."""
-    return PR.feature_importance(_trained(spark, sf_dir)[0], spark)
+    return PR.feature_importance(_trained(spark, sf_dir)[0], spark).orderBy(F.col("importance").desc(), "feature")
 
 
 def propensity_score_contract(spark, sf_dir):
@@ -302,6 +312,29 @@ def nested_param_daily(spark, sf_dir):
         F.count("p_journey_code").alias("with_journey"), F.max("event_ts").alias("last_at"))
 
 
+def daily_tables_report(spark, sf_dir):
+    """The export as it lies, one table a day: written, bounded by table names and dates, read back, summed by day.
+
+    Each call writes the tables anew beside the last ones, which a reader may still hold."""
+    root = warehouse_dir(spark, f"export-{uuid.uuid4().hex}")
+    G.write_daily(D.nested_export(_events(spark, sf_dir)), root)
+    flat = G.read_export(spark, f"{root}/events_*", *P.EXPORT_PERIOD)
+    return flat.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("user_pseudo_id").alias("users"),
+        F.count_distinct("user_pseudo_id", "ga_session_id").alias("sessions"), F.count("page_location").alias("with_page"),
+        F.count_if(F.col("event_name") == V.PAGE_VIEW).alias("page_views"), F.min("event_ts").alias("first_at"))
+
+
+def param_names(spark, sf_dir):
+    """Names and type slots of the parameters that every event comes with."""
+    return Q.param_names(D.nested_export(_events(spark, sf_dir)))
+
+
+def param_formats(spark, sf_dir):
+    """The most frequent value formats of every parameter (digits kept as 9, letters folded)."""
+    return Q.param_formats(D.nested_export(_events(spark, sf_dir)), top=P.FORMATS_PER_PARAM)
+
+
 PARAM_COLUMNS = ["ga_session_id", "page_location", "lead_name", "payment_type", "booking_status",
                  "p_journey_is_destex", "p_journey_code", "p_departure_date", "p_sub_category",
                  "experiment_id", "variation_id", "cta_name", "cta_type", "voyage_funnel_step_name",
@@ -351,7 +384,10 @@ _RAW_QUERIES: dict[str, Query] = {
     "propensity_score_contract": propensity_score_contract,
     "propensity_rule_metrics": propensity_rule_metrics,
     "nested_param_daily": nested_param_daily,
+    "daily_tables_report": daily_tables_report,
     "param_coverage": param_coverage,
+    "param_names": param_names,
+    "param_formats": param_formats,
 }
 
 QUERIES: dict[str, Query] = {k: _present(v) for k, v in _RAW_QUERIES.items()}
