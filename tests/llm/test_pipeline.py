@@ -19,8 +19,9 @@ def _kept_by_quality(text):
     return n >= 50 and 100 * repeat <= 50 * n and quality_bands.compression_verdict(text.encode(), zstandard.ZstdCompressor(level=3))[0]
 
 
-def _copies(doc_id, mean):
-    u = int(hashlib.md5(f"{mixing.SEED}:{doc_id}:0".encode()).hexdigest()[:13], 16) / 2 ** 52
+def _copies(doc_id, text, mean):
+    own = hashlib.md5(text.encode()).hexdigest()
+    u = int(hashlib.md5(f"{mixing.SEED}:{doc_id}:{own}:0".encode()).hexdigest()[:13], 16) / 2 ** 52
     return sum(x <= u for x in mixing.distribution(mean))
 
 
@@ -42,7 +43,7 @@ def test_run_equals_plain_python(spark):
         sizes[g] = sizes.get(g, 0) + len(text[i])
     mean = mixing.rates(sizes, mixing.WEIGHTS, mixing.OTHER_WEIGHT)
     want = sorted((i, c, text[i], len(text[i])) for i in clean
-                  for c in range(_copies(i, mean[docs[i].source if docs[i].source in mixing.WEIGHTS else None])))
+                  for c in range(_copies(i, text[i], mean[docs[i].source if docs[i].source in mixing.WEIGHTS else None])))
     got = sorted((r.doc_id, r.copy, r.text, r.n_chars) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
 

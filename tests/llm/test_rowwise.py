@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, awkward, docs_df, rows, with_clashes
 from wayfare.llm import language_id, mixing, quality_bands, token_counts, url_filter
@@ -229,3 +230,22 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(docs_df(spark, [None, ""])).count() == 0
     assert mixing.mix(docs_df(spark, ["ab"] * 9), {}).count() > 0
     assert spark.createDataFrame([], SCHEMA).count() == 0
+
+
+def test_mixing_draws_every_row_on_its_own(spark):
+    """Rows without an id, under one id, or alike in every column: each has its own Poisson draw."""
+    words = [f"document number {i} of a source" for i in range(2000)]
+    none = docs_df(spark, [("null", t) for t in words])
+    shared = none.drop("doc_id").withColumn("doc_id", F.lit(7).cast("long")).select(none.columns)
+    alike = docs_df(spark, [("null", "the same row")] * 2000)
+    for df in (none, shared, alike):
+        out = mixing.mix(df, {}).groupBy("text").count().collect()
+        copies = [r["count"] for r in out]
+        assert 1800 < sum(copies) < 2200
+        if df is not alike:
+            assert 0.60 < len(copies) / 2000 < 0.67 and 2 < max(copies) < 12       # 1 - 1/e of them are drawn
+    numbered = mixing.mix(alike, {}).select("copy", "shuffle_key").collect()
+    assert sorted(r.copy for r in numbered) == list(range(len(numbered))) and len({r.shuffle_key for r in numbered}) == len(numbered)
+    assert rows(mixing.mix(alike.repartition(5), {})) == rows(mixing.mix(alike, {}))
+    mixed = docs_df(spark, [(0, "a b"), (0, "a b"), (0, "c d")], ["en", "en", "en"])
+    assert mixing.mix(mixed, {}, wanted=3 * 700.0).groupBy("text").count().count() == 2

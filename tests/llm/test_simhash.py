@@ -1,4 +1,5 @@
 """SimHash near-duplicates against a plain-Python fingerprint and all pairs."""
+import hashlib
 import random
 import re
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tests.llm.helpers import awkward, docs_df, rows, with_clashes
+from tests.llm.helpers import SCHEMA, awkward, docs_df, rows, with_clashes
 from wayfare.llm import simhash as S
 
 
@@ -117,3 +118,41 @@ def test_awkward_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
     texts = ["one two three four five six"] * 3
     assert [r.component_id for r in S.near_duplicates(docs_df(spark, texts, first_id=7)).collect()] == [7, 7, 7]
+
+
+def test_no_text_is_lost_whatever_the_ids(spark):
+    """Every component keeps exactly one row: repeated ids with other texts, rows without an id, equal rows."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "uno dos tres cuatro cinco seis")
+
+    def frame(*given):
+        return spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(given)], SCHEMA)
+
+    def kept(*given):
+        df = frame(*given)
+        assert S.one_of_each(df).columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in S.one_of_each(df).collect()), key=str)
+    assert kept((1, a), (2, a), (2, b)) == [(1, a), (2, b)]
+    assert kept((2, a), (2, b), (2, b), (3, c)) == [(2, a), (2, b), (3, c)]
+    assert kept((None, a), (None, a), (5, a)) == [(5, a)]
+    assert kept((None, a), (None, a), (None, b)) == [(None, a), (None, b)]
+    assert kept((4, a), (4, a)) == [(4, a)] and kept((1, b), (9, None), (8, ""), (None, None)) == [(1, b), (8, "")]
+
+
+def test_dirty_ids_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    base = [[rng.choice(words) for _ in range(30)] for _ in range(25)]
+    given = []
+    for _ in range(160):
+        t = list(rng.choice(base))
+        if rng.random() < 0.4:
+            t[rng.randrange(30)] = rng.choice(words)
+        given.append((rng.choice([None, rng.randint(1, 30), rng.randint(1, 400)]), " ".join(t)))
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(given)], SCHEMA)
+    root = _components(list(range(160)), [_fingerprint(t) for _, t in given], 4)
+    signed = [f - 2 ** 64 if f >= 2 ** 63 else f for f in (_fingerprint(t) for _, t in given)]
+    best = {}
+    for k, (i, t) in enumerate(given):
+        order = (i is None, i or 0, signed[k], hashlib.md5(t.encode()).hexdigest())
+        best[root[k]] = min(best.get(root[k], (order, (i, t))), (order, (i, t)), key=lambda x: x[0])
+    assert sorted(((r.doc_id, r.text) for r in S.one_of_each(df).collect()), key=str) == sorted((v for _, v in best.values()), key=str)

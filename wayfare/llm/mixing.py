@@ -6,9 +6,12 @@ in characters.  A source's documents are repeated at the mean rate
     rate = weight share * characters wanted / characters of the source,
 
 each document a Poisson number of times.  The number is read off the inverse
-distribution function at a uniform number hashed from seed and document id,
-so it needs no state, no second pass over a source and no knowledge of which
-task holds the document, and a lost task makes the same copies again.  Means
+distribution function at a uniform number hashed from seed, document id and
+text, so it needs no state, no second pass over a source and no knowledge of
+which task holds the document, and a lost task makes the same copies again.
+Rows that share an id, or have none, are drawn on their own.  Rows that are
+alike in every column are counted first and drawn once for each of them, so a
+thousand equal rows neither live nor die together.  Means
 over ``MAX_MEAN`` are split into equal parts drawn one by one (a sum of
 Poisson numbers is Poisson), which keeps ``exp(-mean)`` in range.
 
@@ -20,9 +23,10 @@ included, form one group of weight ``other``.  So the statistics that reach
 the driver are one row for each named weight and one more, whatever the data.
 
 Defined results: a null text has length 0; a group without characters (or of
-weight 0) gets rate 0 and leaves its share to the others; a null id hashes
-like the empty string; repeated rows are repeated alike; an empty table gives
-an empty result.  Added columns are renamed with trailing underscores where
+weight 0) gets rate 0 and leaves its share to the others; a null id or text
+hashes like the empty string; of repeated rows each has its own draw and their
+copies are numbered through (rows that share id and text but differ in another
+column share their draws); an empty table gives an empty result.  Added columns are renamed with trailing underscores where
 the input has the name already.
 """
 
@@ -76,7 +80,8 @@ def uniform(seed: int, key: Column, part: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
 
 
-def poisson(seed: int, key: Column, mean: float) -> Column:
+def poisson(seed: int, key: Column, mean: float, times: Column | None = None) -> Column:
+    """A Poisson number, or the sum of ``times`` of them."""
     if mean <= 0:
         return F.lit(0)
     parts = math.ceil(mean / MAX_MEAN)
@@ -86,29 +91,44 @@ def poisson(seed: int, key: Column, mean: float) -> Column:
         u = uniform(seed, key, part)
         return F.size(F.filter(steps, lambda x: x <= u))
 
-    if parts == 1:
+    if parts == 1 and times is None:
         return drawn(F.lit(0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lambda total, part: total + drawn(part))
+    draws = F.lit(parts) if times is None else (times * parts).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), draws - 1), F.lit(0), lambda total, part: total + drawn(part))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: float = OTHER_WEIGHT, seed: int = SEED,
         wanted: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of ``docs`` and, for every copy, ``copy`` (from 0) and ``shuffle_key``, in shuffled order."""
     mean = rates(group_sizes(docs, weights, text_col, source_col), weights, other, wanted)
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    columns = docs.columns
+    key = F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
+                      F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     source = F.col(f"`{source_col}`")
-    copies = F.lit(0)
-    if mean.get(None):
-        copies = poisson(seed, key, mean[None])
-    named = [g for g in mean if g is not None]
-    if named:
-        cases = F.when(source == named[0], poisson(seed, key, mean[named[0]]))
-        for g in named[1:]:
-            cases = cases.when(source == g, poisson(seed, key, mean[g]))
-        copies = cases.otherwise(copies)
+
+    def copies(times: Column | None) -> Column:
+        out = poisson(seed, key, mean[None], times) if mean.get(None) else F.lit(0)
+        named = [g for g in mean if g is not None]
+        if named:
+            cases = F.when(source == named[0], poisson(seed, key, mean[named[0]], times))
+            for g in named[1:]:
+                cases = cases.when(source == g, poisson(seed, key, mean[g], times))
+            out = cases.otherwise(out)
+        return out
+
     copy, shuffle_key = free_name(docs, "copy"), free_name(docs, "shuffle_key")
-    n = free_name(docs, "n_copies")
-    return (docs.withColumn(n, copies).filter(F.col(f"`{n}`") > 0)
+    n, times, hashed = free_name(docs, "n_copies"), free_name(docs, "n_rows"), free_name(docs, "row_key")
+    # which (id, text) stand more than once: hashes only are shuffled, and mostly there are none
+    repeated = docs.groupBy(F.xxhash64(key).alias(hashed)).count().filter("count > 1").select(hashed)
+    if repeated.isEmpty():
+        drawn = docs.withColumn(n, copies(None))
+    else:
+        marked = docs.withColumn(hashed, F.xxhash64(key))
+        once = marked.join(repeated, hashed, "left_anti").withColumn(n, copies(None))
+        more = (marked.join(repeated, hashed, "left_semi").groupBy(*[F.col(f"`{c}`") for c in columns])
+                .agg(F.count(F.lit(1)).alias(times)).withColumn(n, copies(F.col(times))))
+        drawn = once.select(*[f"`{c}`" for c in columns], n).union(more.select(*[f"`{c}`" for c in columns], n))
+    return (drawn.filter(F.col(f"`{n}`") > 0)
             .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"`{n}`") - 1))).drop(n)
             .withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed} place"), key, F.col(copy).cast("string"))))
             .repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key))

@@ -37,7 +37,7 @@ steps AS (
     SELECT g, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS at_most
     FROM rates, range(200) t(k)),
 drawn AS (
-    SELECT d.*, CAST('0x' || substr(md5('20:' || CAST(doc_id AS VARCHAR) || ':0'), 1, 13) AS BIGINT)
+    SELECT d.*, CAST('0x' || substr(md5('20:' || doc_id || ':' || md5(coalesce(text, '')) || ':0'), 1, 13) AS BIGINT)
                 / 4503599627370496.0 AS u
     FROM grouped d),
 counted AS (
@@ -46,7 +46,7 @@ counted AS (
     FROM drawn d JOIN steps s ON d.g IS NOT DISTINCT FROM s.g AND s.at_most <= d.u
     GROUP BY d.doc_id)
 SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy,
-       md5('20 place:' || CAST(doc_id AS VARCHAR) || ':' || CAST(c AS VARCHAR)) AS shuffle_key
+       md5('20 place:' || doc_id || ':' || md5(coalesce(text, '')) || ':' || c) AS shuffle_key
 FROM counted, range(copies) t(c)
 """
 

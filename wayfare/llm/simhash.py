@@ -38,6 +38,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -232,33 +233,55 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, most: int = CELL_MEMBERS
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
-                    distance: int = MAX_DISTANCE) -> DataFrame:
-    """(id, fingerprint, component_id) of every row."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, distance: int) -> DataFrame:
+    """(id, fp, root, component_id) of every row."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(distinct.select("fp"), distance))
     own = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = own.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                           "component_id")
+    by_fp = own.select("fp", "root").join(ids, "root")
+    return marked.join(by_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+                    distance: int = MAX_DISTANCE) -> DataFrame:
+    """(id, fingerprint, component_id) of every row."""
+    return _groups(docs, id_col, text_col, shingle_words, distance).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                 distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+    """``docs`` with one row of each component: the one with the smallest (id, fingerprint, md5 of the text), nulls last.
 
-    Rows that repeat that id are reduced to one of them; rows without an id
-    cannot be told apart and stay.
+    Rows are told apart by id where ids are distinct.  Rows that share an id
+    or have none are judged row by row: their fingerprints are made again and
+    lead to their components, so every component keeps a row and each other
+    row goes, whatever ids they carry.
     """
     columns, key = docs.columns, free_name(docs, "_id")
-    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle_words, distance).select(
-        F.col(f"`{id_col}`").alias(key), "component_id"))
-    others = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    found = checkpointed(_groups(docs, id_col, text_col, shingle_words, distance).withColumnRenamed("id", key))
     same = F.col(f"`{id_col}`") == F.col(key)
-    kept = docs.join(others, same, "left_anti")
-    repeated = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([id_col]))
-    return kept.select(*[f"`{c}`" for c in columns])
+    unsure = checkpointed(found.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).select(key))
+    if unsure.isEmpty():
+        others = found.filter(F.col(key) != F.col("component_id")).select(key)
+        return docs.join(others, same, "left_anti").select(*[f"`{c}`" for c in columns])
+    best = (found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("fp").alias("fp"))).alias("b"))
+            .select(F.col("root").alias("_root"), F.col("b.id").alias("_best"), F.col("b.fp").alias("_fp")))
+    others = found.join(best, found[key].eqNullSafe(best["_best"]) & (found["fp"] == best["_fp"]), "left_anti").select(key)
+    sure = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(unsure.union(others), same, "left_anti")
+    rows = docs.join(unsure, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_semi").select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    made = rows.withColumn("fp", F.pandas_udf(_fingerprints_of(shingle_words), "long")("text"))
+    winners = made.join(best, made["id"].eqNullSafe(best["_best"]) & (made["fp"] == best["_fp"]))
+    order = F.struct(F.md5(F.coalesce("text", F.lit(""))), F.xxhash64("row"))
+    picked = winners.groupBy("_root").agg(F.min_by("row", order).alias("row"))
+    return sure.select(*[f"`{c}`" for c in columns]).union(picked.select(*[F.col("row").getField(c).alias(c) for c in columns]))
+
+
+def _fingerprints_of(shingle_words: int):
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle_words) for t in texts], dtype="int64")
+
+    return made
