@@ -13,7 +13,8 @@ def _bench(spark, texts):
 
 def _brute(texts, items, threshold, least):
     """All verified (document, item) pairs, every passage scored against every item."""
-    used = [(i, D.words_of(t), t) for i, t in enumerate(items) if len(D.words_of(t)) >= D.MIN_ITEM_WORDS]
+    used = [(i, D.words_of(t), t) for i, t in enumerate(items) if len(D.words_of(t)) >= D.SHORT_ITEM_WORDS]
+    short = [(i, w) for i, t in enumerate(items) if 0 < len(w := D.words_of(t)) < D.SHORT_ITEM_WORDS]
     n, mean = len(used), sum(len(w) for _, w, _ in used) / len(used)
     freq = Counter(x for _, w, _ in used for x in set(w))
     impact = {}
@@ -24,6 +25,7 @@ def _brute(texts, items, threshold, least):
     out = set()
     for d, text in enumerate(texts):
         words = D.words_of(text)
+        out |= {(d, i) for i, w in short if any(words[k:k + len(w)] == w for k in range(len(words)))}
         for i, w, t in used:
             size = 1 << max(5, (len(w) - 1).bit_length())
             question, answer = D.question_and_answer(t)
@@ -43,7 +45,7 @@ def _corpus(seed, n_items=70, n_docs=60):
         return " ".join(rng.choices(vocabulary, [1 / (i + 3) for i in range(400)], k=n))
 
     items = [f"{prose(rng.randint(3, 30))}. {prose(rng.randint(2, 30))}{rng.choice(['.', '? ' + prose(3)])}" for _ in range(n_items)]
-    items += ["", "a b", items[0]]
+    items += ["", "a b", items[0], "a", "a b", "e. I d", "Kt"]
     texts = []
     for _ in range(n_docs):
         parts = [prose(rng.randint(0, 200))]
@@ -120,3 +122,22 @@ def test_awkward_rows(spark):
     kept = D.clean_documents(with_clashes(df), bench)
     assert kept.columns == with_clashes(df).columns and kept.count() == df.count() - 2
     assert D.clean_documents(df, bench.limit(0)).count() == df.count()
+
+
+def test_short_items_match_their_whole_word_sequence(spark):
+    items = ["Capital of France? Paris", "Yes", "two  words", "of France?", None, "?!"]
+    texts = ["A text: capital of France -- PARIS it is", "the capital of Spain? Paris", "yes", "eyes", "two. Words", "two other words", ""]
+    docs, bench = docs_df(spark, texts), _bench(spark, items)
+    got = sorted((r.doc_id, r.item_id, r.score) for r in D.contaminated(docs, bench).collect())
+    assert got == [(0, 0, 1.0), (0, 3, 1.0), (2, 1, 1.0), (4, 2, 1.0)]
+    assert sorted(r.doc_id for r in D.clean_documents(docs, bench).collect()) == [1, 3, 5, 6]
+
+
+def test_an_item_larger_than_the_limit_is_searched_for(spark):
+    rng = random.Random(2)
+    large = " ".join(f"w{i:x}" for i in rng.sample(range(10 ** 7), 40_000))
+    small = "what is the answer to this question here? it is this one"
+    docs = docs_df(spark, [f"before {large} after", f"some text {small} and more", "nothing", " ".join(large.split()[:9_000])])
+    bench = _bench(spark, [small, large])
+    assert sorted((r.doc_id, r.item_id) for r in D.contaminated(docs, bench, limit=200_000).collect()) == [(0, 1), (1, 0)]
+    assert sorted(r.doc_id for r in D.clean_documents(docs, bench, limit=200_000).collect()) == [2, 3]

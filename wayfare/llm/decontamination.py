@@ -22,16 +22,18 @@ No bound is below a true score, so nothing above the threshold is missed.
 Verification.  An item's last sentence is its answer (what follows the last
 ``?``, if anything does), the rest its question; of both, at least
 ``OVERLAP`` of the five-word shingles (all its words, if fewer) must stand in
-the passage.
+the passage.  Items under ``SHORT_ITEM_WORDS`` words have hardly a score to
+rank: they match where their whole word sequence stands in the text, and count
+in no statistic of the others.
 
 The index is collected in parts of about ``part_chars`` characters of items.
 Every part's index is measured and halved by item length until its broadcast
-copy fits ``limit`` bytes; several parts take several passes over the
+copy fits ``limit`` bytes; an item whose index alone is larger is shipped by
+itself (one row bounds it).  Several parts take several passes over the
 documents, and the answers do not depend on the parts.
 
 Defined results: a null or empty text, and an empty benchmark, give no pairs;
-items under ``MIN_ITEM_WORDS`` words (null and empty ones with them) are too
-common to be told from prose and are not indexed; repeated rows give repeated
+items without a word (null and empty ones with them) are in no text; repeated rows give repeated
 answers of one pair each row; equal items are all reported; texts are read
 whole; further columns are ignored.
 """
@@ -61,7 +63,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-MIN_ITEM_WORDS = 5
+SHORT_ITEM_WORDS = 5
 BLOCK_ITEMS = 4
 #: Columns of the first bound; wider item ranges share one beyond it.
 BOUND_COLUMNS = 32
@@ -208,8 +210,13 @@ class Index:
         n_words = len(self.vocabulary)
         common = {self.vocabulary[w] for w, n in frequency.items() if n > COMMON_SHARE * n_items}
         by_class: dict[int, list] = {}
+        self.alone = len(rows) == 1
+        self.short: dict[str, list[tuple[list[str], object]]] = {}      # first word -> word sequence and key
         for key, text in rows:
             words = words_of(text)
+            if len(words) < SHORT_ITEM_WORDS:
+                self.short.setdefault(words[0], []).append((words, key))
+                continue
             by_class.setdefault(length_class(len(words)), []).append((key, text, words))
         self.classes = []
         for size, members in sorted(by_class.items()):
@@ -243,21 +250,31 @@ class Index:
                     if q >= least_overlap and a >= least_overlap:
                         best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (min(1.0, score), q, a))
             out += [(c.keys[i], *x) for i, x in sorted(best.items())]
+        if self.short and not self.short.keys().isdisjoint(words):
+            held = {id(item): item[1] for i, w in enumerate(words) for item in self.short.get(w, ())
+                    if words[i:i + len(item[0])] == item[0]}
+            out += [(key, 1.0, 1.0, 1.0) for key in held.values()]
         return out
 
+    def shared(self, spark, limit: int):
+        """Its broadcast copy: measured, but for a single item's."""
+        return spark.sparkContext.broadcast(self) if self.alone else bounded_broadcast(spark, self, max(limit, BROADCAST_BYTES))
+
 
 def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                   part_chars: int = PART_CHARS, limit: int = BROADCAST_BYTES) -> Iterator[Index]:
     """The benchmark in parts of at most ``limit`` bytes each; frequencies are those of all items."""
     id_type = benchmark.select(f"`{id_col}`").schema[0].dataType.simpleString()
     items = by_row(benchmark, {"id": id_col, "text": text_col}, f"id {id_type}, text string, words array<string>, n long",
-                   lambda _, key, text: (key, text, sorted(set(w := words_of(text))), len(w))).filter(F.col("n") >= MIN_ITEM_WORDS)
-    whole = items.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum(F.length("text")).alias("chars")).first()
-    if not whole["items"]:
+                   lambda _, key, text: (key, text, sorted(set(w := words_of(text))), len(w))).filter("n > 0")
+    ranked = F.col("n") >= SHORT_ITEM_WORDS
+    whole = items.agg(F.count_if(ranked).alias("items"), F.avg(F.when(ranked, F.col("n"))).alias("mean"),
+                      F.sum(F.length("text")).alias("chars")).first()
+    if not whole["chars"]:
         return
     parts = -(-whole["chars"] // part_chars)
     items = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
-    found = items.select("part", F.explode("words").alias("word"))
+    found = items.filter(ranked).select("part", F.explode("words").alias("word"))
     frequency = found.groupBy("word").agg(F.count("*").alias("items"))
     for part in range(parts):
         rows = [(r["id"], r["text"]) for r in items.filter(F.col("part") == part).select("id", "text").collect()]
@@ -269,7 +286,7 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 def _fitting(rows: list[tuple], frequency: dict[str, int], n_items: int, mean_words: float, limit: int) -> Iterator[Index]:
     """Indexes of at most ``limit`` bytes; the bound tables are reckoned before they are built."""
-    classes = Counter(length_class(len(words_of(text))) for _, text in rows)
+    classes = Counter(length_class(n) for _, text in rows if (n := len(words_of(text))) >= SHORT_ITEM_WORDS)
     tables = 8 * (len(frequency) + 1) * sum(min(n, BOUND_COLUMNS) for n in classes.values())
     if len(rows) == 1 or tables <= 2 * limit:
         index = Index(sorted(rows, key=str), frequency, n_items, mean_words)
@@ -279,7 +296,7 @@ def _fitting(rows: list[tuple], frequency: dict[str, int], n_items: int, mean_wo
         del index
     rows = sorted(rows, key=lambda r: (len(words_of(r[1])), str(r)))
     for half in (rows[:len(rows) // 2], rows[len(rows) // 2:]):
-        yield from _fitting(half, {w: frequency[w] for _, text in half for w in words_of(text)}, n_items, mean_words, limit)
+        yield from _fitting(half, {w: frequency[w] for _, text in half if len(words_of(text)) >= SHORT_ITEM_WORDS for w in words_of(text)}, n_items, mean_words, limit)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_overlap: float = OVERLAP,
@@ -295,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     names = [id_col, item_col, "score", "question_overlap", "answer_overlap"]
     passes = []
     for index in build_indexes(benchmark, item_col, item_text_col, part_chars, limit):
-        shared = bounded_broadcast(spark, index, max(limit, BROADCAST_BYTES))
+        shared = index.shared(spark, limit)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -312,7 +329,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                     item_text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, without a verified item (narrow, no join)."""
     for index in build_indexes(benchmark, item_col, item_text_col, limit=limit):
-        shared = bounded_broadcast(docs.sparkSession, index, max(limit, BROADCAST_BYTES))
+        shared = index.shared(docs.sparkSession, limit)
         docs = docs.filter(F.pandas_udf(_clean(shared), "boolean")(F.col(f"`{text_col}`")))
     return docs
 
