@@ -19,8 +19,12 @@ not out of a block that has words besides links.
 Structure.  Of the rest, elements that can hold no article text go by tag
 (scripts, forms, navigation, page headers, footers, asides, ...), by role,
 by being hidden, or by a class or id that names a menu, notice, advert,
-comment section and the like.  The text is that of the page's articles; of
-its ``main`` if it has none; of the whole body if it has neither.
+comment section and the like.  Inside an article a name counts only as a whole
+(``share-buttons``, not ``share-price``), and takes a paragraph, heading or
+list item with it only if it is mostly links or the name is that of adverts,
+comments or consent.  The text is that of the page's articles, or of its
+``main`` if it has none; if it has both and none of the articles lies within
+``main``, of both; of the whole body if it has neither.
 
 Text.  Character references are decoded, white space within a block becomes
 one space, blocks are trimmed and joined by one line feed in page order,
@@ -89,6 +93,14 @@ NAMES = frozenset(
     "consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice notices overlay pager pagination paywall popup promo promotion related recommended respond share sharing "
     "sidebar signup skiplink social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Words that a name may have besides, and names that no paragraph of an article has.
+FILLERS = frozenset(
+    "area articles bar block blocks body bottom box buttons container content form icons inner inline item items left link "
+    "links list module news outer panel posts right section slot stories thread tools top unit wrap wrapper".split())
+STRONG = frozenset(
+    "ad ads adsense advert adverts advertisement advertising adbox adslot comment comments consent cookie cookies disqus gdpr "
+    "newsletter paywall sponsored subscribe subscription".split())
+PARAGRAPHS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption".split())
 KEPT_WHOLE = frozenset("html body main article".split())
 HEADINGS = frozenset("header masthead banner".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -244,22 +256,30 @@ def _boilerplate(node: Node) -> bool:
 
 
 def _named(node: Node, names: frozenset, values: dict | None = None) -> bool:
-    """A class or id whose first or last word is one of ``names``."""
+    """A class or id whose first or last word is one of ``names``; inside an article all its words must be names or fillers."""
     if values is None:
         values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
     for name in f"{values.get('class', '')} {values.get('id', '')}".split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
         if not words or words[0] in NOT_PREFIX:
             continue
-        hit = {words[0], words[-1]} & names
-        if hit and not (hit <= HEADINGS and node.in_article):
+        if not node.in_article:
+            if {words[0], words[-1]} & names:
+                return True
+            continue
+        hit = (set(words) & names) - HEADINGS
+        if not hit or set(words) - names - FILLERS:
+            continue
+        running = node.tag in PARAGRAPHS or node.tag not in BLOCK
+        if not running or hit & STRONG or node.link_letters > LINK_SHARE * node.letters:
             return True
     return False
 
 
 def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
     """Text of the main content without boilerplate and template subtrees."""
-    chosen: dict[str, list[Node]] = {"article": [], "main": []}
+    chosen: list[tuple[str, Node]] = []             # in page order
+    nested = False                                  # an article lies within ``main``
     dropped: set[int] = set()
     stack = [(root, None)]
     while stack:
@@ -269,7 +289,8 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
             continue
         kind = "article" if node.tag == "article" else "main" if node.is_main else None
         if kind and inside != kind and not (inside == "article"):
-            chosen[kind].append(node)
+            chosen.append((kind, node))
+            nested = nested or (kind == "article" and inside == "main")
             inside = kind
         stack.extend((c, inside) for c in reversed(node.children) if not isinstance(c, str))
     blocks: list[str] = []
@@ -281,7 +302,7 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
             blocks.append(text)
         buffer.clear()
 
-    for top in chosen["article"] or chosen["main"] or [root]:
+    for top in [n for kind, n in chosen if kind == "article" or not nested] or [root]:
         walk: list = [top]
         while walk:
             item = walk.pop()
