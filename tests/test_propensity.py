@@ -83,3 +83,20 @@ def test_market_opt_in(spark):
     assert len(imp) == 24 and max(imp, key=imp.get) == "market_idx"
     scored = PR.score(model, df.limit(50))
     assert scored.filter(F.col("propensity_score").isNull()).count() == 0
+
+
+def test_both_sides_of_the_early_stop_split_hold_users(spark):
+    import pytest
+    for n in (2, 3, 7, 400):
+        df = spark.range(n).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_pseudo_id"))
+        df = df.union(df)
+        got = df.withColumn("v", PR._validation_users(df, 42, 0.2)).groupBy("user_pseudo_id").agg(F.count_distinct("v").alias("k"), F.max("v").alias("v"))
+        sides = {r.v for r in got.collect()}
+        assert sides == {True, False} and got.filter("k > 1").isEmpty()
+        if n == 400:                            # of many users the plain share by bucket
+            by_bucket = df.withColumn("v", PR.user_bucket(43) < 20).filter("v").distinct().count()
+            assert got.filter("v").count() == by_bucket
+    with pytest.raises(ValueError, match="two training users"):
+        PR._validation_users(df.limit(1), 42, 0.2)
+    with pytest.raises(ValueError, match="two training users"):
+        PR._validation_users(df.limit(0), 42, 0.2)

@@ -268,13 +268,15 @@ def model_features(include_market: bool = False) -> list[str]:
     return FEATURES + (["market_idx"] if include_market else [])
 
 
-def _validation_users(seed: int, share: float) -> Column:
-    return user_bucket(seed + 1) < F.lit(int(share * 100))
-
-
-def early_stop_possible(train: DataFrame, seed: int = 42, validation_share: float = 0.2) -> bool:
-    """Whether both sides of the early-stop split hold users (reads two distinct flags)."""
-    return train.select(_validation_users(seed, validation_share)).distinct().count() == 2
+def _validation_users(train: DataFrame, seed: int, share: float) -> Column:
+    """Whether a training user stops the training early: ``share`` of the users by bucket, always the one of
+    lowest bucket (ties by id), never the one of highest.  The same rule at every size; two users suffice."""
+    bucket = user_bucket(seed + 1)
+    ends = train.agg(F.min(F.struct(bucket.alias("b"), F.col(U).alias("u"))).alias("low"),
+                     F.max(F.struct(bucket.alias("b"), F.col(U).alias("u"))).alias("high")).first()
+    if ends.low is None or ends.low.u == ends.high.u:
+        raise ValueError("fewer than two training users: no early-stop split; pass early_stop=False")
+    return (F.col(U) == ends.low.u) | ((bucket < F.lit(int(share * 100))) & (F.col(U) != ends.high.u))
 
 
 def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: int = 42,
@@ -286,22 +288,20 @@ def fit_propensity(train: DataFrame, features: list[str] | None = None, seed: in
     row subsample 0.8, column sample 0.8 (per split in Spark), early stop
     with min relative progress 0.001 on a user-level validation split carved
     out of the training users, balanced class weights.  Spark's GBT has no
-    L1/L2 leaf penalties.  With ``early_stop`` both sides of that split must
-    hold users; an input too small for it is refused, never trained otherwise
-    without notice (pass ``early_stop=False`` to train all rounds)."""
+    L1/L2 leaf penalties.  With ``early_stop`` a single training user is
+    refused, never trained otherwise without notice (pass ``early_stop=False``
+    to train all rounds)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     features = features or model_features(include_market)
-    t = class_weights(train).withColumn("is_validation", _validation_users(seed, validation_share))
-    t = t.withColumn("label", F.col("target_conversion").cast("double"))
+    t = class_weights(train).withColumn("label", F.col("target_conversion").cast("double"))
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     stop = {}
     if early_stop:
         stop = {"validationIndicatorCol": "is_validation", "validationTol": 0.001}
-        if not early_stop_possible(train, seed, validation_share):
-            raise ValueError("no users on one side of the early-stop split; pass early_stop=False")
+        t = t.withColumn("is_validation", _validation_users(train, seed, validation_share))
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="class_weight",
                         maxIter=max_iter, stepSize=0.1, maxDepth=6, minInstancesPerNode=1,
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **stop)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +110,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # a machine-local folder would vanish with the executor that wrote it
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="wayfare-ckpt-")
+        atexit.register(shutil.rmtree, configured, True)       # a scratch folder of this process only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
