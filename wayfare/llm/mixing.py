@@ -80,21 +80,22 @@ def uniform(seed: int, key: Column, part: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
 
 
-def poisson(seed: int, key: Column, mean: float, times: Column | None = None) -> Column:
-    """A Poisson number, or the sum of ``times`` of them."""
+def poisson(seed: int, key: Column, mean: float, first: Column, times: Column | None = None) -> Column:
+    """A Poisson number, or the sum of ``times`` of them; ``first`` is the key's uniform number of part 0."""
     if mean <= 0:
         return F.lit(0)
     parts = math.ceil(mean / MAX_MEAN)
     steps = F.array(*[F.lit(x) for x in distribution(mean / parts)])
 
-    def drawn(part: Column) -> Column:
-        u = uniform(seed, key, part)
+    def drawn(u: Column) -> Column:
         return F.size(F.filter(steps, lambda x: x <= u))
 
     if parts == 1 and times is None:
-        return drawn(F.lit(0))
+        # bound as a variable: the number is made once, not for each step it is held against
+        return F.element_at(F.transform(F.array(first), drawn), 1)
     draws = F.lit(parts) if times is None else (times * parts).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), draws - 1), F.lit(0), lambda total, part: total + drawn(part))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), draws - 1), lambda part: uniform(seed, key, part)), F.lit(0),
+                       lambda total, u: total + drawn(u))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: float = OTHER_WEIGHT, seed: int = SEED,
@@ -102,33 +103,34 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: float =
     """All columns of ``docs`` and, for every copy, ``copy`` (from 0) and ``shuffle_key``, in shuffled order."""
     mean = rates(group_sizes(docs, weights, text_col, source_col), weights, other, wanted)
     columns = docs.columns
-    key = F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
-                      F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     source = F.col(f"`{source_col}`")
+    copy, shuffle_key, key = (free_name(docs, c) for c in ("copy", "shuffle_key", "row_key"))
+    n, times, hashed, first = (free_name(docs, c) for c in ("n_copies", "n_rows", "row_hash", "drawn"))
 
-    def copies(times: Column | None) -> Column:
-        out = poisson(seed, key, mean[None], times) if mean.get(None) else F.lit(0)
+    def copies(df: DataFrame, times: Column | None) -> DataFrame:
+        """``df`` with the number of copies of each row; key and first number are columns, so that a text is digested once."""
+        own, u = F.col(f"`{key}`"), F.col(f"`{first}`")
+        out = poisson(seed, own, mean[None], u, times) if mean.get(None) else F.lit(0)
         named = [g for g in mean if g is not None]
         if named:
-            cases = F.when(source == named[0], poisson(seed, key, mean[named[0]], times))
+            cases = F.when(source == named[0], poisson(seed, own, mean[named[0]], u, times))
             for g in named[1:]:
-                cases = cases.when(source == g, poisson(seed, key, mean[g], times))
+                cases = cases.when(source == g, poisson(seed, own, mean[g], u, times))
             out = cases.otherwise(out)
-        return out
+        return df.withColumn(first, uniform(seed, own, F.lit(0))).withColumn(n, out).select(*[f"`{c}`" for c in columns], key, n)
 
-    copy, shuffle_key = free_name(docs, "copy"), free_name(docs, "shuffle_key")
-    n, times, hashed = free_name(docs, "n_copies"), free_name(docs, "n_rows"), free_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
+                                             F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
     # which (id, text) stand more than once: hashes only are shuffled, and mostly there are none
-    repeated = docs.groupBy(F.xxhash64(key).alias(hashed)).count().filter("count > 1").select(hashed)
+    repeated = keyed.groupBy(F.xxhash64(key).alias(hashed)).count().filter("count > 1").select(hashed)
     if repeated.isEmpty():
-        drawn = docs.withColumn(n, copies(None))
+        drawn = copies(keyed, None)
     else:
-        marked = docs.withColumn(hashed, F.xxhash64(key))
-        once = marked.join(repeated, hashed, "left_anti").withColumn(n, copies(None))
-        more = (marked.join(repeated, hashed, "left_semi").groupBy(*[F.col(f"`{c}`") for c in columns])
-                .agg(F.count(F.lit(1)).alias(times)).withColumn(n, copies(F.col(times))))
-        drawn = once.select(*[f"`{c}`" for c in columns], n).union(more.select(*[f"`{c}`" for c in columns], n))
+        marked = keyed.withColumn(hashed, F.xxhash64(key))
+        once = copies(marked.join(repeated, hashed, "left_anti"), None)
+        more = marked.join(repeated, hashed, "left_semi").groupBy(*[F.col(f"`{c}`") for c in columns], key).agg(F.count(F.lit(1)).alias(times))
+        drawn = once.union(copies(more, F.col(times)))
     return (drawn.filter(F.col(f"`{n}`") > 0)
-            .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"`{n}`") - 1))).drop(n)
-            .withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed} place"), key, F.col(copy).cast("string"))))
-            .repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key))
+            .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"`{n}`") - 1)))
+            .withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed} place"), F.col(f"`{key}`"), F.col(copy).cast("string"))))
+            .drop(n, key).repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key))
