@@ -42,9 +42,12 @@ def slots_of(raw: DataFrame, params: str = "event_params") -> list[str]:
     return [s for s in SLOTS if f"{s}_value" in fields]
 
 
-def _entries(raw: DataFrame, by: list[str], params: str) -> DataFrame:
-    """One row a parameter of an event: the groups, ``key``, one column a slot, and ``nth`` occurrence of its key."""
+def _entries(raw: DataFrame, by: list[str], params: str, numbered: bool = False) -> DataFrame:
+    """One row a parameter of an event: the groups, ``param``, one column a slot, and, where ``numbered``, the ``nth`` occurrence of its key."""
     slots = slots_of(raw, params)
+    if not numbered:
+        return (raw.select(*by, F.explode(params).alias("p"))
+                .select(*by, F.col("p.key").alias("param"), *[F.col(f"p.value.{s}_value").alias(s) for s in slots]))
     nth = F.transform(F.col(params), lambda p, i: F.struct(
         p["key"].alias("key"), p["value"].alias("value"),
         F.size(F.filter(F.slice(F.col(params), 1, i), lambda q: q["key"] == p["key"])).alias("nth")))
@@ -58,7 +61,7 @@ def param_names(raw: DataFrame, by: list[str] | None = None, params: str = "even
     empty strings, entries without any value, entries with several, and repetitions within an event."""
     by = by or ["event_name"]
     slots = slots_of(raw, params)
-    e = _entries(raw, by, params)
+    e = _entries(raw, by, params, numbered=True)
     filled = sum((F.col(s).isNotNull().cast("int") for s in slots), F.lit(0))
     found = e.groupBy(*by, "param").agg(
         F.count_if(F.col("nth") == 0).alias("with_name"),
