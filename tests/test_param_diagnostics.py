@@ -108,3 +108,18 @@ def test_a_sketch_of_very_many_values_stays_within_its_bound(spark):
     exact = {"often": n // 4, "sometimes": sum(i % 4 != 0 and i % 10 == 1 for i in range(n))}
     assert set(got) == set(exact)
     assert all(abs(got[v] - exact[v]) <= 3.5 * n / tracked for v in exact)
+
+
+def test_formats_read_the_events_once_and_count_repeated_values(spark):
+    row = [("k", ("a1", None, None, None)), ("k", ("a1", None, None, None)), ("k", ("b22", None, None, None)), ("n", (None, 7, None, None)),
+           (None, ("x", None, None, None)), ("e", (None, None, None, None))]
+    raw = spark.createDataFrame([(row,)] * 3 + [(None,), ([],), ([None],)],
+                                "event_params array<struct<key:string,value:struct<string_value:string,int_value:bigint,float_value:double,double_value:double>>>")
+    got = Q.param_formats(raw, 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [("k", "string", "a9", 6, 66.67, "a1", "a1"), ("n", "int", "9", 3, 100.0, "7", "7")]
+    assert sorted(tuple(r) for r in Q.param_formats(raw).collect()) == [
+        ("k", "string", "a9", 6, 66.67, "a1", "a1"), ("k", "string", "a99", 3, 33.33, "b22", "b22"), ("n", "int", "9", 3, 100.0, "7", "7")]
+    assert plan.count("Scan ExistingRDD") == 1
+    # a value is counted, by a hash, before its format is made
+    assert "keys=[param" in plan and "value#" in next(x for x in reversed(plan.splitlines()) if "Aggregate" in x)

@@ -43,7 +43,7 @@ def slots_of(raw: DataFrame, params: str = "event_params") -> list[str]:
 
 
 def _entries(raw: DataFrame, by: list[str], params: str) -> DataFrame:
-    """One row a parameter of an event: the groups, ``key``, one column a slot, and ``nth`` occurrence of its key."""
+    """One row a parameter of an event: the groups, ``param``, one column a slot, and ``nth`` occurrence of its key."""
     slots = slots_of(raw, params)
     nth = F.transform(F.col(params), lambda p, i: F.struct(
         p["key"].alias("key"), p["value"].alias("value"),
@@ -53,6 +53,16 @@ def _entries(raw: DataFrame, by: list[str], params: str) -> DataFrame:
                     *[F.col(f"p.value.{s}_value").alias(s) for s in slots]))
 
 
+def _values(raw: DataFrame, params: str) -> DataFrame:
+    """(param, slot, value, n): every distinct value as text and how often it comes, summed map-side by a hash."""
+    slots = slots_of(raw, params)
+    # the outer explode infers no filter on the array, which planning would unfold through the export's projections
+    e = raw.select(F.explode_outer(params).alias("p")).select(F.col("p.key").alias("param"), *[F.col(f"p.value.{s}_value").alias(s) for s in slots])
+    stack = ", ".join(f"'{s}', CAST({s} AS STRING)" for s in slots)
+    return (e.select("param", F.expr(f"stack({len(slots)}, {stack}) AS (slot, value)")).filter(F.col("value").isNotNull())
+            .groupBy("param", "slot", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def param_names(raw: DataFrame, by: list[str] | None = None, params: str = "event_params") -> DataFrame:
     """Per group and name: events of the group, events with the name, coverage %, values by type slot,
     empty strings, entries without any value, entries with several, and repetitions within an event."""
@@ -83,20 +93,19 @@ def format_of(value: Column) -> Column:
 def param_formats(raw: DataFrame, top: int | None = None, params: str = "event_params", max_chars: int = 80) -> DataFrame:
     """Per name, type slot and format: values, share % of the slot's values, least and greatest value.
 
-    ``top`` keeps the most frequent formats of a name and slot (ties by format); formats are cut at ``max_chars``."""
-    slots = slots_of(raw, params)
-    e = _entries(raw, [], params)
-    values = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).cast("string").alias("value")) for s in slots])
-    long = (e.select("param", F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v"))
-            .select("param", "v.slot", "v.value", F.substring(format_of(F.col("v.value")), 1, max_chars).alias("format")))
-    found = long.groupBy("param", "slot", "format").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
-    totals = found.groupBy("param", "slot").agg(F.sum("n").alias("total"))
-    if top is not None:
+    ``top`` keeps the most frequent formats of a name and slot (ties by format); formats are cut at ``max_chars``.
+    The format is made once for each distinct value, and only those are sorted for the least and greatest."""
+    formatted = _values(raw, params).withColumn("format", F.substring(format_of(F.col("value")), 1, max_chars))
+    found = formatted.groupBy("param", "slot", "format").agg(
+        F.sum("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+    if top is None:
+        found = found.join(found.groupBy("param", "slot").agg(F.sum("n").alias("total")), ["param", "slot"])
+    else:                                       # the ranking's window has the total too: the events are read once
         from pyspark.sql import Window
-        rank = F.row_number().over(Window.partitionBy("param", "slot").orderBy(F.col("n").desc(), "format"))
-        found = found.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
-    return found.join(totals, ["param", "slot"]).select(
+        w = Window.partitionBy("param", "slot")
+        found = found.select("*", F.row_number().over(w.orderBy(F.col("n").desc(), "format")).alias("rank"), F.sum("n").over(w).alias("total"))
+        found = found.filter((F.col("rank") <= top) & F.col("param").isNotNull())
+    return found.select(
         "param", "slot", "format", F.col("n").alias("values"), F.round(F.col("n") / F.col("total") * 100, 2).alias("share_pct"),
         "least", "greatest")
 
