@@ -100,3 +100,14 @@ def test_both_sides_of_the_early_stop_split_hold_users(spark):
         PR._validation_users(df.limit(1), 42, 0.2)
     with pytest.raises(ValueError, match="two training users"):
         PR._validation_users(df.limit(0), 42, 0.2)
+
+
+def test_rows_multiply_only_within_a_users_partition(spark):
+    """Days, sessions, changes and running sums are shuffled as the user's days, once; no exchange carries a grain or a change."""
+    from wayfare.sources import driver as D
+    flat = D.flat_events_from_driver(spark.createDataFrame(
+        [(i, f"2024-01-{1 + i % 14:02d} 10:00:00", i % 5, "view", 1.0, '{"k": %d}' % (i % 100)) for i in range(200)],
+        "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp_ntz("ts")))
+    plan = PR.build_features(flat, "2024-01-10", "2024-01-12", 1)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 3 and not any(w in line for line in exchanges for w in ("grain", "key#", " i#", "_day#"))

@@ -10,6 +10,9 @@ Scale notes
   reduced to (user, day, session, itinerary, destination, market) and then to
   (user, grain, key, day), where a grain is the user's day, a session, an
   itinerary, a destination or a market (map-side combined, fixed-width buffers).
+* Days of users are combined map-side, then dealt out by user once; all later
+  steps (grains, sessions, changes, running sums) stay in a user's partition.
+  Their number is set, not coalesced: rows multiply only after that exchange.
 * No row is copied to the anchors whose window holds its day.  A day's counts
   enter the window at one anchor and leave it at another; a session enters
   with its first day and leaves after its last, a gap between its days shorter
@@ -88,7 +91,8 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
     first_day, last_day = feature_period(anchor_start, anchor_end, lookback, horizon)
     ev = events.filter(F.col("event_date").between(first_day, last_day) & F.col(U).isNotNull())
     series = _daily_series(ev, target_events or [V.LEAD_WBOF_01], vocab)
-    return _window_rows(_changes(series, anchors, lookback, horizon), anchors, lookback)
+    # the rows, small again, in as few partitions as they need: a sort of them does not run the steps before twice
+    return _window_rows(_changes(series, anchors, lookback, horizon), anchors, lookback).repartition(U)
 
 
 # Summed over the window (name in the daily series -> feature) ...
@@ -123,7 +127,9 @@ def _daily_series(ev: DataFrame, target_events: list[str], vocab: V.Vocab) -> Da
     grains = F.array(*[F.struct(F.lit(grain).alias("grain"), key.cast("string").alias("key")) for grain, key in (
         ("day", F.lit(None)), ("sess", F.col("_s")), ("itin", F.col("_itinerary")), ("dest", F.col("_destination")),
         ("market", F.col("_m")))])
-    x = (daily.withColumn("_g", F.explode(F.filter(grains, lambda g: (g["grain"] == "day") | g["key"].isNotNull())))
+    # dealt out by user before rows multiply: every later grouping and window has the user in its key and stays there
+    own = daily.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), U)
+    x = (own.withColumn("_g", F.explode(F.filter(grains, lambda g: (g["grain"] == "day") | g["key"].isNotNull())))
          .select("*", F.col("_g.grain").alias("grain"), F.col("_g.key").alias("key")))
     return x.groupBy(U, "grain", "key", "_day").agg(*[F.sum(k).alias(k) for k in counts], *[F.max(k).alias(k) for k in greatest])
 
@@ -164,8 +170,9 @@ def _changes(series: DataFrame, anchors: _Anchors, lookback: int, horizon: int)
                .when(keyed, F.when(F.col("_last"), item).otherwise(none)).otherwise(item))
     rows = s.select(U, F.explode(F.filter(entries, lambda e: e["i"].isNotNull() & (e["i"] < anchors.n))).alias("e")) \
         .select(U, "e.i", "e.metric", "e.by", "e.item")
-    return rows.groupBy(U, "i").agg(
-        *[F.sum(F.when(F.col("metric") == k, F.col("by"))).alias(m) for k, m in enumerate(_METRICS)], F.collect_list("item").alias("items"))
+    # sums by a hash first (an item is a group of its own), so that collecting lists, which sorts, sees few rows
+    summed = rows.groupBy(U, "i", "item").agg(*[F.sum(F.when(F.col("metric") == k, F.col("by"))).alias(m) for k, m in enumerate(_METRICS)])
+    return summed.groupBy(U, "i").agg(*[F.sum(m).alias(m) for m in _METRICS], F.collect_list("item").alias("items"))
 
 
 def _window_rows(changes: DataFrame, anchors: _Anchors, lookback: int) -> DataFrame:
