@@ -146,3 +146,34 @@ def test_awkward_rows(spark):
     assert R.removed(df.limit(0)).count() == 0
     again = df.unionByName(docs_df(spark, ["Another text under an id that is there already, of well over fifty bytes."], first_id=53))
     assert (53, 73, 0, 0) in rows(R.removed(again).select("doc_id", "n_bytes", "n_removed", "n_spans"))
+
+
+def test_a_bucket_range_is_held_as_bytes_not_as_objects():
+    """40,000 contexts of one bucket range, nearly all alone in their bucket: memory stays near their bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+    n = 40_000
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, (n, 80), dtype=np.uint8)
+    data[1] = data[0]                                        # one repeat: the same bucket, text and place
+    data[1, 0] ^= 1
+    bucket = np.arange(n, dtype=np.uint64)
+    bucket[1] = 0
+    blob = R._pack(bucket, np.arange(n), np.zeros(n, np.int64), np.full(n, 100), np.full(n, 30, np.uint8), np.full(n, 50, np.uint8), data.ravel())
+    group = pa.table({"part": pa.array([0], pa.int32()), "kind": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())})
+    tracemalloc.start()
+    out = R._range_spans(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [{"id": 1, "tag": 0, "start": 71, "end": 150}]
+    assert peak < 20 << 20
+
+
+def test_batches_are_taken_by_bytes(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(R, "BYTES_AT_ONCE", 10)
+    b = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": ["abc", None, "x" * 25, "", "de", "f", "g" * 9]})
+    got = list(R._slices(b, 1))
+    assert [r for s in got for r in s.to_pylist()] == b.to_pylist() and len(got) > 2 and all(s.num_rows for s in got)
+    assert [s.num_rows for s in R._slices(b.slice(0, 0), 1)] in ([], [0])

@@ -48,6 +48,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -67,7 +68,7 @@ MOST_HOT = 500_000
 #: Bucket ranges for each shuffle partition.
 RANGES = 2
 BYTES_AT_ONCE = 8 << 20
-CONTEXTS_AT_ONCE = 100_000
+CONTEXTS_AT_ONCE = 50_000
 PIECE_BYTES = 1 << 18
 
 _TABLE = np.random.default_rng(20).integers(0, 2 ** 64, 256, dtype=np.uint64)
@@ -293,6 +294,14 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about BYTES_AT_ONCE of a column at a time."""
+    sizes = pc.fill_null(pc.cast(pc.binary_length(b.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+        yield b.slice(s, e - s)
+
+
 def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
@@ -316,7 +325,7 @@ def _chunk_rows(named: DataFrame, tagged: bool) -> DataFrame:
     """(digest, id, tag, start, end) of the chunks of every text."""
 
     def run(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in _slices(batch, 1)):
             ids, raws = b.column(0).to_pylist(), [_bytes(t) for t in b.column(1).to_pylist()]
             tags = [_tag(r, tagged) for r in raws]
             which, start, end = chunks(raws)
@@ -343,7 +352,7 @@ def _hot_anchors(named: DataFrame) -> np.ndarray:
     sample = named.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("hot")), F.lit(1 << 32)) < share * (1 << 32))
 
     def run(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in _slices(batch, 1)):
             which, _, hashes = anchors([_bytes(t) for t in b.column(1).to_pylist()])
             pairs = np.unique(np.stack([hashes, which.astype(np.uint64)]), axis=1)      # once a document
             hashes, counts = np.unique(pairs[0], return_counts=True)
@@ -367,7 +376,7 @@ def _shared_anchors(texts: DataFrame, copied: DataFrame, hot, parts: int) -> Dat
     skipped = copied.groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("copied"))
 
     def packed(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in _slices(batch, 2)):
             texts = [r for r in zip(*[c.to_pylist() for c in b.columns]) if r[0] is not None]
             at = 0
             while at < len(texts):
@@ -450,18 +459,58 @@ def _add(members: dict, context, key: int, place, copies: list) -> None:
         copies.append((key, place, context))
 
 
+def _range_spans(group: pa.Table) -> pa.Table:
+    """(id, tag, start, end) to remove, of a bucket range.
+
+    The packed columns are put in bucket order and one bucket at a time is
+    unpacked: what Python holds of the range is its bytes, not its objects."""
+    out, mine, found = [np.zeros((4, 0), np.int64)], [], []
+
+    def settle(least: int) -> None:
+        if len(found) > least:
+            out.append(np.array(found, np.int64).T)
+            found.clear()
+
+    for kind, blob in zip(group["kind"], group["blob"]):
+        if kind.as_py():
+            out.append(np.stack(_unpack(blob.as_py(), *[np.int64] * 4)))
+        else:
+            mine.append(_unpack(blob.as_py(), np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8))
+    if mine:
+        *columns, data = [np.concatenate(x) for x in zip(*mine)]
+        mine.clear()
+        sizes = columns[4].astype(np.int64) + columns[5]
+        columns.append(np.cumsum(sizes) - sizes)
+        order = np.argsort(columns[0], kind="stable")
+        bucket = columns[0][order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(cuts[1:], len(order))
+        many = ends - cuts > 1                                  # nothing is removed of a bucket with one context
+        for s, e in zip(cuts[many].tolist(), ends[many].tolist()):
+            members, copies = {}, []
+            for k, t, p, x, y, at in zip(*[c[order[s:e]].tolist() for c in columns[1:]]):
+                own = data[at:at + x + y].tobytes()
+                _add(members, (own[:x], own[x:]), k, (t, p), copies)
+            found += [(k, t, p - len(left), p + len(right)) for k, (t, p), (left, right) in copies]
+            if len(members) > 1:
+                found += [(k, t, p - left, p + right) for k, (t, p), left, right in bucket_spans(members)]
+            settle(CONTEXTS_AT_ONCE)
+    settle(0)
+    return pa.table(dict(zip(("id", "tag", "start", "end"), np.concatenate(out, axis=1))))
+
+
 def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     """(id, tag, start, end) of the maximal repeats that a smaller document has too."""
     listed = shared.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
 
     def packed(batches):
-        members: dict[int, dict] = {}
+        members: dict[tuple[int, bytes, bytes], tuple[int, list]] = {}
         copies: list[tuple] = []
         size = 0
 
         def flush():
             rows = [(bucket, key, tag, at, len(left), len(right), left + right)
-                    for bucket, own in members.items() for (left, right), (key, places) in own.items() for tag, at in places]
+                    for (bucket, left, right), (key, places) in members.items() for tag, at in places]
             if rows:
                 bucket, key, tag, at, before, after, data = zip(*rows)
                 bucket = np.array(bucket, np.uint64)
@@ -476,16 +525,16 @@ def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFram
                     yield int(ordered[s]), 0, _pack(*[c[own] for c in columns], np.frombuffer(b"".join(data[i] for i in own), np.uint8))
             if copies:
                 yield from _settled(parts, *np.array([(key, tag, at - len(left), at + len(right))
-                                                      for key, (tag, at), (left, right) in copies], np.int64).T)
+                                                      for key, (tag, at), (_, left, right) in copies], np.int64).T)
 
-        for b in batches:
+        for b in (s for batch in batches for s in _slices(batch, 2)):
             for key, tag, z, places in zip(*[c.to_pylist() for c in b.columns]):
                 if not places:
                     continue
                 raw = _decompressor().decompress(z)
                 for place in places:
                     for bucket, at, left, right in _contexts(raw, place):
-                        _add(members.setdefault(bucket, {}), (left, right), key, (tag, at), copies)
+                        _add(members, (bucket, left, right), key, (tag, at), copies)
                         size += 1
                 if size >= CONTEXTS_AT_ONCE:
                     yield _packed_batch(list(flush()))
@@ -495,27 +544,9 @@ def _repeated_spans(texts: DataFrame, shared: DataFrame, parts: int) -> DataFram
             if rows:
                 yield _packed_batch(rows)
 
-    def spans(group: pa.Table) -> pa.Table:
-        out, buckets, copies = [], {}, []
-        for kind, blob in zip(group["kind"].to_pylist(), group["blob"].to_pylist()):
-            if kind:
-                out.append(np.stack(_unpack(blob, *[np.int64] * 4)))
-                continue
-            bucket, key, tag, at, before, after, data = _unpack(blob, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
-            data, pos = data.tobytes(), 0
-            for b, k, t, p, x, y in zip(bucket.tolist(), key.tolist(), tag.tolist(), at.tolist(), before.tolist(), after.tolist()):
-                _add(buckets.setdefault(b, {}), (data[pos:pos + x], data[pos + x:pos + x + y]), k, (t, p), copies)
-                pos += x + y
-        found = [(k, t, p - len(left), p + len(right)) for k, (t, p), (left, right) in copies]
-        for members in buckets.values():
-            if len(members) > 1:
-                found += [(k, t, p - left, p + right) for k, (t, p), left, right in bucket_spans(members)]
-        out.append(np.array(found, np.int64).reshape(-1, 4).T)
-        return pa.table(dict(zip(("id", "tag", "start", "end"), np.concatenate(out, axis=1))))
-
     known = texts.join(listed, ["id", "tag"], "left").select("id", "tag", "z", "places")
     return (known.mapInArrow(packed, "part int, kind int, blob binary").groupBy("part")
-            .applyInArrow(spans, "id long, tag long, start long, end long"))
+            .applyInArrow(_range_spans, "id long, tag long, start long, end long"))
 
 
 def _united(spans: list[int] | None) -> list[tuple[int, int]]:
