@@ -92,7 +92,7 @@ def build_features(events: DataFrame, anchor_start: str, anchor_end: str, step:
     ev = events.filter(F.col("event_date").between(first_day, last_day) & F.col(U).isNotNull())
     series = _daily_series(ev, target_events or [V.LEAD_WBOF_01], vocab)
     # the rows, small again, in as few partitions as they need: a sort of them does not run the steps before twice
-    return _window_rows(_changes(series, anchors, lookback, horizon), anchors, lookback).repartition(U)
+    return _window_rows(_changes(series, anchors, lookback, horizon), anchors, lookback).repartition(U, "anchor_date")
 
 
 # Summed over the window (name in the daily series -> feature) ...
